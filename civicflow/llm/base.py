@@ -80,3 +80,15 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     joined = "".join(texts).encode("utf-32-le", "surrogatepass")
     return np.frombuffer(joined, "<u4"), lengths
+
+
+def spans_of(texts: list, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Cuts a list of texts into consecutive parts of about so many characters, a longer text alone; bounds a batch's arrays."""
+    first = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > chars:
+            yield first, i
+            first, total = i, 0
+        total += len(t)
+    if first < len(texts):
+        yield first, len(texts)

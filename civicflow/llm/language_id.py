@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm.base import code_points, documents, id_remainder, map_batches, sample_hash, texts_of
+from civicflow.llm.base import code_points, cut, documents, id_remainder, map_batches, sample_hash, spans_of, texts_of
 
 GRAM_SIZES = (2, 3, 4)
 HASHES = 2
@@ -110,7 +110,9 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, share of the votes, and share of the text's n-grams that the language knows."""
-        votes, grams, n_letters = self.votes(texts)
+        if not texts:
+            return [], np.zeros(0), np.zeros(0)
+        votes, grams, n_letters = (np.concatenate(x) for x in zip(*(self.votes(texts[a:b]) for a, b in spans_of(texts)), strict=True))
         rows, best = np.arange(len(texts)), votes.argmax(1)
         most, every = votes[rows, best], votes.sum(1)
         best = np.where(most > 0, best, self.usual)
@@ -151,16 +153,18 @@ def fit(
         texts, langs = texts_of(batch["text"]), batch["lang"].to_pylist()
         out: list[tuple] = []
         for lang in set(langs):
-            points, lengths, _ = folded([t for t, x in zip(texts, langs, strict=True) if x == lang])
-            for n, h in gram_hashes(points).items():
-                cross = (np.cumsum(lengths)[:-1, None] - np.arange(1, n)).ravel()
-                value, count = np.unique(np.delete(h, cross[(cross >= 0) & (cross < len(h))]), return_counts=True)
-                out.append((np.full(len(value), index[lang]), np.full(len(value), n), value.view(np.int64), count))
+            own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+            for a, b in spans_of(own):
+                points, lengths, _ = folded(own[a:b])
+                for n, h in gram_hashes(points).items():
+                    cross = (np.cumsum(lengths)[:-1, None] - np.arange(1, n)).ravel()
+                    value, count = np.unique(np.delete(h, cross[(cross >= 0) & (cross < len(h))]), return_counts=True)
+                    out.append((np.full(len(value), index[lang]), np.full(len(value), n), value.view(np.int64), count))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["lang_no", "n", "gram", "times"])
 
     counts = map_batches(sample.select("text", "lang"), grams, "lang_no long, n long, gram long, times long")
-    counts = counts.groupBy("n", "gram", "lang_no").agg(F.sum("times").alias("times"))
+    counts = cut(counts.groupBy("n", "gram", "lang_no").agg(F.sum("times").alias("times")), "grams")
     sums = {(r["n"], r["lang_no"]): r["total"] for r in counts.groupBy("n", "lang_no").agg(F.sum("times").alias("total")).collect()}
     weight = F.create_map(*[F.lit(x) for k, v in sums.items() for x in (k[0] * 1000 + k[1], 1.0 / v)]) if sums else None
     tables = {n: np.zeros(1 << log2_slots, np.uint64) for n in GRAM_SIZES}
