@@ -82,7 +82,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, "<u4"), lengths
 
 
-def spans_of(texts: list, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def spans_of(texts: list, chars: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Cuts a list of texts into consecutive parts of about so many characters, a longer text alone; bounds a batch's arrays."""
     first = total = 0
     for i, t in enumerate(texts):
