@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from civicflow.llm import language_id
+from civicflow.llm import language_id, line_dedup, packing, simhash
 
 
 def queries() -> dict:
-    return {"op9_language_id": language_id.op9_language_id}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op7_simhash": simhash.op7_simhash,
+        "op9_language_id": language_id.op9_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.OP4_SQL}
