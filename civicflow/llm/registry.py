@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from civicflow.llm import language_id, line_dedup, packing, simhash
+from civicflow.llm import bpe, language_id, line_dedup, media, packing, quality, secrets, simhash, syncmers, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_quality": quality.op2_quality,
+        "op3_media": media.op3_media,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_fingerprints": syncmers.op6_fingerprints,
         "op7_simhash": simhash.op7_simhash,
+        "op8_bpe": bpe.op8_bpe,
         "op9_language_id": language_id.op9_language_id,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
