@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from civicflow.plans import dedup
+
+_AREAS = (dedup,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return dedup.dedup_clusters(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for area in _AREAS for k, v in area.plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for area in _AREAS for k, v in area.plans.sql.items()}
