@@ -42,7 +42,7 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     if not own:
         return 0.0
     other = [c for c, t in zip(b, taken, strict=True) if t]
-    moved = sum(x != y for x, y in zip(own, other, strict=True)) / 2
+    moved = sum(x != y for x, y in zip(own, other, strict=True)) // 2
     m = len(own)
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicflow.plans import dedup
+from civicflow.plans import dedup, events, matching, metrics, retrieval, text
 
-_AREAS = (dedup,)
+_AREAS = (dedup, text, retrieval, metrics, matching, events)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
