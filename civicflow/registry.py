@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicflow.plans import dedup, events, matching, metrics, retrieval, text
+from civicflow.plans import dedup, events, matching, metrics, more, retrieval, text
 
-_AREAS = (dedup, text, retrieval, metrics, matching, events)
+_AREAS = (dedup, text, retrieval, metrics, matching, events, more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
