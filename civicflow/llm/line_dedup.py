@@ -69,8 +69,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     left = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"), *[k.alias(f"t{i}") for i, k in enumerate(_key(F.coalesce("text", F.lit(""))), 1)])
     right = repeated_lines(docs, window).select(F.col("id").alias("rid"), F.col("t1").alias("r1"), F.col("t2").alias("r2"), "gone")
     met = left.join(right, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")) & F.col("id").eqNullSafe(F.col("rid")), "left")
-    text = F.col("row.text")
-    lines = F.split(text, "\n")
+    # The lines are a column: a lambda would split the text again for every line that it looks up.
+    met = met.select("row", "gone", F.split("row.text", "\n").alias("lines"))
+    text, lines = F.col("row.text"), F.col("lines")
     # Line i goes if a removed window starts at i or up to window - 1 lines before.
     gone = F.array_distinct(F.flatten(F.transform("gone", lambda p: F.sequence(p, p + F.lit(window - 1)))))
     flags = F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: i)
