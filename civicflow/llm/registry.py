@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op5_secret_scan": secrets.OP5_SQL}

@@ -37,7 +37,7 @@ def _patterns() -> dict[str, re.Pattern]:
         "assign": re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
         "access": re.compile(r"AKIA[A-Z0-9]{16,}"),
         "hex": re.compile(r"[0-9a-f]{24,}"),
-        "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----BEGIN)[^-]){0,20000}(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+        "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
         "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
         "forge": re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}"),
         "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -142,3 +142,25 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = of(*BASE)
     return found.select("doc_id", *count, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
+
+
+def _sql() -> str:
+    """Matches with their places: a match stands behind all pieces between matches and all matches before it."""
+    value = """["\'\']?\\x20*[:=]\\x20*["\'\']?([A-Za-z0-9+/_.=-]+)"""
+    word = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = [("assign", f"({word}){value}", "length(regexp_extract(hit, pat, 2)) >= 6"), *[(k, p.pattern, "true") for k, p in _patterns().items() if k != "assign"]]
+    finds = " UNION ALL ".join(f"SELECT doc_id, {no} AS no, '{k}' AS kind, '{p}' AS pat, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS gaps FROM d" for no, (k, p, _) in enumerate(kinds))
+    keep = " OR ".join(f"(kind = '{k}' AND {c})" for k, _, c in kinds)
+    base = "kind IN (" + ", ".join(f"'{k}'" for k in BASE) + ")"
+    span = "kind || ':' || a || ':' || b"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({finds}),
+p AS (SELECT doc_id, no, kind, pat, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+s AS (SELECT doc_id, no, kind, pat, hits[i] AS hit, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM p),
+f AS (SELECT doc_id, no, kind, a, a + length(hit) AS b FROM s WHERE {keep})
+SELECT d.doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}')::BIGINT AS n_{k}" for k in BASE)},
+  sha256(coalesce(string_agg({span}, ',' ORDER BY a, no) FILTER (WHERE {base}), '')) AS base_sha256, coalesce(string_agg({span}, ',' ORDER BY a, no), '') AS spans
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
+
+
+OP5_SQL = _sql()
