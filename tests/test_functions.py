@@ -93,3 +93,34 @@ def test_chunks_keep_budget_and_overlap():
 def test_kept_responses_prefers_longer():
     assert chunking.kept_responses(["a b c d", "a b c d e f", "x y"]) == ["a b c d e f", "x y"]
     assert chunking.kept_responses([]) == []
+
+
+def test_passages_are_located(spark):
+    from civicflow.functions import spans
+
+    text = "x" * 100 + "The agency shall publish a notice within thirty days of receipt." + "y" * 100
+    assert spans.locate_passage(text, "The agency shall publish a notice")[2] == "exact"
+    assert spans.locate_passage(text, "The agency shall publish a notice within thirty days of receipt, always and again")[2] == "prefix"
+    near = spans.locate_passage(text, "The agency must publish the notice within thirty days from receipt.", step=5)
+    assert near[2] == "similar" and abs(near[0] - 100) <= 10
+    assert spans.locate_passage(text, "nothing like it, at all, ever") is None and spans.locate_passage("", "a") is None
+    got = spark.createDataFrame([(text, "The agency", None), (None, "x", None)], "t string, p string, s string").select(spans.located(F.col("t"), F.col("p"), F.col("s")).alias("r")).collect()
+    assert got[0]["r"]["start"] == 100 and got[1]["r"]["start"] is None
+    title = "Proposed rule on the labelling of imported goods"
+    assert spans.noised_title(title) == spans.noised_title(title) and set(spans.noised_title(title).split()) < set(title.split())
+
+
+def test_scorers_and_extractors(spark):
+    from civicflow.operators import scoring
+
+    class Small(scoring.WordScorer):
+        def score(self, pairs):
+            if len(pairs) > 1:
+                raise MemoryError
+            return super().score(pairs)
+
+    pairs = spark.createDataFrame([("a b", "b c"), ("x", None)], "l string, r string")
+    assert sorted(r["score"] for r in scoring.scored_pairs(pairs, "l", "r", Small()).collect()) == [0.0, 0.5]
+    docs = spark.createDataFrame([(1, "We object. Fine."), (2, None)], "id int, text string")
+    got = {r["id"]: r for r in scoring.claims(docs, "text", scoring.PatternExtractor("object")).collect()}
+    assert got[1]["parsed"] == ["We object."] and got[2]["parsed"] == [] and got[1]["parse_ok"]
