@@ -20,7 +20,7 @@ def stratified_sample(rows: DataFrame, score: str, key: str, n: int, bins: int =
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
     draw = hash_rank(F.col(key), seed)
     w = Window.partitionBy("_bin").orderBy("_draw", key)
-    # Only rows that can win in their bin take part: the n first of each, found by a bounded aggregation.
+    # Up to 1,000, the limit on row numbers reaches below the shuffle: each task sends its n first rows of a bin only.
     ranked = rows.withColumn("_bin", b).withColumn("_draw", draw).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     order = F.when(F.col("_rn") <= n // bins, 0).otherwise(1)
     return ranked.orderBy(order, "_draw", key).limit(n).drop("_bin", "_draw", "_rn")
