@@ -71,9 +71,16 @@ def set_scores(left: DataFrame, right: DataFrame, by: str, item: str) -> DataFra
     return rated.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's coefficient; null for a constant side, where ``corr`` fails in ANSI mode."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pearson(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Null for a constant side."""
-    return rows.groupBy(*(by or [])).agg(F.corr(x, y).alias("pearson"))
+    return rows.groupBy(*(by or [])).agg(correlation(x, y).alias("pearson"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -83,7 +90,7 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
         ties = F.count("*").over(Window.partitionBy(*by, c))
         return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (ties - 1) / 2
 
-    return rows.select(*by, ranked(x).alias("rx"), ranked(y).alias("ry")).groupBy(*by).agg(F.corr("rx", "ry").alias("spearman"))
+    return rows.select(*by, ranked(x).alias("rx"), ranked(y).alias("ry")).groupBy(*by).agg(correlation("rx", "ry").alias("spearman"))
 
 
 def kendall(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
