@@ -31,22 +31,31 @@ WINDOW = 16
 STRIDE = 8
 PADDED = 10  # a shorter text is averaged as if it had so many words
 GRAMS = (3, 4)
+LONGEST = 40  # a longer word becomes overlapping pieces
 LOG2_ROWS = 17
 DIM = 8
 WORD = re.compile(r"\w+").findall
 
 
 def subwords(word: str) -> list[int]:
-    """Table rows of a word: itself and its character n-grams, with marks at its ends. The middle of a very long word is left to the whole."""
-    marked = f"<{word[:40]}>"
+    """Table rows of a word: itself and its character n-grams, with marks at its ends."""
+    marked = f"<{word}>"
     parts = [marked, *[marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]]
     mask = (1 << LOG2_ROWS) - 1
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & mask for p in parts]
 
 
+def pieces_of(word: str) -> list[str]:
+    """A word of up to ``LONGEST`` characters as it is, a longer one as consecutive pieces that overlap so far that each n-gram is in one."""
+    step = LONGEST - max(GRAMS) + 1
+    return [word[i : i + LONGEST] for i in range(0, max(1, len(word) - max(GRAMS) + 1), step)]
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-case words; a word that is said over and over counts once, or one odd word would fill a window."""
+    """Lower-case words, long ones in pieces; one that is said over and over counts once, or one odd word would fill a window."""
     words = WORD(text.lower())
+    if max(map(len, words), default=0) > LONGEST:
+        words = [p for w in words for p in pieces_of(w)]
     return [w for w, last in zip(words, [None, *words]) if w != last]
 
 
