@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
-One table of slots serves all languages: bit l of a slot says that some n-gram of language l falls
-there. The AND of an n-gram's slots is therefore the set of all languages that contain it, up to
+One table of slots serves up to 64 languages: bit l of a slot says that some n-gram of language l
+falls there; more languages have further tables of the same slots. The AND of an n-gram's slots is therefore the set of all languages that contain it, up to
 false positives. A text's votes per language are the popcounts of these sets, less the number that
 the language's fill rate makes false; the language with most votes wins.
 
@@ -14,7 +14,7 @@ its highest rate in any language, so that n-grams borrowed from another language
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -77,10 +77,11 @@ def slots_of(h: np.ndarray, log2_slots: int) -> list[np.ndarray]:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    tables: dict[int, np.ndarray]
+    tables: dict[int, np.ndarray]  # for each size, the slots of the first 64 languages
     fill: dict[int, np.ndarray]
     log2_slots: int
     usual: int = 0
+    further: dict[int, list[np.ndarray]] = field(default_factory=dict)  # for each size, a table for each next 64 languages
 
     def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Votes of each text for each language, the number of n-grams, and the number of letters."""
@@ -90,19 +91,21 @@ class LanguageModel:
         owner = np.repeat(np.arange(len(texts)), lengths)
         for n, h in gram_hashes(points).items():
             first, second = slots_of(h, self.log2_slots)
-            sets = self.tables[n][first] & self.tables[n][second]
             cross = (ends[:-1, None] - np.arange(1, n)).ravel()  # these n-grams run into the next text
-            sets[cross[(cross >= 0) & (cross < len(sets))]] = 0
             count = np.maximum(lengths - n + 1, 0)
             hits = np.empty_like(total)
-            if self.tables[n].dtype == np.uint8:
-                by_set = np.bincount(owner[: len(sets)] * 256 + sets, minlength=len(texts) * 256).reshape(-1, 256)
-                for b in range(len(self.languages)):
-                    hits[:, b] = by_set[:, (np.arange(256) >> b) & 1 == 1].sum(1)
-            else:
-                for b in range(len(self.languages)):
-                    bit = (sets >> np.uint64(b)) & np.uint64(1)
-                    hits[:, b] = np.bincount(owner[: len(sets)], weights=bit, minlength=len(texts))
+            for word, table in enumerate([self.tables[n], *self.further.get(n, [])]):
+                sets = table[first] & table[second]
+                sets[cross[(cross >= 0) & (cross < len(sets))]] = 0
+                own = range(64 * word, min(64 * word + 64, len(self.languages)))
+                if table.dtype == np.uint8:
+                    by_set = np.bincount(owner[: len(sets)] * 256 + sets, minlength=len(texts) * 256).reshape(-1, 256)
+                    for b in own:
+                        hits[:, b] = by_set[:, (np.arange(256) >> b) & 1 == 1].sum(1)
+                else:
+                    for b in own:
+                        bit = (sets >> np.uint64(b - 64 * word)) & np.uint64(1)
+                        hits[:, b] = np.bincount(owner[: len(sets)], weights=bit, minlength=len(texts))
             false = self.fill[n] ** HASHES
             total += np.maximum(0, (hits - count[:, None] * false) / (1 - false))
             grams += count
@@ -128,20 +131,19 @@ def fit(
     log2_slots: int = 20,
     least: int = 3,
     share: float = 0.25,
-    max_languages: int = 64,
     exclude_remainder: tuple[int, int] | None = (4, 2),
     seed: int = 9,
 ) -> LanguageModel | None:
     """Learns the filters from (doc_id, text, lang).
 
     Rows with a null id, text or lang are not learned from, nor those whose id hash has the excluded
-    remainder. At most ``max_languages`` languages are learned, the most frequent ones. None if
-    there is nothing to learn from. What reaches the driver is bounded by the filters' size.
+    remainder. All languages are learned. None if there is nothing to learn from. What reaches the
+    driver is bounded by the filters' size, which grows with the number of languages by 64.
     """
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
     if exclude_remainder:
         known = known.where(id_remainder(F.col("doc_id"), exclude_remainder[0]) != exclude_remainder[1])
-    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counted:
         return None
     languages = sorted(r["lang"] for r in counted)
@@ -166,33 +168,38 @@ def fit(
     counts = map_batches(sample.select("text", "lang"), grams, "lang_no long, n long, gram long, times long")
     counts = cut(counts.groupBy("n", "gram", "lang_no").agg(F.sum("times").alias("times")), "grams")
     sums = {(r["n"], r["lang_no"]): r["total"] for r in counts.groupBy("n", "lang_no").agg(F.sum("times").alias("total")).collect()}
-    weight = F.create_map(*[F.lit(x) for k, v in sums.items() for x in (k[0] * 1000 + k[1], 1.0 / v)]) if sums else None
-    tables = {n: np.zeros(1 << log2_slots, np.uint64) for n in GRAM_SIZES}
+    weight = F.create_map(*[F.lit(x) for k, v in sums.items() for x in (k[1] * 8 + k[0], 1.0 / v)]) if sums else None
+    words = range((len(languages) + 63) // 64)
+    tables = {n: [np.zeros(1 << log2_slots, np.uint64) for _ in words] for n in GRAM_SIZES}
     if sums:
-        rated = counts.withColumn("rate", F.col("times") * weight[F.col("n") * 1000 + F.col("lang_no")])
+        rated = counts.withColumn("rate", F.col("times") * weight[F.col("lang_no") * 8 + F.col("n")])
         per_gram = rated.groupBy("n", "gram").agg(F.collect_list(F.struct("lang_no", "times", "rate")).alias("seen"), F.max("rate").alias("most"))
         member = F.filter("seen", lambda x: (x["times"] >= least) & (x["rate"] >= share * F.col("most")))
-        mask = F.aggregate(member, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang_no"].cast("int"))))
-        kept = per_gram.select("n", "gram", mask.alias("mask")).where("mask != 0")
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x["lang_no"] % 64).cast("int"))
+        mask = lambda w: F.aggregate(F.filter("kept", lambda x: F.floor(x["lang_no"] / 64) == w), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
+        masks = F.inline(F.array(*[F.struct(F.lit(w).cast("long").alias("word"), mask(w).alias("mask")) for w in words]))
+        kept = per_gram.select("n", "gram", member.alias("kept")).select("n", "gram", masks).where("mask != 0")
 
         def place(batch: pa.RecordBatch) -> pa.RecordBatch:
             h = batch["gram"].to_numpy(zero_copy_only=False).view(np.uint64)
             parts = slots_of(h, log2_slots)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(batch["n"].to_numpy(), HASHES)), pa.array(np.concatenate(parts).astype(np.int64)), pa.array(np.tile(batch["mask"].to_numpy(), HASHES))],
-                ["n", "slot", "mask"],
+                [pa.array(np.tile(batch["n"].to_numpy(), HASHES)), pa.array(np.tile(batch["word"].to_numpy(), HASHES)), pa.array(np.concatenate(parts).astype(np.int64)), pa.array(np.tile(batch["mask"].to_numpy(), HASHES))],
+                ["n", "word", "slot", "mask"],
             )
 
-        placed = map_batches(kept, place, "n long, slot long, mask long").groupBy("n", "slot").agg(F.bit_or("mask").alias("mask"))
-        got = placed.toArrow()  # at most sizes x slots rows
-        n, at, bits = (got[c].to_numpy() for c in ("n", "slot", "mask"))
-        for size in GRAM_SIZES:
-            own = n == size
-            tables[size][at[own]] = bits[own].view(np.uint64)
-    fill = {n: np.array([((t >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))]) for n, t in tables.items()}
-    if len(languages) <= 8:
-        tables = {n: t.astype(np.uint8) for n, t in tables.items()}
-    return LanguageModel(languages, tables, fill, log2_slots, index[counted[0]["lang"]])
+        placed = map_batches(kept, place, "n long, word long, slot long, mask long").groupBy("n", "word", "slot").agg(F.bit_or("mask").alias("mask"))
+        if len(words) > 1:
+            placed = cut(placed, "filters")
+        for word in words:
+            got = placed.where(F.col("word") == word).toArrow()  # at most sizes x slots rows
+            n, at, bits = (got[c].to_numpy() for c in ("n", "slot", "mask"))
+            for size in GRAM_SIZES:
+                own = n == size
+                tables[size][word][at[own]] = bits[own].view(np.uint64)
+    fill = {n: np.array([((t[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() for b in range(len(languages))]) for n, t in tables.items()}
+    own = {n: t[0].astype(np.uint8) if len(languages) <= 8 else t[0] for n, t in tables.items()}
+    return LanguageModel(languages, own, fill, log2_slots, index[counted[0]["lang"]], {n: t[1:] for n, t in tables.items()})
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from civicflow.llm import toxicity
+from civicflow.llm import language_id, toxicity
 
 
 def test_every_character_of_a_long_run_is_read():
@@ -25,3 +25,19 @@ def test_a_toxic_part_behind_the_fortieth_character():
     model = toxicity.train(texts, np.array([0] * 200 + [1] * 200))
     clean = "_".join(word("aeiourst") for _ in range(30))
     assert model.score(clean) < 0.5 < model.score(clean + "_" + "_".join(bad))
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(7)
+    letters = [chr(0x4E00 + i) for i in range(70 * 12)]  # an alphabet of its own for each of 70 languages
+    rows = []
+    for lang in range(70):
+        own = letters[lang * 12 : lang * 12 + 12]
+        for k in range(12 if lang < 64 else 6):
+            rows.append((len(rows), " ".join("".join(rng.choices(own, k=5)) for _ in range(20)), f"l{lang:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, exclude_remainder=None)
+    assert len(model.languages) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    assert language_id.keep_identified(docs, model).count() == len(rows)
