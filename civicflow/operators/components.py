@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.storage import cut
+from civicflow.storage import cut, dropped
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -22,14 +22,17 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         linked = met.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.where("w <> m").select(F.col("w").alias("a"), F.col("m").alias("b")))
     else:
         linked = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return linked.distinct()
+    done = cut(linked.distinct(), "edges")
+    dropped(least)
+    return done
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of an edge table (a, b) of longs; root is the least node reachable.
 
     Self-links and repeated links are harmless; an empty table gives an empty one. Each round is
-    written to shared storage. A round takes a chain of n links to about its logarithm.
+    written to shared storage, and the round before is removed. A round takes a chain of n links to
+    about its logarithm.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -38,5 +41,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == mark or seen[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = seen
-        now = cut(_star(_star(now, small=False), small=True), "edges")
+        large = _star(now, small=False)
+        small = _star(large, small=True)
+        dropped(now, large)
+        now = small
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

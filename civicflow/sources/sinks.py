@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow.operators.matching import append_new
+from civicflow.storage import exists
 
 
 def padded(df: DataFrame, columns: list[str], **fixed: str) -> DataFrame:
@@ -33,9 +34,7 @@ def write_both(df: DataFrame, path: str) -> None:
 
 def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table that may not be there yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def append_distinct(df: DataFrame, path: str, key: str, order: str) -> None:
