@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+@cache
+def _own_dir() -> str:
+    folder = tempfile.mkdtemp(prefix="civicflow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -24,10 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="civicflow-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        found = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir()
     return found.rstrip("/")
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicflow import storage
-from civicflow.operators.components import components
+from civicflow.operators import components as module
 
 
 class Elsewhere:
@@ -37,13 +37,16 @@ def test_tables_go_when_they_are_dropped(spark):
     assert not storage.exists(spark, path)
 
 
-def test_components_leave_one_table(spark):
-    folder = storage.shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", folder + "/own")
-    try:
-        found = components(spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
-        assert found.agg(F.max("root")).first()[0] == 0 and found.count() == 51
-        root = spark._jvm.org.apache.hadoop.fs.Path(folder + "/own")
-        assert len(root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)) == 1
-    finally:
-        spark.conf.set("spark.checkpoint.dir", folder)
+def test_a_single_process_gets_a_folder_of_its_own():
+    Elsewhere.sparkContext.master = "local[4]"
+    assert storage.shared_dir(Elsewhere) == storage.shared_dir(Elsewhere) != ""
+
+
+def test_components_leave_one_table(spark, monkeypatch):
+    left = []
+    cut, dropped = storage.cut, storage.dropped
+    monkeypatch.setattr(module, "cut", lambda df, tag: left.append(out := cut(df, tag)) or out)
+    monkeypatch.setattr(module, "dropped", lambda *dfs: [left.remove(d) for d in dfs] and dropped(*dfs))
+    found = module.components(spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert found.agg(F.max("root")).first()[0] == 0 and found.count() == 51
+    assert len(left) == 1
