@@ -7,6 +7,8 @@ Conventions that hold for every operator here:
 * A null text counts as an empty one. A null ``doc_id`` is carried through as null and is never
   used for learning. Rows that repeat are kept as often as they come.
 * An empty input gives an empty result of the same schema.
+* A text of any length is read whole. Batches are worked through in parts of bounded size, a long
+  text alone, so memory grows with the longest text and not with the batch.
 """
 
 from __future__ import annotations
@@ -31,6 +33,19 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it, whatever letters are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name like this one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo a divisor; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(divisor)

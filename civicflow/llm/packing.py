@@ -7,9 +7,11 @@ each into the fullest open sequence with room for it. Open sequences are kept by
 a bitset of the free spaces in use finds the best fit with two bit operations. At most ``open_bins``
 stay open; beyond that the fullest closes first.
 
-A task takes its pieces in descending length, which leaves fewer gaps than any other order. Only
-lengths, not ids, are moved to the packing tasks. The number of tasks follows the number of pieces,
-and each leaves at most one badly filled sequence or so.
+Pieces arrive in the order of a hash. A task looks ``AHEAD`` pieces ahead: it takes so many, packs
+them in descending length, and goes on with the next ones, while the open sequences stay open. So
+memory is bounded by the two parameters, however many pieces a task has. Only lengths, not ids, are
+moved to the packing tasks. The number of tasks follows the number of pieces, and each leaves some
+``open_bins`` sequences at most that more pieces could have filled.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from civicflow.llm.base import cut, documents
+from civicflow.llm.base import cut, documents, quoted
 
 CAPACITY = 1024
 END_ID = 2
-OPEN_BINS = 1 << 17
+OPEN_BINS = 1024
+AHEAD = 2048
 PIECES_PER_TASK = 200_000
 
 
@@ -131,7 +135,7 @@ class BestFit:
         self.capacity, self.open_bins = capacity, open_bins
         self.used = 0  # bit f: some open sequence has f free places
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.n_open = self.opened = 0
+        self.n_open = self.opened = self.closed = 0
 
     def put(self, length: int) -> tuple[int, int]:
         """(sequence, offset) of the next piece."""
@@ -160,14 +164,23 @@ class BestFit:
         if not self.by_free[free]:
             self.used ^= 1 << free
         self.n_open -= 1
+        self.closed += 1
 
+    def put_all(self, lengths: list[int], ahead: int) -> tuple[list[int], list[int]]:
+        """Sequences and offsets of some pieces, taken ``ahead`` at a time in descending length, equal ones in order."""
+        sequences, offsets = [0] * len(lengths), [0] * len(lengths)
+        for a in range(0, len(lengths), ahead):
+            for i in sorted(range(a, min(a + ahead, len(lengths))), key=lengths.__getitem__, reverse=True):
+                sequences[i], offsets[i] = self.put(lengths[i])
+        return sequences, offsets
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK) -> DataFrame:
+
+def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK, ahead: int = AHEAD) -> DataFrame:
     """parts (with a column length from 1 to capacity, and others) with sequence_id and offset added.
 
-    Equal lengths are taken in the order of their other columns, so a repeated task packs alike.
-    Columns called sequence_id or offset are replaced. parts is counted and read again: hand in a
-    table or the result of ``cut``.
+    Pieces are taken in the order of a hash of their columns, and then of the columns, so a repeated
+    task packs alike; rows that repeat are pieces of their own. Columns called sequence_id or offset
+    are replaced. parts is counted and read again: hand in a table or the result of ``cut``.
     """
     parts = parts.drop("sequence_id", "offset")
     tasks = max(1, -(-parts.count() // per_task))
@@ -176,14 +189,15 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
         base = TaskContext.get().partitionId() << 40
         bins = BestFit(capacity, open_bins)
         for batch in batches:
-            placed = [bins.put(n) for n in batch["length"].to_pylist()]
-            sequence = pa.array([base + s for s, _ in placed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sequence, pa.array([o for _, o in placed], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
+            sequences, offsets = bins.put_all(batch["length"].to_pylist(), ahead)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([base + s for s in sequences], pa.int64()), pa.array(offsets, pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
-    others = [c for c, kind in parts.dtypes if c != "length" and not kind.startswith(("map", "variant"))]
-    dealt = parts.repartition(tasks).sortWithinPartitions(F.desc("length"), *others)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return dealt.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    own = parts.columns
+    parts = parts.select(*[F.col(quoted(c)).alias(c if c == "length" else f"c{i}") for i, c in enumerate(own)])  # names without dots
+    others = [F.col(c) for c, kind in parts.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = parts.repartition(tasks).sortWithinPartitions(F.xxhash64(*others), *others)
+    placed = dealt.mapInArrow(run, T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return placed.toDF(*own, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -199,4 +213,10 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places.
+
+    A null or empty text is one piece of the end id; a very long one is as many pieces as it takes.
+    Rows that repeat give pieces of their own. A null id stays null. Ties of length go by hash and
+    then by the columns. No documents, no pieces. Other columns of documents aren't read.
+    """
     return pack_documents(documents(spark, sf_dir))
