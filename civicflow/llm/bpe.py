@@ -3,8 +3,9 @@
 A short word is held as two arrays in step: its parts, one between each two boundaries, and the ranks
 of adjacent parts, one a boundary. The least rank is found by a scan, its boundary is deleted so that
 the two parts become the one that the rank makes, and the two neighbouring ranks are looked up anew,
-until nothing merges. Both arrays are a few dozen numbers in a row, so scanning beats any heap. A longer word, for which scans would take quadratic time, uses a heap over linked parts with
-the same result. Words seen before come from a bounded cache.
+until nothing merges. Both arrays are a few dozen numbers in a row, so scanning beats any heap. A
+longer word, for which scans would take quadratic time, uses a heap over linked parts with the same
+result. Words seen before come from a bounded cache. Decoding reads nothing but the ids.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ class WordBpe:
         self.split = regex.compile(kind["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.letters = byte_letters()
         self.most_words = most_words
-        self.known: dict[str, tuple[str, str]] = {}
-        self.known_letters: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.known_letters: dict[str, tuple[int, ...]] = {}
 
     def parts(self, letters: str) -> list[int]:
         """The ids of a word in byte letters. A letter that the vocabulary lacks has none."""
@@ -109,13 +110,8 @@ class WordBpe:
                     heapq.heappush(heap, (r, left, part[left], part[right]))
         return [p for p in part if p is not None]
 
-    def _entry(self, letters: str) -> tuple[str, str]:
-        """A word's ids and tokens, each joined by spaces."""
-        part = self.parts(letters)
-        return " ".join([self.written[p] for p in part]), " ".join([self.tokens[p] for p in part])
-
-    def _words(self, text: str) -> list[tuple[str, str]]:
-        """Entries of the words of a text without special tokens."""
+    def _words(self, text: str) -> list[tuple[int, ...]]:
+        """The ids of each word of a text without special tokens."""
         if self.plain(text):
             words = self.split(text.replace("Σ", "σ").lower())
             try:
@@ -126,29 +122,30 @@ class WordBpe:
                     self.known.clear()
                     new = set(words)
                 for w in new:
-                    self.known[w] = self._entry(w.encode().decode("latin-1").translate(self.letters))
+                    self.known[w] = tuple(self.parts(w.encode().decode("latin-1").translate(self.letters)))
                 return [self.known[w] for w in words]
         out = []
         for letters, _ in self.own.pre_tokenizer.pre_tokenize_str(self.own.normalizer.normalize_str(text)):
             if (found := self.known_letters.get(letters)) is None:
                 if len(self.known_letters) >= self.most_words // 4:
                     self.known_letters.clear()
-                found = self.known_letters[letters] = self._entry(letters)
+                found = self.known_letters[letters] = tuple(self.parts(letters))
             out.append(found)
         return out
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """The ids of a text and its tokens, each joined by spaces."""
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text."""
         if self.cut and any(x in text for x in self.special):
-            entries = list(chain.from_iterable([(str(self.special[p]), p)] if p in self.special else self._words(p) for p in self.cut(text) if p))
-        else:
-            entries = self._words(text)
-        ids, tokens = " ".join([i for i, _ in entries if i]), " ".join([t for i, t in entries if i])
-        return ids, tokens
+            return list(chain.from_iterable(chain.from_iterable([(self.special[p],)] if p in self.special else self._words(p) for p in self.cut(text) if p)))
+        return list(chain.from_iterable(self._words(text)))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens of the ids, joined by spaces, as a file without a decoder says; an unknown id is left out."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        return " ".join(filter(None, map(self.tokens.get, ids)))
+
+    def digits(self, ids: list[int]) -> str:
+        """Known ids as decimal numbers, joined by spaces."""
+        return " ".join(map(self.written.__getitem__, ids))
 
 
 @lru_cache(2)
@@ -171,15 +168,13 @@ def encoded(docs: DataFrame, columns: tuple[str, ...] = ("ids",), vocabulary: st
         for batch in batches:
             out: dict[str, list] = {c: [] for c in columns}
             for text in batch["text"].to_pylist():
-                ids, tokens = bpe.encode(text or "")
-                row = {"n_tokens": ids.count(" ") + 1 if ids else 0}
-                if "ids" in columns:
-                    row["ids"] = [int(i) for i in ids.split()]
+                ids = bpe.encode(text or "")
+                row = {"n_tokens": len(ids), "ids": ids}
                 if "ids_sha256" in columns:
-                    row["ids_sha256"] = hashlib.sha256(ids.encode()).hexdigest()
-                if "decoded_sha256" in columns:
-                    row["decoded_sha256"] = hashlib.sha256(tokens.encode()).hexdigest()
-                row["decoded"] = tokens
+                    row["ids_sha256"] = hashlib.sha256(bpe.digits(ids).encode()).hexdigest()
+                if "decoded" in columns or "decoded_sha256" in columns:
+                    row["decoded"] = bpe.decode(ids)
+                    row["decoded_sha256"] = hashlib.sha256(row["decoded"].encode()).hexdigest()
                 for c in columns:
                     out[c].append(row[c])
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *[pa.array(out[c], _KINDS[c][0]) for c in columns]], ["doc_id", *columns])
@@ -201,4 +196,11 @@ def decoded(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and digests of each document's ids, and the digest of the text that the ids decode to.
+
+    A null or empty text has no ids and decodes to an empty text; a very long one is encoded whole,
+    and a very long word by a heap. Equal texts and rows that repeat give equal rows; a null id stays
+    null. Ranks have no ties; of equal pairs the first merges first. No documents, no rows. Other
+    columns aren't read.
+    """
     return encoded(documents(spark, sf_dir), ("n_tokens", "ids_sha256", "decoded_sha256"))
