@@ -5,8 +5,12 @@ rule version, the spans found in it. A scan reads only blobs whose pair isn't in
 however many paths or versions hold it, and joins findings back to all of them. New rules get a new
 version, under which old blobs count as unseen.
 
+A lasting ledger is a Parquet folder that the session names in ``LEDGER``; runs append what they
+scanned to it. Without the setting a run begins with an empty ledger, which takes the same path.
+
 Copies are dropped twice: within a task before texts move, so that a text that stands in a third of
-all rows moves as one row a task, and again where all copies of a blob meet.
+all rows moves as one row a task, and again where all copies of a blob meet, next to the ledger's
+entry for it if there is one.
 """
 
 from __future__ import annotations
@@ -15,30 +19,58 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm.base import cut, documents
+from civicflow.llm.base import cut, documents, fresh, quoted
+from civicflow.storage import exists
 
 #: The base kinds come first; spans that start together stand in this order.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge", "chat")
 BASE = KINDS[:3]
 RULES = "1"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
+ENTRIES = f"blob string, rules string, spans {SPANS}"
+LEDGER = "civicflow.secrets.ledger"
 MARK = "[SECRET]"
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
+class _Span:
+    def __init__(self, start: int, end: int):
+        self.start, self.end = lambda: start, lambda: end
+
+
+class _Jwt:
+    """Finds what ``pattern`` does, in linear time: a pattern that starts anew at each ``eyJ`` of a long run would take quadratic time."""
+
+    pattern = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    chains = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}")
+
+    def finditer(self, text: str) -> Iterator[_Span]:
+        for m in self.chains.finditer(text):
+            parts, at, i = m[0].split("."), m.start(), 0
+            starts = [at := at + (len(parts[k - 1]) + 1 if k else 0) for k in range(len(parts))]
+            while i + 2 < len(parts):
+                first = parts[i].find("eyJ")
+                if first >= 0 and len(parts[i]) - first >= 11 and parts[i + 1].startswith("eyJ") and len(parts[i + 1]) >= 11 and len(parts[i + 2]) >= 8:
+                    yield _Span(starts[i] + first, starts[i + 2] + len(parts[i + 2]))
+                    i += 3
+                else:
+                    i += 1
+
+
 @cache
-def _patterns() -> dict[str, re.Pattern]:
+def _patterns() -> dict[str, re.Pattern | _Jwt]:
     return {
         "assign": re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
         "access": re.compile(r"AKIA[A-Z0-9]{16,}"),
         "hex": re.compile(r"[0-9a-f]{24,}"),
         "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
-        "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+        "jwt": _Jwt(),
         "forge": re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}"),
         "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     }
@@ -75,59 +107,91 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scanned(rules: str):
+    """Entries for the blobs that aren't seen. Rows come sorted, a seen one before the others of its blob."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in _firsts(batches):
-            if batch.num_rows:
-                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan_text(t or "")] for t in batch["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch["blob"], pa.array([rules] * batch.num_rows), pa.array(spans, kind)], ["blob", "rules", "spans"])
+        last = None
+        for batch in batches:
+            blobs = batch["blob"].to_pylist()
+            first = [b != a for a, b in zip([last, *blobs], blobs)]
+            last = blobs[-1] if blobs else last
+            new = batch.filter(pa.array([f and not s for f, s in zip(first, batch["seen"].to_pylist(), strict=True)], pa.bool_()))
+            if new.num_rows:
+                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan_text(t or "")] for t in new["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([new["blob"], pa.array([rules] * new.num_rows), pa.array(spans, kind)], ["blob", "rules", "spans"])
 
     return run
 
 
+def read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
+    """The entries of a ledger, none where there is no folder yet. A pair that two runs have scanned at the same time has one entry."""
+    if path is None or not exists(spark, path):
+        return spark.createDataFrame([], ENTRIES)
+    return spark.read.schema(ENTRIES).parquet(path).dropDuplicates(["blob", "rules"])
+
+
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULES) -> DataFrame:
     """New ledger entries (blob, rules, spans) for the texts of versions (text) that the ledger hasn't under these rules.
 
     Append them to the ledger. A blob without findings gets an entry with no spans. A null text is
-    the empty blob.
+    the empty blob. Texts and known blobs meet in one shuffle by blob.
     """
     blobs = versions.select(blob_of(F.col("text")).alias("blob"), "text").mapInArrow(_firsts, "blob string, text string")
-    if ledger is None:
-        return blobs.repartition("blob").mapInArrow(_scanned(rules), f"blob string, rules string, spans {SPANS}")
-    seen = ledger.where(F.col("rules") == rules).select("blob")
-    new = blobs.join(seen, "blob", "left_anti").mapInArrow(_scanned(rules), f"blob string, rules string, spans {SPANS}")
-    return new.groupBy("blob", "rules").agg(F.first("spans").alias("spans"))  # a skewed join may be split
+    rows = blobs.withColumn("seen", F.lit(False))
+    if ledger is not None:
+        known = ledger.where(F.col("rules") == rules).select("blob", F.lit(None).cast("string").alias("text"), F.lit(True).alias("seen"))
+        rows = known.unionByName(rows)
+    return rows.repartition("blob").sortWithinPartitions("blob", F.desc("seen")).mapInArrow(_scanned(rules), ENTRIES)
 
 
 def findings(versions: DataFrame, keys: list[str], ledger: DataFrame, rules: str = RULES) -> DataFrame:
     """keys and spans for every row of versions, from a ledger that covers them; no spans for a blob without findings."""
-    own = versions.select(*keys, blob_of(F.col("text")).alias("_blob"))
-    known = ledger.where((F.col("rules") == rules) & (F.size("spans") > 0)).select(F.col("blob").alias("_known"), F.col("spans").alias("_spans"))
-    met = own.join(known, F.col("_blob") == F.col("_known"), "left")
-    return met.select(*keys, F.coalesce("_spans", F.array().cast(SPANS)).alias("spans"))
+    blob, known, spans = (fresh([*keys, "spans"], c) for c in ("blob", "known", "found"))
+    own = versions.select(*[F.col(quoted(k)) for k in keys], blob_of(F.col("text")).alias(blob))
+    entries = ledger.where((F.col("rules") == rules) & (F.size("spans") > 0)).select(F.col("blob").alias(known), F.col("spans").alias(spans))
+    met = own.join(entries, F.col(blob) == F.col(known), "left")
+    return met.select(*[F.col(quoted(k)) for k in keys], F.coalesce(spans, F.array().cast(SPANS)).alias("spans"))
+
+
+def scan(versions: DataFrame, keys: list[str] | None = None, ledger: str | None = None, rules: str = RULES) -> DataFrame:
+    """The keys (doc_id, say, or path and version) and spans of every row of versions (keys, text).
+
+    ledger is the folder of a lasting ledger. What it lacks is scanned and appended to it; without
+    one, everything is scanned.
+    """
+    spark = versions.sparkSession
+    old = read_ledger(spark, ledger)
+    new = cut(scan_unseen(versions, old, rules), "ledger")
+    if ledger is not None:
+        new.write.mode("append").parquet(ledger)
+        old = read_ledger(spark, ledger)
+    return findings(versions, keys or ["doc_id"], old if ledger is not None else new, rules)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULES) -> DataFrame:
-    """(doc_id, spans) for every row of docs (doc_id, text)."""
-    new = cut(scan_unseen(docs, ledger, rules), "ledger")
-    whole = new if ledger is None else new.unionByName(ledger.select(new.columns))
-    return findings(docs, ["doc_id"], whole, rules)
+def redacted(text: str, spans: list[tuple[int, int]], mark: str = MARK) -> str:
+    """The text with a mark in place of each span; spans that overlap become one mark. Linear in the text and the spans."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
 
 
 def redact(docs: DataFrame, mark: str = MARK, rules: str = RULES) -> DataFrame:
     """docs with every secret in the column text replaced by a mark; overlapping spans become one mark. All rows and columns stay."""
-    known = cut(scan_unseen(docs, None, rules), "ledger").where(F.size("spans") > 0).select(F.col("blob").alias("_known"), F.col("spans").alias("_spans"))
     own = docs.columns
-    met = docs.select(F.struct(*own).alias("_row"), blob_of(F.col("text")).alias("_blob")).join(known, F.col("_blob") == F.col("_known"), "left")
-    text = F.col("_row.text")
+    blob, known, spans = (fresh(own, c) for c in ("blob", "known", "found"))
+    entries = cut(scan_unseen(docs, None, rules), "ledger").where(F.size("spans") > 0).select(F.col("blob").alias(known), written(F.col("spans")).alias(spans))
 
-    def step(done: Column, span: Column) -> Column:
-        fresh = F.concat(done["out"], text.substr(done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.when(span["start"] < done["at"], done["out"]).otherwise(fresh).alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s is None else redacted(t, [tuple(map(int, x.split(":")[1:])) for x in s.split(",")], mark) for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    done = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
-    return met.select(*[clean.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in own])
+    met = docs.select(*[F.col(quoted(c)) for c in own], blob_of(F.col("text")).alias(blob)).join(entries, F.col(blob) == F.col(known), "left")
+    secret = F.when(F.col(spans).isNotNull(), F.col("text"))  # other texts don't go to Python
+    return met.select(*[F.coalesce(clean(secret, F.col(spans)), F.col("text")).alias(c) if c == "text" else F.col(quoted(c)) for c in own])
 
 
 def written(spans: Column) -> Column:
@@ -136,7 +200,14 @@ def written(spans: Column) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(documents(spark, sf_dir))
+    """Numbers of base findings, their digest, and all spans, for every document.
+
+    Blobs that the ledger named in the session's ``LEDGER`` holds aren't scanned again. A null text is
+    an empty one, without findings; a very long one is scanned whole, in linear time. Rows that
+    repeat, and equal texts, have equal findings; a null id stays null. Spans that start together
+    stand in the order of their kinds. No documents, no rows. Other columns aren't read.
+    """
+    found = scan(documents(spark, sf_dir), ledger=spark.conf.get(LEDGER, None))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     count = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     base = of(*BASE)
