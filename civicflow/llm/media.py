@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from civicflow.llm.base import documents, spans_of
+from civicflow.llm.base import cut, documents, spans_of
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", IMA: "ima"}
@@ -253,5 +253,12 @@ def decoded_audio(stored: DataFrame, columns: tuple[str, ...] = ("feature", "pcm
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = stored_audio(documents(spark, sf_dir))
-    return decoded_audio(stored, ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
+    """Digests of each document's stored audio as it is read back, its feature, and its resampled PCM.
+
+    The telephony files are written to shared storage and read from there; the PCM, at twice the rate
+    and width and so several times as large, is a column of the result. A null or empty text is a payload of 192 spaces; a very
+    long one is one long file. Equal texts and rows that repeat have equal files; a null id stays
+    null. No documents, no rows. Other columns aren't read.
+    """
+    stored = cut(stored_audio(documents(spark, sf_dir)), "media")
+    return decoded_audio(stored, ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"))
