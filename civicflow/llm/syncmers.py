@@ -6,24 +6,30 @@ passage has the same anchors in every text that holds it, at the same distances:
 can be matched by hash and lined up by position. One in (k - s + 1) / 2 places or so is an anchor, and
 no two neighbours are further apart than k - s.
 
-A fingerprint is the ``SIZE`` least hashes of a text's anchors (all, if there are fewer), and the
-likeness of two fingerprints estimates what share of the anchors of both texts is common to them.
+A fingerprint holds all anchors of a text with their places, and so grows with it. Two fingerprints
+are matched by hash, repeated hashes in their order, and a match counts if the one before or behind it
+lies at the same shift: words that two texts share by chance don't line up, passages do. The likeness
+is the share of anchors that count among those of both texts. Texts of under ``FINE_UNDER`` code
+points have few anchors, so they carry a second level of finer ones, by which they are compared with
+one another.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm.base import code_points, documents, map_batches, spans_of, texts_of
+from civicflow.llm.base import code_points, cut, documents, map_batches, spans_of, texts_of
 
-K, S = 20, 6
-SIZE = 64
+K, S = 16, 5
+FINE_K, FINE_S, FINE_UNDER = 6, 2, 256
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -98,29 +104,80 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return who, where, value
 
 
-def fingerprints_of(texts: list[str], size: int = SIZE) -> list[list[int]]:
-    """The least 32-bit anchor hashes of each text, ascending."""
-    out: list[list[int]] = []
+class Level(NamedTuple):
+    """Anchors of a text in order: places and 32-bit hashes."""
+
+    places: np.ndarray
+    hashes: np.ndarray
+
+
+Fingerprint = tuple[Level, ...]
+
+
+def _levels(texts: list[str], k: int, s: int) -> list[Level]:
+    who, where, value = anchors(texts, k, s)
+    order = np.lexsort((where, who))
+    bounds = np.searchsorted(who[order], np.arange(len(texts) + 1))
+    where, value = where[order], (value[order] >> np.uint64(32)).astype(np.uint32)
+    return [Level(where[x:y], value[x:y]) for x, y in zip(bounds, bounds[1:])]
+
+
+def fingerprints_of(texts: list[str]) -> list[Fingerprint]:
+    """For each text its anchors, and if it is short its finer ones as well."""
+    out: list[Fingerprint] = []
     for a, b in spans_of(texts):
-        who, _, value = anchors(texts[a:b])
-        keys = np.unique(who.astype(np.uint64) << np.uint64(32) | value >> np.uint64(32))
-        bounds = np.searchsorted(keys, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(32))
-        low = keys & np.uint64(0xFFFFFFFF)
-        out += [low[x : min(x + size, y)].tolist() for x, y in zip(bounds, bounds[1:])]
+        part = texts[a:b]
+        fine = iter(_levels([t for t in part if len(t) < FINE_UNDER], FINE_K, FINE_S))
+        out += [(level, next(fine)) if len(t) < FINE_UNDER else (level,) for t, level in zip(part, _levels(part, K, S), strict=True)]
     return out
 
 
-def likeness(a: list[int], b: list[int], size: int = SIZE) -> float:
-    """Share of common hashes among the least of both fingerprints; 1 for two empty ones."""
-    if a == b:
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """For each hash, itself and how many like it came before, in one number."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    number = np.empty(len(hashes), np.uint64)
+    number[order] = np.arange(len(hashes)) - np.repeat(first, np.diff(np.concatenate([first, [len(hashes)]])))
+    return hashes.astype(np.uint64) << np.uint64(32) | number
+
+
+def aligned(a: Level, b: Level) -> int:
+    """How many anchors match at the shift of a match next to them. Of texts with one or two anchors, all matches count."""
+    _, i, j = np.intersect1d(_numbered(a.hashes), _numbered(b.hashes), assume_unique=True, return_indices=True)
+    if min(len(a.hashes), len(b.hashes)) < 3 or not len(i):
+        return len(i)
+    order = np.argsort(i)
+    shift = b.places[j[order]] - a.places[i[order]]
+    same = shift[1:] == shift[:-1]
+    return int((np.concatenate([[False], same]) | np.concatenate([same, [False]])).sum())
+
+
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """Share of the anchors of both that line up, by the finest level that both have; 1 for equal and for two empty ones."""
+    x, y = (a[1], b[1]) if len(a) == len(b) == 2 else (a[0], b[0])
+    if np.array_equal(x.hashes, y.hashes) and np.array_equal(x.places, y.places):
         return 1.0
-    both = set(a) & set(b)
-    every = sorted({*a, *b})[:size]
-    return sum(x in both for x in every) / len(every)
+    n = aligned(x, y)
+    return n / (len(x.hashes) + len(y.hashes) - n)
+
+
+def written(fingerprint: Fingerprint) -> str:
+    """For each level, base64 of the gaps between places (a byte each) and of the hashes (four bytes each, the lowest first)."""
+    parts = []
+    for places, hashes in fingerprint:
+        gaps = np.diff(places, prepend=0).astype(np.uint8)
+        parts.append(base64.b64encode(gaps.tobytes()).decode() + "." + base64.b64encode(hashes.astype("<u4").tobytes()).decode())
+    return "|".join(parts)
 
 
-def written(fingerprint: list[int]) -> str:
-    return "".join([f"{x:08x}" for x in fingerprint])
+def read_fingerprint(text: str) -> Fingerprint:
+    """What ``written`` wrote."""
+    levels = []
+    for part in text.split("|"):
+        gaps, hashes = (base64.b64decode(x) for x in part.split("."))
+        levels.append(Level(np.cumsum(np.frombuffer(gaps, np.uint8), dtype=np.int64), np.frombuffer(hashes, "<u4")))
+    return tuple(levels)
 
 
 def anchor_table(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
@@ -137,18 +194,22 @@ def anchor_table(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place long, anchor long")
 
 
-def common_places(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, shift, n) of two anchor tables: how many common anchors lie so far apart. A shared passage is one shift with many.
+def common_places(table: DataFrame, least: int = 2) -> DataFrame:
+    """(doc_id, with_id, shift, n) of an anchor table: n anchors of a document stand in another one, so far further on. A shared passage is one shift with many.
 
-    Only anchors that occur once in each table are matched, so frequent passages make no pairs.
+    An anchor's first place, by id and then place, stands for all: each other place is matched with it
+    and not with one another, so an anchor of a third of all documents makes a row a place. Documents
+    that share a passage meet in the one of the least id that has it. Matches within a document, and
+    shifts of under ``least`` anchors, are left out, null ids too.
     """
-    once = lambda t, side: t.groupBy("anchor").agg(F.count("*").alias("n"), F.first("doc_id").alias(f"{side}_id"), F.first("place").alias(f"{side}_at")).where("n = 1").drop("n")
-    met = once(left, "left").join(once(right, "right"), "anchor")
-    return met.groupBy("left_id", "right_id", (F.col("right_at") - F.col("left_at")).alias("shift")).agg(F.count("*").alias("n"))
+    known = table.where("doc_id is not null")
+    first = cut(known.groupBy("anchor").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id").select("anchor", F.col("first.doc_id").alias("with_id"), F.col("first.place").alias("at")), "firsts")
+    met = known.join(first, "anchor").where("doc_id <> with_id")
+    return met.groupBy("doc_id", "with_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) for each row of docs (doc_id, text): the hashes, eight hexadecimal digits each. Empty for null and empty texts."""
+    """(doc_id, fingerprint) for each row of docs (doc_id, text), as ``written``. Null and empty texts have no anchors."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [written(f) for f in fingerprints_of(texts_of(batch["text"]))]
@@ -163,11 +224,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are under the key, by bisection."""
+def _bucket(key: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ascending bounds are under the key, a struct of two longs, by bisection."""
     if not bounds:
         return F.lit(0)
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    table = F.array(*[F.struct(F.lit(k).cast("long").alias("key"), F.lit(t).cast("long").alias("tie")) for k, t in bounds])
     steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
 
     def halve(acc: Column, _: Column) -> Column:
@@ -179,29 +240,51 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve)["lo"]
 
 
+def _part_bounds(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Ascending bounds (key, tie) that cut rows (key, tie) into about so many parts of like size. The rows of a key that alone would fill several are cut by their ties, which are hashes."""
+    found = rows.agg(F.count("*").alias("n"), F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts)).alias("at")).first()
+    if parts < 2 or not found["n"]:
+        return []
+    keys = set(found["at"])
+    share = max(1, found["n"] // parts)
+    many = rows.where(F.col("key").isin(*keys)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * share).collect() if len(keys) < parts - 1 else []
+    cuts = {(k, (1 << 63) - 1) for k in keys}
+    for r in many:
+        pieces = -(-r["n"] // share)
+        cuts |= {(r["key"], (i << 64) // pieces - (1 << 63)) for i in range(pieces)}
+    return sorted(cuts)
+
+
+PART_BYTES, MOST_PARTS = 64 << 20, 10_000
+
+
 def with_followers(docs: DataFrame, run, schema: str, parts: int | None = None) -> DataFrame:
     """Deals docs (doc_id, text) out in descending order of doc_id and calls ``run`` on each part's batches.
 
     A batch has the columns doc_id, text and extra; behind a part's own rows come those with extra,
-    which are the first of the next part (after the last part: of the first). So each row's follower
-    is in its part. Texts move once. Null ids come last; rows of one id go by the hash of their text.
-    Part bounds are quantiles of the ids, so their number is bounded by the number of parts.
+    the first of which is the first row of the next part (after the last part: of the first). So each
+    row's follower is in its part. Texts move once. Null ids come last; rows of one id go by the hash
+    of their text, and are dealt to several parts if they are many. The number of parts follows the
+    size of the texts, and what the driver gets is bounded by it, ``MOST_PARTS`` at most; a part is
+    streamed, so it may be larger than memory.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
-    found = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(found)) if parts > 1 else []
-    placed = rows.withColumn("part", _bucket(F.col("key"), bounds).cast("int"))
-    tops = {r["part"]: r["top"] for r in placed.groupBy("part").agg(F.max("key").alias("top")).collect()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"), F.xxhash64("text").alias("tie"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)))
+    bounds = _part_bounds(rows.select("key", "tie"), parts)
+    at = F.struct("key", "tie")
+    placed = rows.withColumn("part", _bucket(at, bounds).cast("int"))
+    tops = {r["part"]: r["top"] for r in placed.groupBy("part").agg(F.max(at).alias("top")).collect()}
     used = sorted(tops)
     upper = {p: used[(i + 1) % len(used)] for i, p in enumerate(used)}  # the part whose last row is followed by this part's first
     lookup = lambda d: F.try_element_at(F.array(*[F.lit(d.get(i)).cast("long") for i in range(len(bounds) + 1)]), F.col("part") + 1)
     own = F.struct(F.col("part").alias("to"), F.lit(False).alias("extra"))
     copy = F.struct(lookup(upper).cast("int").alias("to"), F.lit(True).alias("extra"))
-    goes = F.when(F.col("key") == lookup(tops), F.array(own, copy)).otherwise(F.array(own))
-    dealt = placed.select("doc_id", "text", "key", F.xxhash64("text").alias("tie"), F.inline(goes))
+    top = (F.col("key") == lookup({p: t["key"] for p, t in tops.items()})) & (F.col("tie") == lookup({p: t["tie"] for p, t in tops.items()}))
+    dealt = placed.select("doc_id", "text", "key", "tie", F.inline(F.when(top, F.array(own, copy)).otherwise(F.array(own))))
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions("to", "extra", F.desc("key"), F.desc("tie"))
     return dealt.select("doc_id", "text", "extra").mapInArrow(run, schema)
 
@@ -214,7 +297,7 @@ def compared(docs: DataFrame) -> DataFrame:
     kinds = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def made(ids: list, texts: list[str], prints: list[list[int]]) -> pa.RecordBatch:
+    def made(ids: list, texts: list[str], prints: list[Fingerprint]) -> pa.RecordBatch:
         """All rows but the last, which only follows."""
         changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
         new = fingerprints_of(changed)
@@ -246,4 +329,11 @@ def compared(docs: DataFrame) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness and the follower's.
+
+    Null and empty texts have no anchors, and two of them are alike; a very long text has all its
+    anchors in its fingerprint. Equal texts have equal fingerprints. Rows of one id go by the hash of
+    their text, and null ids come last. A lone document follows itself. No documents, no rows. Other
+    columns aren't read.
+    """
     return compared(documents(spark, sf_dir))
