@@ -209,6 +209,12 @@ def scored(docs: DataFrame, model: AdditiveModel | None) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality.
+
+    A null or empty text has measures of 0; a very long one is measured whole. Rows that repeat, and
+    equal texts, have equal scores; a null id stays null, isn't held out and isn't learned from. Equal
+    gains go to the pair that is later in order. No documents, no rows. Other columns aren't read.
+    """
     docs = documents(spark, sf_dir)
     found = scored(docs, fit(docs, labels(spark, sf_dir)))
     held = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))

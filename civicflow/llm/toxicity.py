@@ -220,27 +220,32 @@ def _calibrate(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, f
     return max(float(w[0]), 0.05), float(w[1])
 
 
-def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
-    """(doc_id, text, label) of at most about ``per_class`` rows of each class, whose id may be learned from.
+def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, per_class: int, seed: int, longest: int | None = None) -> DataFrame:
+    """(doc_id, text, label) of at most about ``per_class`` documents of each class that may be learned from.
 
-    Left out: ids with crc32 mod 3 equal to 1, null ids and null labels. The chosen label rows are
-    broadcast; their number is bounded by the parameter.
+    Left out: ids with crc32 mod 3 equal to 1, null ids, null labels, ids with labels that contradict
+    one another, and texts of more than ``longest`` characters. Rows that repeat count once; of an
+    id's different texts the least is learned from. The chosen label rows are broadcast; their number
+    is bounded by the parameter.
     """
-    known = marks.select("doc_id", F.col(label).cast("int").alias("label")).where(f"doc_id is not null and label in (0, 1)")
-    known = known.where(id_remainder(F.col("doc_id"), 3) != 1)
+    known = marks.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = known.where(id_remainder(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     rates = [min(1.0, per_class / sizes[k]) if sizes.get(k) else 0.0 for k in (0, 1)]
     chosen = known.where(sample_hash(F.col("doc_id"), seed) < F.when(F.col("label") == 1, rates[1]).otherwise(rates[0]))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if longest is not None:
+        texts = texts.where(F.length("text") <= longest)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
-def fit(docs: DataFrame, marks: DataFrame, per_class: int = 1200) -> ToxicityModel | None:
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = 1200, longest: int = 50_000) -> ToxicityModel | None:
     """Learns from the labels toxic of marks (doc_id, toxic); None unless both classes have examples.
 
-    The sample of at most about 2 x ``per_class`` texts is sorted, so the model doesn't depend on the
-    order of rows.
+    The sample of at most about 2 x ``per_class`` texts of up to ``longest`` characters is what the
+    driver gets. It is sorted, so the model doesn't depend on the order of rows.
     """
-    rows = labelled_sample(docs, marks, "toxic", per_class, 10).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")])
+    rows = labelled_sample(docs, marks, "toxic", per_class, 10, longest).toArrow().sort_by([("doc_id", "ascending")])
     toxic = rows["label"].to_numpy()
     if len(set(toxic.tolist())) < 2:
         return None
@@ -259,6 +264,12 @@ def scored(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity.
+
+    A null or empty text scores as one without words; a very long one is read whole, window by
+    window. Rows that repeat, and equal texts, have equal scores; a null id stays null, isn't held
+    out and isn't learned from. No documents, no rows. Other columns aren't read.
+    """
     docs = documents(spark, sf_dir)
     found = scored(docs, fit(docs, labels(spark, sf_dir)))
     held = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
