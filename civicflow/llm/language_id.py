@@ -1,14 +1,17 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
 One table of slots serves up to 64 languages: bit l of a slot says that some n-gram of language l
-falls there; more languages have further tables of the same slots. The AND of an n-gram's slots is therefore the set of all languages that contain it, up to
-false positives. A text's votes per language are the popcounts of these sets, less the number that
-the language's fill rate makes false; the language with most votes wins.
+falls there; more languages have further tables of the same slots. The AND of an n-gram's slots is
+therefore the set of all languages that contain it, up to false positives. A text's votes per
+language are the popcounts of these sets, less the number that the language's fill rate makes false;
+the language with most votes wins.
 
 The filters are learned from a sample of at most about ``per_language`` documents of each language
 (drawn by a hash of the id; the bound is the documented parameter of the fit). An n-gram enters a
-language's filter if it came at least ``least`` times there and at a rate of at least ``share`` of
-its highest rate in any language, so that n-grams borrowed from another language don't count.
+language's filter if it came at least ``least`` times there (once, in a language of few examples) and
+at a rate of at least ``share`` of its highest rate in any language, so that n-grams borrowed from
+another language don't count. The sample's bound bounds the n-grams of a language, and so the fill of
+its bits.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm.base import code_points, cut, documents, id_remainder, map_batches, sample_hash, spans_of, texts_of
+from civicflow.llm.base import code_points, cut, documents, id_remainder, map_batches, quoted, sample_hash, spans_of, texts_of
 
 GRAM_SIZES = (2, 3, 4)
 HASHES = 2
@@ -107,7 +110,7 @@ class LanguageModel:
                         bit = (sets >> np.uint64(b - 64 * word)) & np.uint64(1)
                         hits[:, b] = np.bincount(owner[: len(sets)], weights=bit, minlength=len(texts))
             false = self.fill[n] ** HASHES
-            total += np.maximum(0, (hits - count[:, None] * false) / (1 - false))
+            total += np.maximum(0, (hits - count[:, None] * false) / np.maximum(1 - false, 1e-6))
             grams += count
         return total, grams, n_letters
 
@@ -174,7 +177,9 @@ def fit(
     if sums:
         rated = counts.withColumn("rate", F.col("times") * weight[F.col("lang_no") * 8 + F.col("n")])
         per_gram = rated.groupBy("n", "gram").agg(F.collect_list(F.struct("lang_no", "times", "rate")).alias("seen"), F.max("rate").alias("most"))
-        member = F.filter("seen", lambda x: (x["times"] >= least) & (x["rate"] >= share * F.col("most")))
+        examples = {r["lang"]: r["count"] for r in counted}
+        needed = F.array(*[F.lit(least if examples[x] >= 10 * least else 1) for x in languages])
+        member = F.filter("seen", lambda x: (x["times"] >= F.element_at(needed, (x["lang_no"] + 1).cast("int"))) & (x["rate"] >= share * F.col("most")))
         bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x["lang_no"] % 64).cast("int"))
         mask = lambda w: F.aggregate(F.filter("kept", lambda x: F.floor(x["lang_no"] / 64) == w), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
         masks = F.inline(F.array(*[F.struct(F.lit(w).cast("long").alias("word"), mask(w).alias("mask")) for w in words]))
@@ -234,10 +239,18 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, least_known: f
             lang, _, known = model.predict(texts_of(batch["text"]))
             yield batch.filter(pa.array([x != UNKNOWN and k >= least_known for x, k in zip(lang, known, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    every = docs.select(*[F.col(quoted(c)).alias(f"c{i}" if c != "text" else "text") for i, c in enumerate(docs.columns)])
+    return every.mapInArrow(run, every.schema).toDF(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, and the shares of its votes and of its known n-grams.
+
+    A null text, an empty one, or one without a letter is ``und`` with score 0; a very long one is read
+    whole. Ties go to the language first in order. Rows that repeat, and equal texts, get equal
+    answers; a null id stays null and isn't learned from. No documents, no rows. Of the columns of
+    documents, doc_id, text and, in learning, lang are read.
+    """
     docs = documents(spark, sf_dir)
     found = identify(docs, fit(docs))
     held = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
