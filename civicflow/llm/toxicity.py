@@ -6,8 +6,9 @@ one table; a misspelt or inflected word shares most of them with words seen in t
 Table and softmax are trained jointly by minibatch gradient steps in numpy. A text scores as its most
 toxic window, calibrated on a part of the sample that training didn't see.
 
-Toxic documents teach with all their windows first; then only with those that the first round finds
-toxic, and at least one each, since most words of a toxic document are harmless.
+Toxic documents teach with all their windows. In further rounds, if asked for, they teach only with
+those that the round before finds toxic, and at least one each. One round was best where settings
+were compared, which was within the rows that may be learned from.
 
 The model is linear behind the averages, so scoring needs one number a table row: a word's worth is
 the mean of its rows' numbers, and it is kept for words seen before.
@@ -137,7 +138,7 @@ def _pooled(bags: _Bags, table: np.ndarray, chosen: np.ndarray):
     return vectors[place].sum(1) / n[:, None], (words, place, rows, sizes, n)
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, least_epochs: int = 3, work: int = 300_000, batch: int = 256, rate: float = 0.5, seed: int = 10) -> ToxicityModel:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 1, least_epochs: int = 3, work: int = 300_000, batch: int = 256, rate: float = 0.5, seed: int = 10) -> ToxicityModel:
     """Learns from a sample that fits the driver; toxic holds 0 and 1.
 
     A small sample is gone through more often: each round takes about ``work`` windows, and all
