@@ -2,15 +2,18 @@
 
 A text's fingerprint has 64 bits, the majority of its word shingles' hashes. Fingerprints that differ
 in at most ``RADIUS`` bits are linked, and linked documents form groups. Each fingerprint has a row in
-a pivot table: its Hamming distances to ``PIVOTS`` reference fingerprints. By the triangle inequality
-no coordinate of two linked fingerprints differs by more than the radius, so a pair with a larger
-difference in any coordinate is dropped; survivors are verified bit by bit.
+a pivot table: its Hamming distances to ``PIVOTS`` reference fingerprints, which are drawn from the
+corpus. By the triangle inequality no coordinate of two linked fingerprints differs by more than the
+radius. Within a bucket, fingerprints are sorted by the coordinate that spreads most there, and only
+those within a radius of each other along it become pairs; of these, a pair with a larger difference
+in any other coordinate is dropped, and survivors are verified bit by bit.
 
 Distances of 64-bit fingerprints to a pivot crowd around 32, so ranges of a few coordinates don't
-split a corpus: the table can discard pairs but not find them. Pairs come from agreeing bit blocks:
-the bits are cut into m blocks, and of two linked fingerprints at least m - RADIUS blocks are equal,
-so that each pair meets under some choice of m - RADIUS blocks. m grows with the logarithm of the
-number of fingerprints, to keep what meets by chance at a few a bucket. This loses no link.
+split a corpus: alone, the table would leave nearly all pairs to be looked at. Buckets come from
+agreeing bit blocks: the bits are cut into m blocks, and of two linked fingerprints at least
+m - RADIUS blocks are equal, so that each pair meets under some choice of m - RADIUS blocks. m grows
+with the logarithm of the number of fingerprints, to keep what meets by chance at a few a bucket.
+Neither step loses a link.
 
 Equal fingerprints are one row before pairs are sought. A bucket never becomes a list of its pairs:
 its links come out as a spanning forest. A bucket beyond ``CHUNK`` fingerprints is cut into chunks
@@ -19,6 +22,7 @@ that meet two by two, as tasks of their own.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm.base import cut, documents, map_batches
+from civicflow.llm.base import cut, documents, fresh, map_batches
 from civicflow.operators.components import components
 
 SHINGLE = 4
@@ -77,6 +81,12 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, n, np.uint64, endpoint=False)
 
 
+def corpus_pivots(distinct: DataFrame, n: int = PIVOTS) -> np.ndarray:
+    """The n fingerprints of a corpus (fp) that are first by a hash; made-up ones behind them if there are fewer."""
+    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(n).collect()
+    return np.concatenate([np.array([r["fp"] for r in rows], np.int64).view(np.uint64), pivots(n)])[:n]
+
+
 def pivot_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     """A row of Hamming distances to the reference fingerprints for each fingerprint."""
     return np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.int8)
@@ -110,38 +120,56 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_in_runs(runs: np.ndarray, fps: np.ndarray, radius: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among rows of the same run; runs are consecutive."""
+def links_in_runs(runs: np.ndarray, fps: np.ndarray, radius: int, references: np.ndarray, counts: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among rows of the same run; runs are consecutive.
+
+    counts gets the numbers of pairs that meet, are formed, are left by the pivot table, and are links.
+    """
+    counts = Counter() if counts is None else counts
     n = len(fps)
     starts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
     sizes = np.diff(np.concatenate([starts, [n]]))
     wide = np.repeat(sizes > 1, sizes)
     fps, sizes = fps[wide], sizes[sizes > 1]
-    after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(fps)) - 1  # rows of the run behind each row
+    if not len(fps):
+        return fps, fps
+    counts["met"] += int((sizes * (sizes - 1) // 2).sum())
     table = pivot_table(fps, references)
+    run, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    total = np.add.reduceat(table, begin, dtype=np.int64)
+    spread = np.add.reduceat(np.square(table, dtype=np.int64), begin) * sizes[:, None] - total**2
+    along = table[np.arange(len(fps)), spread.argmax(1)[run]]  # each run's most telling coordinate
+    order = np.lexsort((fps, along, run))
+    fps, table, along = fps[order], table[order], along[order]
+    after = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(fps)) - 1  # rows of the run behind each row
     label, live = np.arange(len(fps)), np.arange(len(fps))
     for step in range(1, int(sizes.max(initial=1))):
         live = live[after[live] >= step]
+        live = live[along[live + step] - along[live] <= radius]  # those further on are further off
+        if not len(live):
+            break
         a, b = live, live + step
+        counts["formed"] += len(live)
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
         for part in range(0, len(references), 8):  # most pairs by chance go at the first coordinates
             near = (np.abs(table[a, part : part + 8] - table[b, part : part + 8]) <= radius).all(1)
             a, b = a[near], b[near]
+        counts["left"] += len(a)
         true = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+        counts["links"] += int(true.sum())
         if true.any():
             label = _settle(label, a[true], b[true])
     child = np.flatnonzero((label != np.arange(len(fps))) & (fps != fps[label]))
     return fps[child], fps[label[child]]
 
 
-def _linked(rows: DataFrame, keys: list[str], chunk: int, radius: int) -> DataFrame:
+def _linked(rows: DataFrame, keys: list[str], chunk: int, radius: int, references: np.ndarray) -> DataFrame:
     """Links (a, b) among the fingerprints of each key; runs over ``chunk`` come out as (keys, chunk_no, a) instead.
 
     rows: keys and fp, dealt by the keys and sorted by them.
     """
     kept = [f"k{i}" for i in range(len(keys))]
-    references = pivots()
 
     def whole(now: np.ndarray, done: dict) -> Iterator[pa.RecordBatch]:
         """Links of runs that have ended; what is left of, or is itself, a long run goes into chunks."""
@@ -190,11 +218,11 @@ def _linked(rows: DataFrame, keys: list[str], chunk: int, radius: int) -> DataFr
 
 def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp), enough of them to connect all that are within the radius of one another."""
-    masks = blocks_for(distinct.count(), radius)
+    masks, references = blocks_for(distinct.count(), radius), corpus_pivots(distinct)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select("fp", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])))
     met = keyed.repartition("table", "bits").sortWithinPartitions("table", "bits", "fp")
-    first = cut(_linked(met, ["table", "bits"], chunk, radius), "links")
+    first = cut(_linked(met, ["table", "bits"], chunk, radius, references), "links")
     long = first.where("chunk_no is not null").select("k0", "k1", "chunk_no", F.col("a").alias("fp"))
     if long.isEmpty():
         return first.select("a", "b")
@@ -203,7 +231,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     pairs = long.join(most, ["k0", "k1"]).select("k0", "k1", "chunk_no", "fp", others.alias("other")).where("chunk_no <> other")
     pairs = pairs.select("k0", "k1", F.least("chunk_no", "other").alias("k2"), F.greatest("chunk_no", "other").alias("k3"), "fp")
     keys = ["k0", "k1", "k2", "k3"]
-    second = _linked(pairs.repartition(*keys).sortWithinPartitions(*keys, "fp"), keys, 0, radius)
+    second = _linked(pairs.repartition(*keys).sortWithinPartitions(*keys, "fp"), keys, 0, radius, references)
     return first.where("chunk_no is null").select("a", "b").unionByName(second.select("a", "b"))
 
 
@@ -215,21 +243,41 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     id. Null texts are empty; texts without words have fingerprint 0 and link like any other.
     """
     own = cut(fingerprints(docs, shingle), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = cut(components(links(distinct.select("fp"), radius)), "roots")
-    least = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.select("fp", "root").join(first, "root").select(F.col("fp").alias("f"), "component_id")
-    return own.join(named, own["fp"] == named["f"], "left").select("doc_id", "fp", "component_id")
+    distinct = cut(own.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")), "distinct")
+    root = cut(components(links(distinct.select(F.col("node").alias("fp")), radius)), "roots")
+    return own.join(group_names(distinct, root), F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
+
+
+def group_names(distinct: DataFrame, root: DataFrame) -> DataFrame:
+    """(node, component_id) for each node of distinct (node, least): the least of all that share its root, or its own.
+
+    Written between joins, so that those on a root or node with very many rows read shuffles that can be split.
+    """
+    linked = root.join(distinct.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "root", "least")
+    first = cut(linked.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "groups")
+    named = linked.join(first, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id")
+    every = distinct.join(named, F.col("node") == F.col("n"), "left")
+    return cut(every.select("node", F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "names")
+
+
+def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the documents whose group, by found (doc_id, component_id), has one of a smaller id. Rows without an id stay, as no group can name them."""
+    gone = fresh(docs.columns, "gone")
+    later = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(gone)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    return docs.join(later.where("not stays").select(gone), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs without the documents whose group has one of a smaller id. Rows without an id stay, as no group can name them."""
-    found = near_groups(docs, shingle, radius).where("doc_id is not null")
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without the documents whose group has one of a smaller id."""
+    return without_later(docs, near_groups(docs, shingle, radius))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id that it is linked with.
+
+    Null and empty texts, and others without words, have fingerprint 0 and link like any other; a very
+    long text is read whole. A bit that half of the hashes have is 0. Rows that repeat have equal
+    rows; a null id stays null and names no group. No documents, no rows. Other columns aren't read.
+    """
     found = near_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
