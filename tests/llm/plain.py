@@ -78,3 +78,30 @@ def pieces(tokenizer, text, capacity=1024, end=2):
     first = (len(ids) - 1) % capacity + 1
     cuts = [0, *range(first, len(ids), capacity), len(ids)]
     return [(no, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for no, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def near_groups(rows):
+    """(id, least id of the group) of each row (id, text): five-word shingle sets of likeness 0.8 or more, linked through one another."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, least.get(find(i))) for i, (d, _) in enumerate(rows)]

@@ -48,6 +48,40 @@ def test_additive_model_is_a_sum_of_tables():
     assert ((model.score(x) >= 0.5) == y).mean() > 0.8
 
 
+def test_quality_against_a_plain_version(spark):
+    """Scores of a whole small table, looked up one measure at a time."""
+    docs, marks = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), marks)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.scored(docs, model).collect():
+        x = quality.measures(texts[r["doc_id"]] or "")
+        z = model.intercept + sum(model.tables[f][sum(c <= x[f] for c in edge)] for f, edge in enumerate(model.edges))
+        for (i, j), grid in zip(model.pairs, model.grids, strict=True):
+            z += grid[sum(c <= x[i] for c in model.coarse[i])][sum(c <= x[j] for c in model.coarse[j])]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_labels_that_repeat_or_contradict(spark):
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] * 30 + [(0, 1), (2, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, f"text {k % 3} of {i}") for i in range(60) for k in range(20)] + [(5, "x" * 100)], "doc_id long, text string")
+    got = toxicity.labelled_sample(docs, marks, "toxic", 1000, 1, longest=50).collect()
+    want = {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1} - {0, 2}
+    assert sorted(r["doc_id"] for r in got) == sorted(want) and all(r["text"] == f"text 0 of {r['doc_id']}" and r["label"] == r["doc_id"] % 2 for r in got)
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """Scores of a whole small table: every window's words averaged one by one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.scored(docs, model).collect():
+        words = toxicity.words_of(texts[r["doc_id"]] or "")
+        own = [float(np.mean(model.worth[toxicity.subwords(w)])) for w in words]
+        windows = [own[a : a + toxicity.WINDOW] for a in range(0, max(1, len(own) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)]
+        z = max(sum(w) / max(len(w), toxicity.PADDED) for w in windows) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.scale * z + model.shift))), abs=1e-6)
+
+
 def test_toxicity_of_held_out_documents(spark):
     got = toxicity.op10_toxicity(spark, LARGE).join(spark.read.parquet(f"{LARGE}/labels.parquet"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]
@@ -167,11 +201,8 @@ def test_pipeline_against_a_plain_version(spark):
     docs = [d for d in docs if any(c.isalpha() for c in d[1] or "")]
     cleaned = plain.lines_kept(docs)
     docs = sorted((i, t) for i, (t, gone) in cleaned.items() if not gone or t)
-    root = plain.groups([plain.simhash(t) for _, t in docs])
-    least = {}
-    for (i, _), r in zip(docs, root, strict=True):
-        least[r] = min(i, least.get(r, i))
-    docs = [d for d in docs if d[0] in least.values()]
+    named = plain.near_groups(docs)
+    docs = [d for d, (i, least) in zip(docs, named, strict=True) if i == least]
     t = Tokenizer.from_file(packing.default_tokenizer())
     want = []
     for i, text in docs:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -99,6 +101,22 @@ def test_pivot_table_bounds_distance():
     assert (bound > simhash.RADIUS).mean() > 0.99
 
 
+def test_the_pivot_table_discards_pairs():
+    """In buckets that meet by chance, few pairs are formed, and hardly one but the links is left to verify."""
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, 4000, np.uint64)
+    fps[1::40] = fps[::40] ^ np.uint64(5)
+    fps = np.unique(fps)
+    runs = np.sort(rng.integers(0, 40, len(fps)))
+    runs[np.searchsorted(runs, 39) :] = 39
+    counts = Counter()
+    a, b = simhash.links_in_runs(runs, fps, 4, fps[rng.choice(len(fps), simhash.PIVOTS, replace=False)], counts)
+    near = {(min(x, y), max(x, y)) for r in range(40) for own in [fps[runs == r].tolist()] for i, x in enumerate(own) for y in own[:i] if (x ^ y).bit_count() <= 4}
+    assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == near
+    assert counts["met"] == sum(n * (n - 1) // 2 for n in np.bincount(runs))
+    assert counts["formed"] < 0.7 * counts["met"] and counts["left"] <= counts["links"] + 0.001 * counts["met"]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (2001, 2000)], "a long, b long")
     root = {r["node"]: r["root"] for r in components(edges).collect()}
