@@ -5,9 +5,10 @@ a window occurs in the corpus, in order of document id (then text hash, then lin
 the lines under every later one go. Overlapping windows merge, since a line goes if any window over
 it does. DataFrame functions only.
 
-The windows are first counted with partial aggregation, so a window that stands in a third of all
-documents meets itself as one row a task. Only repeated windows are joined back to their places, and
-this join and the one with the documents are shuffles that adaptive execution may split.
+Windows are hashed once and their places written. They are counted with partial aggregation of
+numbers only, so a window that stands in a third of all documents meets itself as one row a task.
+Only places of repeated windows are looked at further. The joins read both sides from written tables
+or shuffles of their own, which adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.llm.base import documents
+from civicflow.llm.base import cut, documents, quoted
+from civicflow.storage import dropped
 
 WINDOW = 3
 
@@ -47,12 +49,13 @@ def window_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, t1, t2, gone): for each text with lines to remove, the numbers of their windows' first lines."""
-    places = window_places(docs, window)
-    first = F.min(F.struct("id", "t1", "t2", "pos")).alias("first")
-    last = F.max(F.struct("id", "t1", "t2", "pos")).alias("last")
-    # A repeated row is the same document, so a window repeats if its first and last places differ.
-    repeated = places.groupBy("w1", "w2").agg(first, last).where("first <> last").select("w1", "w2", "first")
-    later = places.join(repeated, ["w1", "w2"]).where(F.struct("id", "t1", "t2", "pos") > F.col("first"))
+    places = cut(window_places(docs, window), "places")
+    often = cut(places.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
+    again = cut(places.join(often, ["w1", "w2"], "left_semi"), "again")
+    dropped(places, often)
+    # A repeated row is the same document, so the first of its places is among the later ones, but not beyond itself.
+    first = cut(again.groupBy("w1", "w2").agg(F.min(F.struct("id", "t1", "t2", "pos")).alias("first")), "firsts")
+    later = again.join(first, ["w1", "w2"]).where(F.struct("id", "t1", "t2", "pos") > F.col("first"))
     return later.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -66,7 +69,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     other column stays; columns of docs called n_lines or n_removed are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    left = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"), *[k.alias(f"t{i}") for i, k in enumerate(_key(F.coalesce("text", F.lit(""))), 1)])
+    left = docs.select(F.struct(*[F.col(quoted(c)) for c in own]).alias("row"), F.col("doc_id").alias("id"), *[k.alias(f"t{i}") for i, k in enumerate(_key(F.coalesce("text", F.lit(""))), 1)])
     right = repeated_lines(docs, window).select(F.col("id").alias("rid"), F.col("t1").alias("r1"), F.col("t2").alias("r2"), "gone")
     met = left.join(right, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")) & F.col("id").eqNullSafe(F.col("rid")), "left")
     # The lines are a column: a lambda would split the text again for every line that it looks up.
@@ -84,6 +87,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines that came before, with its number of lines and of those removed.
+
+    A null text stays null, with no lines; an empty one has one line; a very long one is read whole.
+    Rows that repeat keep what their document keeps; documents of one id go in the order of their
+    text's hash, and null ids come first. No documents, no rows. Other columns aren't read.
+    """
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
 
 
