@@ -1,15 +1,23 @@
-"""Sparse and dense retrieval: BM25, TF-IDF, blocked cosine top-k, fusion, recall.
+"""Sparse and dense retrieval: BM25, TF-IDF, exact vector search, fusion, recall.
 
-Every ranking breaks ties by id. Similarity never meets all pairs: BM25 and TF-IDF meet on terms,
-vectors on a block key.
+Every ranking breaks ties by id. BM25 and TF-IDF meet on terms. Vector search takes a query set, cut
+into blocks of bounded size, against all rows; each task keeps the best of each query, so that what
+is shuffled grows with tasks and queries, not with their products with rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from civicflow.functions.numbers import cosine, ratio
+from civicflow.functions.numbers import ratio
 from civicflow.functions.text import tokens
 
 
@@ -73,17 +81,94 @@ def tfidf_links(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFr
     return top(scored.where(F.col("score") >= least), ["block", "left_id"], "score", "right_id", 1).drop("rank")
 
 
-def blocked_cosine(queries: DataFrame, items: DataFrame, block: list[str], vector: str, k: int, above: float | None = None) -> DataFrame:
-    """(block, query_id, id, score, rank): the k items nearest to each query of the same block, by cosine.
+QUERY_BYTES = 64 << 20
+
+
+def search(queries: DataFrame, items: DataFrame, vector: str, k: int, block: list[str] | None = None, above: float | None = None, skip_own: bool = True, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(block, query_id, id, score, rank): the k items nearest to each query, by cosine, of the same block if there are any.
 
-    queries has (block, query_id, vector), items (block, id, vector). A query set that is small
-    against the items is what makes this one equi-join; it shuffles once, by block and query.
+    queries has (block, query_id, vector), items (block, id, vector); ids are longs. The queries are a
+    stated set. They are read in parts of at most ``query_bytes``, each of which meets all items in
+    one pass, and a pass's part is what the driver and a task hold. A vector of zeros, with nulls, or of
+    another length isn't found, nor is an item with the query's own id, unless the two are ids of different things. Repeated ids count once, by their
+    best score. No items or queries, no rows.
     """
-    met = queries.withColumnRenamed(vector, "_q").join(items.withColumnRenamed(vector, "_v"), block)
-    scored = met.select(*block, "query_id", "id", cosine(F.col("_q"), F.col("_v")).alias("score"))
-    if above is not None:
-        scored = scored.where(F.col("score") > above)
-    return top(scored, [*block, "query_id"], "score", "id", k)
+    block = block or []
+    keys = T.StructType([T.StructField(c, queries.schema[c].dataType) for c in block])
+    schema = T.StructType([*keys.fields, T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
+    asked = queries.select(*block, F.col("query_id").cast("long"), F.col(vector).cast("array<double>").alias("v")).where("query_id is not null and v is not null")
+    given = items.select(*block, F.col("id").cast("long"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    size = asked.agg(F.sum(F.size("v") * 8 + 64).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // query_bytes))
+    found = None
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).orderBy("query_id").toArrow()
+        one = given.mapInArrow(_nearest(own, block, k, above, skip_own), schema)
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy(*block, "query_id", "id").agg(F.max("score").alias("score"))
+    return top(best, [*block, "query_id"], "score", "id", k)
+
+
+def _nearest(asked: pa.Table, block: list[str], k: int, above: float | None, skip_own: bool):
+    """A function of a task's items that gives the best of each query of a part."""
+
+    def unit(rows: list) -> np.ndarray:
+        v = np.array(rows, float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return v / np.sqrt((v * v).sum(1))[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, dict[tuple, list[int]]] = {}  # rows of the queries of a block and length
+        vectors, ids = asked["v"].to_pylist(), asked["query_id"].to_pylist()
+        for i, at in enumerate(zip(*[asked[c].to_pylist() for c in block]) if block else [()] * len(ids)):
+            groups.setdefault((at, len(vectors[i])), []).append(i)
+        units = {key: unit([vectors[i] for i in rows]) for key, rows in groups.items()}
+        best: list[list[tuple[float, int]]] = [[] for _ in ids]  # heaps: the worst of the best first
+        for batch in batches:
+            every, own = batch["v"].to_pylist(), batch["id"].to_numpy()
+            at = list(zip(*[batch[c].to_pylist() for c in block])) if block else [()] * len(every)
+            by: dict[tuple, list[int]] = {}
+            for j, v in enumerate(every):
+                if (at[j], len(v)) in groups:
+                    by.setdefault((at[j], len(v)), []).append(j)
+            for key, rows in by.items():
+                scores = units[key] @ unit([every[j] for j in rows]).T
+                numbers = own[rows]
+                for i, line in zip(groups[key], scores, strict=True):
+                    ok = np.isfinite(line) & ((numbers != ids[i]) | (not skip_own))
+                    if above is not None:
+                        ok &= line > above
+                    near = np.flatnonzero(ok)
+                    if len(near) > 2 * k:  # those that can be among the best, ties included
+                        near = near[line[near] >= np.partition(line[near], len(near) - k)[len(near) - k] - 1e-9]
+                    for s, j in zip(line[near].tolist(), numbers[near].tolist()):
+                        entry = (round(s, 9), -j, s)
+                        if len(best[i]) < 2 * k:
+                            heapq.heappush(best[i], entry)
+                        elif entry > best[i][0]:
+                            heapq.heapreplace(best[i], entry)
+        rows = [(i, -j, s) for i, heap in enumerate(best) for _, j, s in heap]
+        if rows:
+            who = pa.array([i for i, _, _ in rows])
+            cols = [asked[c].combine_chunks().take(who) for c in (*block, "query_id")]
+            cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([j for _, j, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.float64())], [*block, "query_id", "id", "score"])
+
+    return run
+
+
+def hashed_words(text: Column, dims: int = 256) -> Column:
+    """Counts of a text's lower-case white-space words by the first byte of their md5: a dense vector that any SQL engine can compute."""
+    buckets = F.transform(tokens(F.lower(text)), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int"))
+    return _counted(buckets, dims)
+
+
+def _counted(buckets: Column, dims: int) -> Column:
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:  # a fold over an array in SQL would copy it for each word
+        return s.map(lambda b: np.bincount(np.asarray(b, np.int64), minlength=dims).astype(float))
+
+    return run(buckets)
 
 
 def reciprocal_rank_fusion(*ranked: DataFrame, constant: int = 60) -> DataFrame:

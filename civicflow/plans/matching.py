@@ -117,7 +117,7 @@ def class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.class_weight(table(spark, sf_dir, "labels"), F.col("toxic") == 1).withColumn("weight", F.round("weight", 6))
 
 
-_ROWS = """r AS (SELECT 'D' || l_suppkey % 60 AS docket_id, CASE WHEN l_linenumber = 1 THEN 'fr' || l_partkey % 400 ELSE 'nan' END AS fr, CASE WHEN l_linenumber = 2 THEN 'r' || l_partkey % 300 || '; r' || l_orderkey % 300 END AS rins, CASE WHEN l_linenumber = 3 THEN 'doc' || l_partkey % 100 END AS refers_to, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 0),
+_ROWS = """r AS (SELECT 'D' || l_suppkey % 60 AS docket_id, CASE WHEN l_linenumber = 1 THEN 'fr' || l_partkey % 400 ELSE 'nan' END AS fr, CASE WHEN l_linenumber = 2 THEN 'r' || l_partkey % 300 || '; r' || l_orderkey % 300 END AS rins, CASE WHEN l_linenumber = 3 THEN 'doc' || l_partkey % 100 END AS refers_to, l_linenumber FROM lineitem),
 cd AS (SELECT DISTINCT docket_id FROM r WHERE right(docket_id, 1) IN ('1', '2', '3')), od AS (SELECT DISTINCT docket_id FROM r EXCEPT SELECT docket_id FROM cd),
 fr AS (SELECT DISTINCT docket_id, fr AS v FROM r WHERE fr <> 'nan'), rn AS (SELECT DISTINCT docket_id, unnest(list_filter(regexp_split_to_array(rins, '[,;\\s]+'), lambda x: x <> '')) AS v FROM r WHERE rins IS NOT NULL),
 dd AS (SELECT 'doc' || n AS document_id, 'D' || n % 60 AS docket_id FROM range(100) t(n)),
@@ -128,7 +128,7 @@ every AS (SELECT *, 0 AS p FROM l1 UNION ALL SELECT *, 1 FROM l2 UNION ALL SELEC
 
 
 def _links(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    t = table(spark, sf_dir, "lineitem")
     n, no = lambda c, k: (F.col(c) % k).cast("string"), F.col("l_linenumber")
     rows = t.select(
         F.concat(F.lit("D"), n("l_suppkey", 60)).alias("docket_id"), F.when(no == 1, F.concat(F.lit("fr"), n("l_partkey", 400))).otherwise("nan").alias("fr"),
@@ -155,12 +155,12 @@ def crosswalk_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.best_links(*_links(spark, sf_dir))
 
 
-_NEAR = "near AS (SELECT DISTINCT l_orderkey % 200 AS target, l_partkey % 200 AS duplicate FROM lineitem WHERE l_orderkey % 37 = 0 AND l_orderkey % 200 <> l_partkey % 200), cited AS (SELECT DISTINCT o_custkey % 200 AS id FROM orders WHERE o_orderkey % 41 = 0)"
+_NEAR = "near AS (SELECT DISTINCT l_orderkey AS target, l_partkey AS duplicate FROM lineitem WHERE l_orderkey <> l_partkey), cited AS (SELECT DISTINCT o_custkey AS id FROM orders)"
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    near = table(spark, sf_dir, "lineitem").where("l_orderkey % 37 = 0").select((F.col("l_orderkey") % 200).alias("target"), (F.col("l_partkey") % 200).alias("duplicate")).where("target <> duplicate").distinct()
-    cited = table(spark, sf_dir, "orders").where("o_orderkey % 41 = 0").select((F.col("o_custkey") % 200).alias("id")).distinct()
+    near = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_partkey").alias("duplicate")).where("target <> duplicate").distinct()
+    cited = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct()
     return cited, near
 
 
@@ -204,36 +204,50 @@ def error_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.volume(met.select(reason.alias("reason")), "reason")
 
 
-_NAMES = "n AS (SELECT c_custkey AS a, s_suppkey AS b, lower(c_name) AS ca, lower(s_name) AS sb FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = 0)"
+# People made up from both tables: a nickname or first name, a last name, and the nation as the state.
+# Customers whose key is divisible by 100 are the query set; all suppliers of their nation are compared.
+_SHORT, _LONG = list(N.NICKNAMES), sorted(set(N.NICKNAMES.values()))
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_NAMES = f"""nick AS (SELECT unnest({_LIST(N.NICKNAMES)}) AS short, unnest({_LIST(N.NICKNAMES.values())}) AS long),
+c AS (SELECT c_custkey AS a, ({_LIST(_SHORT)})[c_custkey // 100 % {len(_SHORT)} + 1] AS fa, 'mac' || ({_LIST(_LONG)})[c_custkey // 100 % {len(_LONG)} + 1] AS la, c_nationkey AS na, c_nationkey % 5 AS sa FROM customer WHERE c_custkey % 100 = 0),
+s AS (SELECT s_suppkey AS b, ({_LIST(_LONG)})[s_suppkey % {len(_LONG)} + 1] AS fb, 'mac' || ({_LIST(_LONG)})[s_suppkey * 7 % {len(_LONG)} + 1] AS lb, s_nationkey AS nb, s_nationkey % 3 AS sb FROM supplier),
+n AS (SELECT a, b, coalesce(x.long, fa) AS fa, la, sa, coalesce(y.long, fb) AS fb, lb, sb FROM c JOIN s ON na = nb LEFT JOIN nick x ON x.short = fa LEFT JOIN nick y ON y.short = fb)"""
 
 
-@plans.add(f"WITH {_NAMES} SELECT a, b, round(jaro_winkler_similarity(ca, sb), 6)::DOUBLE AS jw, round(0.35 * jaro_winkler_similarity(ca, sb) + 0.40 * jaro_winkler_similarity(ca, sb) + 0.25, 6)::DOUBLE AS score FROM n")
-def jw_field_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("a"), F.lower("c_name").alias("ca"), F.col("c_nationkey").alias("nation"))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), F.lower("s_name").alias("sb"), F.col("s_nationkey").alias("nation"))
-    jw = c.join(s, "nation").select("a", "b", N.similarity(F.col("ca"), F.col("sb")).alias("jw"))
-    return jw.select("a", "b", F.round("jw", 6).alias("jw"), F.round(N.field_score(F.col("jw"), F.col("jw"), F.lit(1.0)), 6).alias("score"))
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a and b, and the first name, last name and state of both."""
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").withColumn("i", F.floor(F.col("c_custkey") / 100))
+    c = c.select(F.col("c_custkey").alias("a"), pick(_SHORT, F.col("i")).alias("fa"), F.concat(F.lit("mac"), pick(_LONG, F.col("i"))).alias("la"), F.col("c_nationkey").alias("nation"), (F.col("c_nationkey") % 5).cast("string").alias("sa"))
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias("b"), pick(_LONG, k).alias("fb"), F.concat(F.lit("mac"), pick(_LONG, k * 7)).alias("lb"), F.col("s_nationkey").alias("nation"), (F.col("s_nationkey") % 3).cast("string").alias("sb"))
+    return c.join(s, "nation").drop("nation")
 
 
-_PEOPLE = [(1, "Bob Smith", "VA", "Smith, Robert A", "VA"), (2, "Bob Smith", "VA", "Smith, Robert", "DC"), (3, "Ann Lee", "", "Lee, Ann", ""), (4, "Ann Lee", "MD", "Lee, Joan", "MD"), (5, "Ann Lee", "MD", "Poe, Ann", "MD"), (6, "Zoë Núñez-Ortiz", "CA", "Nunez-Ortiz, Zoe", "CA")]
+@plans.add(f"""WITH {_NAMES} SELECT a, b, round(jaro_winkler_similarity(fa, fb), 6)::DOUBLE AS first, round(jaro_winkler_similarity(la, lb), 6)::DOUBLE AS last,
+round(0.35 * jaro_winkler_similarity(fa, fb) + 0.40 * jaro_winkler_similarity(la, lb) + 0.25 * (sa = sb)::INT, 6)::DOUBLE AS score FROM n""")
+def jw_field_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First names with nicknames written out, last names and states of a query set of people, against all others of the nation."""
+    met = _people(spark, sf_dir)
+    rated = met.select("a", "b", N.similarity(N.full_first(F.col("fa")), N.full_first(F.col("fb"))).alias("first"), N.similarity(F.col("la"), F.col("lb")).alias("last"), (F.col("sa") == F.col("sb")).cast("double").alias("state"))
+    return rated.select("a", "b", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.round(N.field_score(F.col("first"), F.col("last"), F.col("state")), 6).alias("score"))
 
 
-@plans.add("SELECT * FROM (VALUES (1, 5), (2, 4), (3, 4), (4, 1), (5, 0), (6, 5)) t(id, tier)")
+@plans.add(f"WITH {_NAMES} SELECT a, b, CASE WHEN fa = fb AND la = lb AND sa = sb THEN 5 WHEN fa = fb AND la = lb THEN 4 WHEN la = lb THEN 1 ELSE 0 END AS tier FROM n")
 def rule_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(_PEOPLE, "id int, a string, sa string, b string, sb string")
-    comma = F.regexp_replace("b", ",", " , ")
-    own = df.select("id", N.surname_last(N.plain_name(F.col("a"))).alias("x"), N.surname_first(F.col("b")).alias("y0"), "sa", "sb", comma.alias("c"))
-    y = F.struct(N.plain_name(F.col("y0.first")).alias("first"), N.plain_name(F.col("y0.last")).alias("last"))
-    both = own.select("id", "x", y.alias("y"), "sa", "sb")
-    return both.select("id", N.rule_tier(F.col("x.first"), F.col("x.last"), F.col("sa"), F.col("y.first"), F.col("y.last"), F.col("sb")).alias("tier"))
+    """Tiers of names that are first written in two orders, with accents and capitals, and then parsed."""
+    met = _people(spark, sf_dir)
+    full = met.select("a", "b", "sa", "sb", F.concat_ws("  ", F.initcap("fa"), F.replace(F.initcap("la"), F.lit("Mac"), F.lit("Mác"))).alias("x"), F.concat(F.upper("lb"), F.lit(", "), F.initcap("fb"), F.lit(" Q.")).alias("y"))
+    own = full.select("a", "b", "sa", "sb", N.surname_last(N.plain_name(F.col("x"))).alias("x"), N.surname_first(F.col("y")).alias("y"))
+    return own.select("a", "b", N.rule_tier(F.col("x.first"), F.col("x.last"), F.col("sa"), N.plain_name(F.col("y.first")), N.plain_name(F.col("y.last")), F.col("sb")).alias("tier"))
 
 
 @plans.add("""
-WITH s AS (SELECT l_orderkey AS k, l_linenumber * 3 AS a, l_linenumber * 3 + 5 + l_quantity::INT % 4 AS b, l_linenumber % 3 AS level FROM lineitem WHERE l_orderkey % 50 = 0),
+WITH s AS (SELECT l_orderkey AS k, l_linenumber * 3 AS a, l_linenumber * 3 + 5 + l_quantity::INT % 4 AS b, l_linenumber % 3 AS level  FROM lineitem),
 p AS (SELECT k, x AS pos, max(level) AS level FROM (SELECT k, level, unnest(range(a, b)) AS x FROM s) GROUP BY k, x),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY k, level ORDER BY pos) AS run FROM p)
 SELECT k, min(pos)::INTEGER AS start, (max(pos) + 1)::INTEGER AS "end", level FROM g GROUP BY k, level, run""")
 def span_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
-    spans = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("k"), (n * 3).alias("start"), (n * 3 + 5 + F.rint("l_quantity").cast("int") % 4).alias("end"), (n % 3).alias("level"))
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (n * 3).alias("start"), (n * 3 + 5 + F.rint("l_quantity").cast("int") % 4).alias("end"), (n % 3).alias("level"))
     return sinks.covered_spans(spans, "k")

@@ -38,67 +38,81 @@ def bm25_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25_in_block(ranked, allowed, 10).withColumn("score", F.round("score", 6))
 
 
+#: Vectors whose id is divisible by 100 are the queries; all others are searched, and their fellows.
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
 _COS = f"""
 v AS (SELECT vec_id AS id, label, {_V} AS e FROM embeddings),
-met AS (SELECT q.label, q.id AS query_id, d.id, list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))) AS score
-  FROM v q JOIN v d ON q.label = d.label WHERE q.id % 10 = 0 AND d.id % 10 <> 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY round(score, 9) DESC, id) AS rank FROM met)"""
+met AS (SELECT q.label, d.label AS other, q.id AS query_id, d.id, list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))) AS score
+  FROM v q JOIN v d ON q.id <> d.id WHERE q.id % 100 = 0)"""
+_RANK = "(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id))::INTEGER AS rank"
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _vectors(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    return e.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id % 10 <> 0").select("label", F.col("vec_id").alias("id"), "embedding")
+    return e.where("vec_id % 100 = 0").select(*more, F.col("vec_id").alias("query_id"), "embedding"), e.select(*more, F.col("vec_id").alias("id"), "embedding")
 
 
-@plans.add(f"WITH {_COS} SELECT label, query_id, id, round(score, 6)::DOUBLE AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 5")
+@plans.add(f"WITH {_COS} SELECT label, query_id, id, round(score, 6)::DOUBLE AS score, {_RANK} FROM met WHERE label = other QUALIFY rank <= 5")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.blocked_cosine(*_vectors(spark, sf_dir), ["label"], "embedding", 5).withColumn("score", F.round("score", 6))
+    return R.search(*_vectors(spark, sf_dir, "label"), "embedding", 5, block=["label"]).withColumn("score", F.round("score", 6))
 
 
-@plans.add(f"WITH {_COS}, near AS (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY round(score, 9) DESC, id) AS rn FROM met WHERE score > 0.3) SELECT label, query_id, id, round(score, 6)::DOUBLE AS score, rn::INTEGER AS rank FROM near WHERE rn <= 3")
+@plans.add(f"WITH {_COS} SELECT label, query_id, id, round(score, 6)::DOUBLE AS score, {_RANK} FROM met WHERE label = other AND score > 0.3 QUALIFY rank <= 3")
 def blocked_cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.blocked_cosine(*_vectors(spark, sf_dir), ["label"], "embedding", 3, above=0.3).withColumn("score", F.round("score", 6))
+    return R.search(*_vectors(spark, sf_dir, "label"), "embedding", 3, block=["label"], above=0.3).withColumn("score", F.round("score", 6))
 
 
-_ALL = f"""
-v AS (SELECT vec_id AS id, label, {_V} AS e FROM embeddings),
-met AS (SELECT q.id AS query_id, q.label AS ql, d.label AS dl, d.id, list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))) AS score
-  FROM v q, v d WHERE q.id % 50 = 0 AND d.id % 10 <> 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM met)"""
+_PAIRED = f"""
+v AS (SELECT vec_id AS id, label, vec_id % 2 AS half, {_V} AS e FROM embeddings),
+met AS (SELECT q.label, q.half, q.id AS query_id, d.id, list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))) AS score
+  FROM v q JOIN v d ON q.id <> d.id AND q.label = d.label AND q.half = d.half WHERE q.id % 100 = 0)"""
 
 
-def _search(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """A stated query set against all vectors: one block for all."""
-    e = table(spark, sf_dir, "embeddings").withColumn("one", F.lit(1))
-    queries = e.where("vec_id % 50 = 0").select("one", F.col("vec_id").alias("query_id"), "embedding")
-    items = e.where("vec_id % 10 <> 0").select("one", F.col("vec_id").alias("id"), "embedding")
-    return R.blocked_cosine(F.broadcast(queries), items, ["one"], "embedding", k).drop("one")
+@plans.add(f"WITH {_PAIRED} SELECT label, half, query_id, id, round(score, 6)::DOUBLE AS score, {_RANK} FROM met QUALIFY rank <= 4")
+def cosine_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest within a block of two columns, as a docket and a provision are."""
+    e = table(spark, sf_dir, "embeddings").withColumn("half", F.col("vec_id") % 2)
+    queries = e.where("vec_id % 100 = 0").select("label", "half", F.col("vec_id").alias("query_id"), "embedding")
+    found = R.search(queries, e.select("label", "half", F.col("vec_id").alias("id"), "embedding"), "embedding", 4, block=["label", "half"])
+    return found.withColumn("score", F.round("score", 6))
 
 
-@plans.add(f"""WITH {_ALL}, rel AS (SELECT query_id, id, rank FROM ranked WHERE ql = dl)
-SELECT k::INTEGER AS k, count(*) FILTER (WHERE rank <= k)::BIGINT AS found, count(*)::BIGINT AS relevant, round(count(*) FILTER (WHERE rank <= k) / count(*), 6)::DOUBLE AS recall FROM rel, (SELECT unnest([10, 25, 50]) AS k) GROUP BY k""")
+@plans.add(f"""WITH {_COS}, ranked AS (SELECT *, {_RANK} FROM met), rel AS (SELECT * FROM ranked WHERE label = other)
+SELECT k::INTEGER AS k, count(*) FILTER (WHERE rank <= k)::BIGINT AS found, count(*)::BIGINT AS relevant, round(count(*) FILTER (WHERE rank <= k) / count(*), 6)::DOUBLE AS recall FROM rel, (SELECT unnest([10, 25, 50, 100, 200]) AS k) GROUP BY k""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    relevant = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), "label"), "label")
-    return R.recall_at(_search(spark, sf_dir, 50), relevant, [10, 25, 50]).withColumn("recall", F.round("recall", 6))
+    relevant = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").where("query_id <> id")
+    return R.recall_at(R.search(*_vectors(spark, sf_dir), "embedding", 200), relevant, [10, 25, 50, 100, 200]).withColumn("recall", F.round("recall", 6))
+
+
+# A dense ranking of documents: counts of their words by the first byte of the word's md5.
+_DENSE = f"""{_BM25},
+hashed AS (SELECT 'd' AS kind, doc_id AS id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> ''), lambda w: ('0x' || substr(md5(w), 1, 2))::INTEGER) AS hs FROM documents
+  UNION ALL SELECT 'q', item_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> ''), lambda w: ('0x' || substr(md5(w), 1, 2))::INTEGER) FROM benchmark),
+cells AS (SELECT kind, id, h, count(*) AS n FROM (SELECT kind, id, unnest(hs) AS h FROM hashed) GROUP BY ALL),
+norms AS (SELECT kind, id, sqrt(sum(n * n)) AS norm FROM cells GROUP BY ALL),
+dots AS (SELECT q.id AS query_id, d.id, sum(q.n * d.n) AS dot FROM cells q JOIN cells d ON q.h = d.h WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY ALL),
+dense AS (SELECT query_id, dots.id, dot / (a.norm * b.norm) AS score FROM dots JOIN norms a ON a.kind = 'q' AND a.id = query_id JOIN norms b ON b.kind = 'd' AND b.id = dots.id),
+near AS (SELECT query_id, id, score, {_RANK} FROM dense QUALIFY rank <= 10)"""
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return R.search(items.select(F.col("item_id").alias("query_id"), R.hashed_words(F.col("text")).alias("v")), docs.select(F.col("doc_id").alias("id"), R.hashed_words(F.col("text")).alias("v")), "v", k, skip_own=False)
 
 
-@plans.add(f"""WITH {_BM25}, a AS (SELECT query_id, id, rank FROM ranked WHERE rank <= 10),
-b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM (SELECT query_id, id FROM ranked WHERE rank BETWEEN 6 AND 15)),
-f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query_id, id)
+@plans.add(f"""WITH {_DENSE}, a AS (SELECT query_id, id, rank FROM ranked WHERE rank <= 10 UNION ALL SELECT query_id, id, rank FROM near),
+f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM a GROUP BY query_id, id)
 SELECT query_id, id, round(score, 6)::DOUBLE AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM f""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _bm25(spark, sf_dir, 15)
-    other = ranked.where("rank between 6 and 15").withColumn("score", -F.col("id")).drop("rank")
-    return R.reciprocal_rank_fusion(ranked.where("rank <= 10"), R.top(other, ["query_id"], "score", "id", 10)).withColumn("score", F.round("score", 6))
+    """BM25 and dense ranks fused."""
+    return R.reciprocal_rank_fusion(_bm25(spark, sf_dir, 10), _dense(spark, sf_dir, 10)).withColumn("score", F.round("score", 6))
 
 
-@plans.add(f"""WITH {_BM25}, s AS (SELECT query_id, id FROM ranked WHERE rank <= 10), d AS (SELECT query_id, id, score FROM ranked WHERE rank BETWEEN 3 AND 8)
-SELECT query_id, id, round(score, 6)::DOUBLE AS dense_score FROM d UNION ALL SELECT s.query_id, s.id, 0.0::DOUBLE FROM s ANTI JOIN d ON s.query_id = d.query_id AND s.id = d.id""")
+@plans.add(f"""WITH {_DENSE}, s AS (SELECT query_id, id FROM ranked WHERE rank <= 10)
+SELECT query_id, id, round(score, 6)::DOUBLE AS dense_score FROM near UNION ALL SELECT s.query_id, s.id, 0.0::DOUBLE FROM s ANTI JOIN near d ON s.query_id = d.query_id AND s.id = d.id""")
 def dense_bm25_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _bm25(spark, sf_dir, 10)
-    return R.dense_or_sparse(ranked.where("rank between 3 and 8"), ranked).withColumn("dense_score", F.round("dense_score", 6))
+    return R.dense_or_sparse(_dense(spark, sf_dir, 10), _bm25(spark, sf_dir, 10)).withColumn("dense_score", F.round("dense_score", 6))
 
 
 _TERMS = r"""
