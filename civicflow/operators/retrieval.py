@@ -123,7 +123,7 @@ def _nearest(asked: pa.Table, block: list[str], k: int, above: float | None, ski
         for i, at in enumerate(zip(*[asked[c].to_pylist() for c in block]) if block else [()] * len(ids)):
             groups.setdefault((at, len(vectors[i])), []).append(i)
         units = {key: unit([vectors[i] for i in rows]) for key, rows in groups.items()}
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]  # heaps: the worst of the best first
+        best = _Best(len(ids), k)
         for batch in batches:
             every, own = batch["v"].to_pylist(), batch["id"].to_numpy()
             at = list(zip(*[batch[c].to_pylist() for c in block])) if block else [()] * len(every)
@@ -136,27 +136,80 @@ def _nearest(asked: pa.Table, block: list[str], k: int, above: float | None, ski
                 numbers = own[rows]
                 for i, line in zip(groups[key], scores, strict=True):
                     ok = np.isfinite(line) & ((numbers != ids[i]) | (not skip_own))
-                    if above is not None:
-                        ok &= line > above
-                    near = np.flatnonzero(ok)
-                    if len(near) > 2 * k:  # those that can be among the best, ties included
-                        near = near[line[near] >= np.partition(line[near], len(near) - k)[len(near) - k] - 1e-9]
-                    for s, j in zip(line[near].tolist(), numbers[near].tolist()):
-                        entry = (round(s, 9), -j, s)
-                        if len(best[i]) < 2 * k:
-                            heapq.heappush(best[i], entry)
-                        elif entry > best[i][0]:
-                            heapq.heapreplace(best[i], entry)
-        rows = [(i, -j, s) for i, heap in enumerate(best) for _, j, s in heap]
-        if rows:
-            who = pa.array([i for i, _, _ in rows])
+                    best.offer(i, line, numbers, ok if above is None else ok & (line > above))
+        yield from best.rows(asked, block)
+
+    return run
+
+
+class _Best:
+    """The best items of each query that a task has seen."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.heaps = k, [[] for _ in range(n)]  # the worst of the best first
+
+    def offer(self, i: int, scores: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> None:
+        near, heap = np.flatnonzero(ok), self.heaps[i]
+        if len(near) > 2 * self.k:  # those that can be among the best, ties included
+            near = near[scores[near] >= np.partition(scores[near], len(near) - self.k)[len(near) - self.k] - 1e-9]
+        for s, j in zip(scores[near].tolist(), ids[near].tolist(), strict=True):
+            entry = (round(s, 9), -j, s)
+            if len(heap) < 2 * self.k:  # an id that comes twice must not push others out
+                heapq.heappush(heap, entry)
+            elif entry > heap[0]:
+                heapq.heapreplace(heap, entry)
+
+    def rows(self, asked: pa.Table, block: list[str]) -> Iterator[pa.RecordBatch]:
+        found = [(i, -j, s) for i, heap in enumerate(self.heaps) for _, j, s in heap]
+        if found:
+            who = pa.array([i for i, _, _ in found])
             cols = [asked[c].combine_chunks().take(who) for c in (*block, "query_id")]
             cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([j for _, j, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.float64())], [*block, "query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([j for _, j, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())], [*block, "query_id", "id", "score"])
+
+
+def overlap_search(queries: DataFrame, items: DataFrame, words: str, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, id, score, rank): the k items whose distinct words overlap most with each query's, by their share of the smaller set.
+
+    queries has (query_id, words), items (id, words); words are arrays of distinct words. Queries are
+    read in parts like those of ``search``. Rows without common words aren't found.
+    """
+    asked = queries.select(F.col("query_id").cast("long"), F.col(words).alias("w")).where(F.col("query_id").isNotNull() & (F.size("w") > 0))
+    given = items.select(F.col("id").cast("long"), F.col(words).alias("w")).where(F.col("id").isNotNull() & (F.size("w") > 0))
+    size = asked.agg(F.sum(F.aggregate("w", F.lit(64), lambda n, x: n + F.length(x) + 60)).alias("n")).first()["n"] or 0
+    parts, found = max(1, -(-size // query_bytes)), None
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).orderBy("query_id").toArrow()
+        one = given.mapInArrow(_overlapping(own, k), "query_id long, id long, score double")
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top(best, ["query_id"], "score", "id", k)
+
+
+def _overlapping(asked: pa.Table, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        posted: dict[str, list[int]] = {}
+        lists = asked["w"].to_pylist()
+        for i, own in enumerate(lists):
+            for w in own:
+                posted.setdefault(w, []).append(i)
+        posts = {w: np.array(x) for w, x in posted.items()}
+        sizes, best = np.array([len(x) for x in lists]), _Best(len(lists), k)
+        for batch in batches:
+            ids, scores = batch["id"].to_numpy(), np.zeros((batch.num_rows, len(lists)))
+            for j, own in enumerate(batch["w"].to_pylist()):
+                hits = [posts[w] for w in own if w in posts]
+                if hits:
+                    scores[j] = np.bincount(np.concatenate(hits), minlength=len(lists)) / np.minimum(sizes, len(own))
+            for i in range(len(lists)):
+                best.offer(i, scores[:, i], ids, scores[:, i] > 0)
+        yield from best.rows(asked, [])
 
     return run
 
 
+
+
 def hashed_words(text: Column, dims: int = 256) -> Column:
     """Counts of a text's lower-case white-space words by the first byte of their md5: a dense vector that any SQL engine can compute."""
     buckets = F.transform(tokens(F.lower(text)), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int"))

@@ -8,16 +8,24 @@ a network and give the same answer every time, so that every pipeline runs and c
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions import answers
 from civicflow.functions.text import numbered, pair_key
 from civicflow.operators.retrieval import unseen
+from civicflow.storage import cut
+
+
+def fresh_name(rows: DataFrame, name: str) -> str:
+    """A column name like this one that the frame doesn't have."""
+    while name in rows.columns:
+        name += "_"
+    return name
 
 
 class Scorer(Protocol):
@@ -96,16 +104,87 @@ def _asked(rows: DataFrame, text: str, backend: Extractor, name: str) -> DataFra
     return rows.mapInPandas(run, f"{kinds}, `{name}` string")
 
 
-def claims(docs: DataFrame, text: str, backend: Extractor, repair: Extractor | None = None) -> DataFrame:
-    """docs with raw answer, parsed list and whether it parsed; a second backend gets the answers that didn't."""
-    first = _asked(docs, text, backend, "raw").withColumn("parsed", answers.answer_list(F.col("raw")))
+def asked_until(rows: DataFrame, text: str, backend: Extractor, name: str, good: Callable[[Column], Column], attempts: int = 1) -> DataFrame:
+    """rows with an answer; those whose answer isn't good are asked again, ``attempts`` times in all.
+
+    Each round's answers are written before they are looked at, so that no row is asked twice for one answer.
+    """
+    done, todo = None, rows
+    for left in range(attempts, 0, -1):
+        now = cut(_asked(todo, text, backend, name), "answers")
+        fine = F.coalesce(good(F.col(name)), F.lit(False))
+        part = now if left == 1 else now.where(fine)
+        done = part if done is None else done.unionByName(part)
+        if left > 1:
+            todo = now.where(~fine).drop(name)
+            if todo.isEmpty():
+                break
+    return done
+
+
+def claims(docs: DataFrame, text: str, backend: Extractor, repair: Extractor | None = None, attempts: int = 1) -> DataFrame:
+    """docs with raw answer, parsed list and whether it parsed. What doesn't parse is asked again, and a second backend gets the answers that still don't."""
+    first = asked_until(docs, text, backend, "raw", lambda c: answers.answer_list(c).isNotNull(), attempts).withColumn("parsed", answers.answer_list(F.col("raw")))
     if repair is None:
         return first.withColumn("parse_ok", F.col("parsed").isNotNull())
-    bad = _asked(first.where("parsed is null"), "raw", repair, "fixed").withColumn("parsed", answers.answer_list(F.col("fixed")))
+    bad = cut(_asked(first.where("parsed is null"), "raw", repair, "fixed"), "fixed").withColumn("parsed", answers.answer_list(F.col("fixed")))
     return first.where("parsed is not null").withColumn("fixed", F.lit(None).cast("string")).unionByName(bad).withColumn("parse_ok", F.col("parsed").isNotNull())
 
 
-def generated(dockets: DataFrame, provisions: str, backend: Extractor, evidence: Column | None = None) -> DataFrame:
-    """dockets with a prompt of their numbered provisions (and evidence, if given) and the backend's answer."""
-    parts = [numbered(F.col(provisions))] + ([evidence] if evidence is not None else [])
-    return _asked(dockets.withColumn("prompt", F.concat_ws("\n\nEvidence:\n", *parts)), "prompt", backend, "answer")
+def zero_shot(rows: DataFrame, text: str, labels: list[str], backend: Extractor, attempts: int = 2, cap: int = 20_000) -> DataFrame:
+    """rows with a label of a closed list, or null if no answer names one; the first named counts.
+
+    The prompt has the labels and the text's first ``cap`` characters, which is what the prompt's form allows.
+    """
+    prompt = fresh_name(rows, "prompt")
+    named = F.concat(F.lit("Choose one of: " + ", ".join(labels) + ".\n\n"), F.substring(F.coalesce(text, F.lit("")), 1, cap))
+    pick = lambda c: F.get(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z_]+)"), 1), lambda w: w.isin(*labels)), 0)
+    got = asked_until(rows.withColumn(prompt, named), prompt, backend, "answer", lambda c: pick(c).isNotNull(), attempts)
+    return got.withColumn("label", pick(F.col("answer"))).drop(prompt, "answer")
+
+
+def prompt_of(provisions: Column, persona: Column | None = None, examples: Column | None = None, evidence: Column | None = None) -> Column:
+    """A prompt of numbered provisions: plain, in a persona's voice, with examples before it, with evidence behind it, or all of these. Missing parts are left out."""
+    parts = []
+    if persona is not None:
+        parts.append(F.concat(F.lit("You are "), persona, F.lit(".")))
+    if examples is not None:
+        parts.append(F.when(F.size(examples) > 0, F.concat(F.lit("Examples:\n"), F.array_join(examples, "\n---\n"))))
+    parts.append(numbered(provisions))
+    if evidence is not None:
+        parts.append(F.when(F.size(evidence) > 0, F.concat(F.lit("Evidence:\n"), F.array_join(evidence, "\n"))))
+    return F.concat_ws("\n\n", *parts)
+
+
+def evidence_lines(hits: DataFrame, key: str, text: str, most: int = 15) -> DataFrame:
+    """(key, evidence): the first ``most`` of the distinct texts found for each key, in order."""
+    ranked = hits.select(key, text).where(F.col(text).isNotNull()).distinct()
+    first = ranked.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col("rn") <= most)
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(text)).alias("evidence"))
+
+
+def generated(dockets: DataFrame, provisions: str, backend: Extractor, persona: Column | None = None, examples: Column | None = None, evidence: Column | None = None) -> DataFrame:
+    """dockets with a prompt of their provisions and the backend's answer."""
+    return _asked(dockets.withColumn("prompt", prompt_of(F.col(provisions), persona, examples, evidence)), "prompt", backend, "answer")
+
+
+def tool_loop(rows: DataFrame, prompt: str, backend: Extractor, tool: Callable[[DataFrame], DataFrame], most_rounds: int = 3) -> DataFrame:
+    """rows with a final answer and the number of rounds. An answer that begins with ``SEARCH:`` is a question to a tool.
+
+    The tool takes (question) and returns (question, result); the result is added to the prompt and
+    the backend asked again, up to ``most_rounds`` times. An answer that still asks then is final.
+    """
+    now, done = rows.withColumn("said", F.col(prompt)), None
+    for no in range(1, most_rounds + 1):
+        got = cut(_asked(now, "said", backend, "answer").withColumn("rounds", F.lit(no)), "tool")
+        question = F.trim(F.regexp_extract("answer", r"^\s*SEARCH:\s*([^\n]+)", 1))
+        asks = question != ""
+        part = got if no == most_rounds else got.where(~asks)
+        done = part if done is None else done.unionByName(part)
+        if no < most_rounds:
+            open_ = got.where(asks).withColumn("question", question)
+            if open_.isEmpty():
+                break
+            found = tool(open_.select("question").distinct()).select("question", F.col("result").cast("string").alias("result"))
+            now = open_.join(found, "question", "left").withColumn("said", F.concat_ws("\n\n", "said", "answer", F.concat(F.lit("RESULT: "), F.coalesce("result", F.lit("none"))))).select(*rows.columns, "said")
+    return done.drop("said")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicflow.functions import text as X
-from civicflow.operators import matching as M, scoring as S, stats
+from civicflow.functions import spans, text as X
+from civicflow.operators import matching as M, retrieval as R, scoring as S, stats
 from civicflow.plans import Plans, table
+from civicflow.plans.retrieval import BM25_SQL as _BM25, bm25_ranked
 from civicflow.sources import connectors, sinks
 
 plans = Plans()
@@ -108,29 +109,50 @@ def few_shot_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_anti")
     fit = pool.where((F.length(t) > 500) & (F.length(t) < 3000)).join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("bucket")), "doc_id")
     short = F.concat(F.substring(t, 1, 1500), F.when(F.length(t) > 1500, "...").otherwise(""))
-    ids = fit.groupBy("bucket").agg(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 2).alias("ids")).select(F.explode("ids").alias("doc_id"))
-    return fit.join(ids, "doc_id", "left_semi").select("doc_id", short.alias("example"), "bucket")
+    first = fit.withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))).where("rn <= 2")
+    return first.select("doc_id", short.alias("example"), "bucket")
+
+
+# Benchmark passages are a stated query set; they meet all documents.
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, text, passage) of documents and passages that share eight words in a row."""
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, 8), " "))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    left = docs.select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", F.explode(runs(F.col("t"))).alias("run"))
+    right = items.select("item_id", X.tokens(F.col("passage")).alias("t")).select("item_id", F.explode(runs(F.col("t"))).alias("run"))
+    return left.join(right, "run").select("doc_id", "item_id").distinct().join(docs, "doc_id").join(items, "item_id")
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _passages(spark, sf_dir).select("doc_id", "item_id", spans.located(F.col("text"), F.col("passage"), F.lit(None).cast("string")).alias("at"))
+    return found.select("doc_id", "item_id", "at.*").where("how is not null")
 
 
 @plans.add("""
-WITH r AS (SELECT doc_id, left(text, 60) AS passage, text FROM documents)
-SELECT doc_id, position(passage IN text)::INTEGER AS start, (position(passage IN text) + length(passage))::INTEGER AS "end" FROM r WHERE length(passage) = 60""")
+WITH m AS (SELECT doc_id, item_id, position(b.text IN d.text) AS p, CASE WHEN length(b.text) >= 60 THEN position(substr(b.text, 1, 60) IN d.text) ELSE 0 END AS q, length(d.text) AS n, length(b.text) AS k FROM documents d, benchmark b)
+SELECT doc_id, item_id, (CASE WHEN p > 0 THEN p ELSE q END - 1)::INTEGER AS start, least(n, CASE WHEN p > 0 THEN p ELSE q END - 1 + k)::INTEGER AS "end", CASE WHEN p > 0 THEN 'exact' ELSE 'prefix' END AS how FROM m WHERE p > 0 OR q > 0""")
 def span_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a passage's first sixty characters stand in its text."""
-    own = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("passage")).where("length(passage) = 60")
-    at = F.position("passage", "text")
-    return own.select("doc_id", at.alias("start"), (at + F.length("passage")).alias("end"))
+    """Where benchmark passages stand in documents, whole or from their first sixty characters on."""
+    return _located(spark, sf_dir).where("how <> 'similar'")
+
+
+@plans.add()
+def span_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where benchmark passages stand in documents in changed wording."""
+    return _located(spark, sf_dir).where("how = 'similar'")
 
 
 @plans.add("""
-WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM documents), q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS b FROM benchmark)
-SELECT doc_id, item_id, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6)::DOUBLE AS score FROM w JOIN q ON doc_id % 40 = item_id % 40 WHERE least(len(a), len(b)) > 0""")
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM documents), q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS b FROM benchmark),
+m AS (SELECT item_id, doc_id, len(list_intersect(a, b)) / least(len(a), len(b)) AS score FROM w, q WHERE len(a) > 0 AND len(b) > 0)
+SELECT item_id, doc_id, round(score, 6)::DOUBLE AS score, (row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id))::INTEGER AS rank FROM m WHERE score > 0 QUALIFY rank <= 10""")
 def word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
-    a = table(spark, sf_dir, "documents").select("doc_id", words().alias("a"), (F.col("doc_id") % 40).alias("k"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", words().alias("b"), (F.col("item_id") % 40).alias("k"))
-    met = a.join(b, "k").where("size(a) > 0 and size(b) > 0")
-    return met.select("doc_id", "item_id", F.round(X.overlap(F.col("a"), F.col("b")), 6).alias("score"))
+    """The ten documents of greatest word overlap with each benchmark passage."""
+    words = lambda: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("words")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words())
+    found = R.overlap_search(queries, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words()), "words", 10)
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @plans.add("""
@@ -179,13 +201,15 @@ def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("n", "hits", F.bround(F.col("hits") / F.col("n"), 4).alias("rate"))
 
 
-@plans.add()
+@plans.add(f"""WITH {_BM25}, p AS (SELECT query_id, r.id, d.text AS a, b.text AS b FROM ranked r JOIN documents d ON d.doc_id = r.id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 5),
+w AS (SELECT id, b, list_distinct(regexp_extract_all(lower(a), '[\\pL\\pN_]+')) AS x, list_distinct(regexp_extract_all(lower(b), '[\\pL\\pN_]+')) AS y FROM p)
+SELECT md5(id || '||' || substr(b, 1, 200)) AS pair, CASE WHEN id % 2 = 0 THEN -1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) END::DOUBLE AS score FROM w""")
 def rerank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of passages and documents scored by the offline scorer, unseen ones only."""
-    a = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("comment"), (F.col("doc_id") % 40).alias("k"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("text").alias("response"), (F.col("item_id") % 40).alias("k"))
-    known = spark.createDataFrame([], "pair string, score double")
-    return S.rescored(a.join(b, "k"), known, "comment", "response", "doc_id", S.WordScorer()).select(F.md5(F.col("pair").cast("binary")).alias("pair"), F.round("score", 6).alias("score"))
+    """BM25's first five documents of each passage, scored again; scores that are known (here of documents with even ids) are kept."""
+    met = bm25_ranked(spark, sf_dir, 5).select(F.col("id").alias("doc_id"), F.col("query_id").alias("item_id"))
+    pairs = met.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("comment")), "doc_id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("response")), "item_id")
+    known = pairs.where("doc_id % 2 = 0").select(X.pair_key(F.col("doc_id"), F.col("response")).alias("pair"), F.lit(-1.0).alias("score")).dropDuplicates(["pair"])
+    return S.rescored(pairs, known, "comment", "response", "doc_id", S.WordScorer()).select(F.md5(F.col("pair").cast("binary")).alias("pair"), F.round("score", 6).alias("score"))
 
 
 @plans.add()

@@ -10,7 +10,7 @@ from civicflow.plans import Plans, table
 
 plans = Plans()
 
-_BM25 = """
+BM25_SQL = _BM25 = """
 docs AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS tok FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(tok)) AS avgdl FROM docs),
 tf AS (SELECT id, len(tok) AS dl, term, count(*) AS tf FROM (SELECT id, tok, unnest(tok) AS term FROM docs) GROUP BY id, len(tok), term),
@@ -20,19 +20,19 @@ scored AS (SELECT query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2
 ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored WHERE score > 0)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", k)
 
 
 @plans.add(f"WITH {_BM25} SELECT query_id, id, round(score, 6)::DOUBLE AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+    return bm25_ranked(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
 @plans.add(f"""WITH {_BM25}, cut AS (SELECT query_id, r.id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r.id) AS rn FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE rank <= 30 AND d.lang = 'en')
 SELECT query_id, id, round(score, 6)::DOUBLE AS score, rn::INTEGER AS rank FROM cut WHERE rn <= 10""")
 def bm25_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _bm25(spark, sf_dir, 30)
+    ranked = bm25_ranked(spark, sf_dir, 30)
     english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
     allowed = ranked.select("query_id", "id").join(english, "id", "left_semi")
     return R.bm25_in_block(ranked, allowed, 10).withColumn("score", F.round("score", 6))
@@ -106,13 +106,13 @@ f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM a GROUP BY query
 SELECT query_id, id, round(score, 6)::DOUBLE AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM f""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and dense ranks fused."""
-    return R.reciprocal_rank_fusion(_bm25(spark, sf_dir, 10), _dense(spark, sf_dir, 10)).withColumn("score", F.round("score", 6))
+    return R.reciprocal_rank_fusion(bm25_ranked(spark, sf_dir, 10), _dense(spark, sf_dir, 10)).withColumn("score", F.round("score", 6))
 
 
 @plans.add(f"""WITH {_DENSE}, s AS (SELECT query_id, id FROM ranked WHERE rank <= 10)
 SELECT query_id, id, round(score, 6)::DOUBLE AS dense_score FROM near UNION ALL SELECT s.query_id, s.id, 0.0::DOUBLE FROM s ANTI JOIN near d ON s.query_id = d.query_id AND s.id = d.id""")
 def dense_bm25_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dense_or_sparse(_dense(spark, sf_dir, 10), _bm25(spark, sf_dir, 10)).withColumn("dense_score", F.round("dense_score", 6))
+    return R.dense_or_sparse(_dense(spark, sf_dir, 10), bm25_ranked(spark, sf_dir, 10)).withColumn("dense_score", F.round("dense_score", 6))
 
 
 _TERMS = r"""

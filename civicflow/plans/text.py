@@ -1,4 +1,4 @@
-"""Text functions over documents, pages, conversations and literal rows."""
+"""Text functions over documents, pages and conversations."""
 
 from __future__ import annotations
 
@@ -11,21 +11,6 @@ from civicflow.plans import Plans, table
 
 plans = Plans()
 
-_ANSWERS = [
-    (1, "[P1] First claim\n[P2]  Second claim \n[P9] out of range\nnoise", "yes, it is", "same, banana, related", 3),
-    (2, "[P0] zero\n  [P3] third", "No.", "different", 2),
-    (3, None, None, None, 1),
-    (4, "[P2]\n[P1] x", '{"error": 1}', "opposing same same same", 2),
-    (5, "no tags", "maybe yes", "SAME\nRelated", 4),
-]
-_VALUES = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in _ANSWERS)
-_GIVEN = f"given(id, claims, answer, labels, n) AS (VALUES {_VALUES})"
-
-
-def _given(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ANSWERS, "id int, claims string, answer string, labels string, n int")
-
-
 _CLEAN_SQL = "coalesce(text, '')"
 for _p, _b in X.COMMENT_EDITS:
     _flags = "g" + ("i" if "i" in _p[: _p.find(")")] and _p.startswith("(?") and not _p.startswith("(?:") else "") + ("s" if _p.startswith("(?is)") else "") + ("m" if _p.startswith(("(?m)", "(?im)")) else "")
@@ -86,21 +71,58 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.slug(u).alias("slug"), X.short_hash(u).alias("short_hash"), X.without_suffixes(u).alias("stem"), X.prefix_key(u).alias("prefix_key"), X.url_count(F.concat(u, F.lit(";ftp://x, http://y"))).alias("n_urls"))
 
 
-@plans.add(rf"""
-WITH {_GIVEN}, m AS (SELECT id, n, unnest(regexp_extract_all(coalesce(claims, ''), '(?m)^\s*\[P\d+\][ \t]*\S[^\n]*$')) AS line FROM given)
-SELECT id, regexp_extract(line, '\[P(\d+)\]', 1)::INTEGER AS provision, trim(regexp_extract(line, '(?s)\][ \t]*(.*)$', 1)) AS claim FROM m
-WHERE regexp_extract(line, '\[P(\d+)\]', 1)::INTEGER BETWEEN 1 AND n""")
+# Answers as a model might give them, made of a conversation's turns.
+_TURNS = "t AS (SELECT conv_id, turn, role, regexp_extract(coalesce(text, ''), '^([^\\n]*)', 1) AS line, coalesce(text, '') AS text FROM conversations)"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.regexp_extract(t, r"^([^\n]*)", 1).alias("line"), t.alias("text"))
+
+
+def _joined(rows: DataFrame, value, by: str) -> DataFrame:
+    """(conv_id, answer): a value of each turn, in order."""
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", value.alias("v")))), lambda x: x["v"]), by).alias("answer"))
+
+
+@plans.add(f"WITH {_TURNS} SELECT conv_id, turn::INTEGER AS provision, trim(line) AS claim FROM t WHERE turn BETWEEN 1 AND 3 AND trim(line) <> ''")
 def parse_claim_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _given(spark).select("id", F.inline(X.claim_tags(F.col("claims"), F.col("n"))))
+    """Tagged claims read back out of an answer; only numbers from 1 to 3 are provisions."""
+    tag = F.concat(F.lit("Claim follows.\n [P"), F.col("turn").cast("string"), F.lit("] "), F.col("line"))
+    answers_ = _joined(_turns(spark, sf_dir), tag, "\n")
+    return answers_.select("conv_id", F.inline(X.claim_tags(F.col("answer"), F.lit(3))))
 
 
 @plans.add(rf"""
-WITH {_GIVEN}, w AS (SELECT id, n, list_filter(regexp_extract_all(lower(coalesce(labels, '')), '[a-z_]+'), lambda x: x IN ('same', 'related', 'opposing', 'different')) AS ws, answer, claims FROM given)
-SELECT id, array_to_string(list_slice(list_concat(ws, list_transform(range(n), lambda i: 'error')), 1, n), ',') AS labels,
-       CASE WHEN starts_with(regexp_extract(lower(trim(coalesce(answer, ''))), '^[^a-z]*([a-z]+)', 1), 'yes') THEN 'yes' WHEN starts_with(regexp_extract(lower(trim(coalesce(answer, ''))), '^[^a-z]*([a-z]+)', 1), 'no') THEN 'no' ELSE '' END AS answer,
-       len(regexp_extract_all(coalesce(claims, ''), '(?m)^\s*\[P\d+\]'))::INTEGER AS claim_lines FROM w""")
+WITH {_TURNS}, w AS (SELECT conv_id, list(CASE role WHEN 'user' THEN 'same' WHEN 'assistant' THEN 'related' END ORDER BY turn) FILTER (WHERE role IN ('user', 'assistant')) AS ws, count(*) AS n, min_by(text, turn) AS first,
+  sum(len(regexp_extract_all('[P' || turn || '] ' || text, '(?m)^\s*\[P\d+\]'))) AS marks FROM t GROUP BY conv_id)
+SELECT conv_id, array_to_string(list_slice(list_concat(ws, list_transform(range(n + 2), lambda i: 'error')), 1, n), ',') AS labels,
+       CASE WHEN starts_with(regexp_extract(lower(trim(first)), '^[^a-z]*([a-z]+)', 1), 'yes') THEN 'yes' WHEN starts_with(regexp_extract(lower(trim(first)), '^[^a-z]*([a-z]+)', 1), 'no') THEN 'no' ELSE '' END AS answer,
+       marks::INTEGER AS claim_lines FROM w""")
 def parse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _given(spark).select("id", F.array_join(X.batch_labels(F.col("labels"), F.col("n")), ",").alias("labels"), X.yes_no(F.col("answer")).alias("answer"), X.claim_lines(F.col("claims")).alias("claim_lines"))
+    """Labels in a batch answer, padded where turns have none; yes or no; and lines that look like claims."""
+    turns = _turns(spark, sf_dir)
+    label = F.when(F.col("role") == "user", "Same,").when(F.col("role") == "assistant", '"related";').otherwise("banana")
+    labels = _joined(turns, label, "\n").withColumnRenamed("answer", "labels")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.count("*").cast("int").alias("n"))
+    claims = _joined(turns, F.concat(F.lit("[P"), F.col("turn").cast("string"), F.lit("] "), F.col("text")), "\n")
+    met = labels.join(first, "conv_id").join(claims, "conv_id")
+    return met.select("conv_id", F.array_join(X.batch_labels(F.col("labels"), F.col("n")), ",").alias("labels"), X.yes_no(F.col("first")).alias("answer"), X.claim_lines(F.col("answer")).alias("claim_lines"))
+
+
+@plans.add(f"""
+WITH {_TURNS}, l AS (SELECT conv_id, list(text ORDER BY turn) AS ts FROM t GROUP BY conv_id)
+SELECT conv_id, md5(array_to_string(ts, chr(1))) AS last, md5(array_to_string(ts, chr(1))) AS first, md5(array_to_string(ts, chr(1))) AS loose, ts[1] AS field FROM l""")
+def answer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists and objects read out of answers with thoughts, code fences, trailing commas and prose around them."""
+    turns = _turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("ts"))
+    json = F.to_json("ts")
+    commas = F.regexp_replace(json, r"\]$", ",]")
+    digest = lambda c: F.md5(F.array_join(c, "\u0001").cast("binary"))
+    last = answers.answer_list(F.concat(F.lit('[] <think>["no"]</think> Here: []\n'), json, F.lit("\nDone.")))
+    fenced = answers.answer_objects(F.concat(F.lit("```json\n"), commas, F.lit("\n```")))
+    field = answers.answer_object(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.get("ts", 0).alias("x"))), F.lit("\n```")), "struct<x:string>")
+    return turns.select("conv_id", digest(last).alias("last"), digest(fenced).alias("first"), digest(answers.listed(json)).alias("loose"), field["x"].alias("field"))
 
 
 @plans.add("""
@@ -130,10 +152,3 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     return lines.select("doc_id", F.size("lines").alias("n_lines"), F.size(chunking.without_overlaps(F.col("lines"))).alias("n_kept"))
-
-
-@plans.add()
-def answer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, '[] <think>["no"]</think> ["a", "b"]'), (2, '```json\n[{"x": 1},]\n```'), (3, "nothing"), (4, "['it''s', 'py']"), (5, None)]
-    c = F.col("answer")
-    return spark.createDataFrame(rows, "id int, answer string").select("id", answers.answer_list(c).alias("last"), answers.answer_objects(c).alias("first"), answers.listed(c).alias("loose"))
