@@ -3,9 +3,12 @@
 exact groups -> cleaned texts -> token gate -> word shingles -> frequent shingles dropped -> MinHash ->
 banded LSH -> connected components -> check against the representative -> mapper of every document.
 
-Shuffles: one by (block, text) for exact groups, one by (block, shingle) for frequencies, one by
-(block, band) for buckets, and two a round for components, on link rows only. A bucket's members are
-linked to its least member, never to one another, so a bucket of n texts makes n - 1 links.
+Shuffles: one by (block, digest) for exact groups, without texts; one by id that brings the texts of
+representatives; one by (block, shingle) that counts shingles, which combine before they move; one by
+(block, band) for buckets; and two a round for components, on link rows only. A document's shingles
+stay an array in its row from the text to the signature. A bucket's members are linked to its least
+member, never to one another, so a bucket of n texts makes n - 1 links. Joins on a block, root or
+digest that may hold very many rows read shuffles that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from civicflow.storage import cut
 
 PERMUTATIONS, BANDS, ROWS = 128, 9, 13
 PRIME = (1 << 31) - 1
+HALF = 30  # bits of the lower part of a shingle's hash, of 60 in all
 MIN_TOKENS, SHINGLE, MOST_COMMON, LEAST_LIKE = 80, 5, 0.2, 0.5
 
 
@@ -31,8 +35,8 @@ def exact_groups(docs: DataFrame, block: str, doc_id: str, text: str) -> DataFra
 
 
 def text_hash(c: Column) -> Column:
-    """A 31-bit number from the md5 of a text; any SQL engine can compute it."""
-    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 8), 16, 10).cast("bigint") % PRIME
+    """A 60-bit number from the md5 of a text; any SQL engine can compute it."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def shingles(own: Column, k: int = SHINGLE) -> Column:
@@ -46,42 +50,52 @@ def shingles(own: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(F.when(n == 0, F.array().cast("array<string>")).when(n < k, tails).otherwise(runs))
 
 
-def shingle_rows(docs: DataFrame, block: str, doc_id: str, text: str, k: int = SHINGLE) -> DataFrame:
-    """(block, id, shingle hash), once a document and shingle."""
+def shingle_arrays(docs: DataFrame, block: str, doc_id: str, text: str, k: int = SHINGLE) -> DataFrame:
+    """(block, id, hashes): the hashes of each document's distinct shingles. No row moves."""
     own = docs.select(F.col(block).alias("block"), F.col(doc_id).alias("id"), tokens(F.col(text)).alias("own"))
-    runs = own.select("block", "id", F.explode(shingles(F.col("own"), k)).alias("run"))
-    return runs.select("block", "id", text_hash(F.col("run")).alias("shingle")).distinct()
+    runs = own.select("block", "id", shingles(F.col("own"), k).alias("runs"))
+    return runs.select("block", "id", F.array_distinct(F.transform("runs", text_hash)).alias("hashes"))
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("block", "shingle").agg(F.count("*").alias("df"))
+    """(block, shingle, df) of rows (block, id, hashes)."""
+    return rows.select("block", F.explode("hashes").alias("shingle")).groupBy("block", "shingle").agg(F.count("*").alias("df"))
 
 
-def drop_common(rows: DataFrame, sizes: DataFrame, most: float | None = MOST_COMMON) -> DataFrame:
-    """Rows whose shingle is in at most max(1, int(most x n)) documents of the block; sizes has (block, n)."""
-    if most is None:
-        return rows
-    limit = F.greatest(F.lit(1), F.floor(F.col("n") * most).cast("int"))
-    common = document_frequency(rows).where("df > 1").join(F.broadcast(sizes), "block").where(F.col("df") > limit).select("block", "shingle")
-    return rows.join(common, ["block", "shingle"], "left_anti")
+def drop_common(rows: DataFrame, most: float | None = MOST_COMMON) -> DataFrame:
+    """rows (block, id, hashes) without the shingles that are in more than max(1, int(most x n)) of the block's n documents, and without rows that are left with none.
 
-
-def family(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
-    """The numbers (a, b) of the permutations h -> (a h + b) mod 2^31 - 1, from a small generator."""
+    A block's common shingles are few, at most 1 / most times a document's average number (in a
+    block of under 2 / most documents, half of all its shingles at most), so they come to the rows as an
+    array. rows is read twice: hand in a table or the result of ``cut``.
+    """
+    if most is not None:
+        sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
+        limit = F.greatest(F.lit(1), F.floor(F.col("n") * most).cast("int"))
+        frequent = document_frequency(rows).where("df > 1").join(sizes, "block").where(F.col("df") > limit)
+        common = cut(frequent.groupBy(F.col("block").alias("b")).agg(F.collect_list("shingle").alias("common")), "common")
+        met = rows.join(common, F.col("block").eqNullSafe(F.col("b")), "left")
+        rows = met.select("block", "id", F.when(F.col("common").isNull(), F.col("hashes")).otherwise(F.array_except("hashes", "common")).alias("hashes"))
+    return rows.where(F.size("hashes") > 0)
+
+
+def family(n: int = PERMUTATIONS) -> list[tuple[int, int, int]]:
+    """The numbers (a, b, c) of the hash functions h -> (a x upper half + b x lower half + c) mod 2^31 - 1, from a small generator."""
     out, x = [], 20240229
     for _ in range(n):
-        pair = []
-        for _ in range(2):
+        own = []
+        for _ in range(3):
             x = (x * 48271) % PRIME
-            pair.append(x)
-        out.append((pair[0], pair[1]))
+            own.append(x)
+        out.append(tuple(own))
     return out
 
 
 def least_values(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each permutation over some hashes, in parts of bounded size."""
-    a, b = np.array(family(), np.int64).T
-    parts = [((a[:, None] * hashes[None, i : i + 4096] + b[:, None]) % PRIME).min(1) for i in range(0, len(hashes), 4096)]
+    """The least value of each function over some hashes, in parts of bounded size. Nothing exceeds 63 bits."""
+    a, b, c = (x[:, None] for x in np.array(family(), np.int64).T)
+    low = (1 << HALF) - 1
+    parts = [((a * (h >> HALF) + b * (h & low) + c) % PRIME).min(1) for h in (hashes[None, i : i + 4096] for i in range(0, hashes.size, 4096))]
     return np.min(parts, axis=0)
 
 
@@ -94,9 +108,8 @@ def _signature(c: str) -> Column:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(block, id, signature): the least value of each permutation over a document's shingles."""
-    own = rows.groupBy("block", "id").agg(F.collect_list("shingle").alias("hashes"))
-    return own.select("block", "id", _signature("hashes").alias("signature"))
+    """(block, id, signature) of rows (block, id, hashes), none of them empty: the least value of each function over a document's shingles."""
+    return rows.select("block", "id", _signature("hashes").alias("signature"))
 
 
 def band_keys(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -104,13 +117,6 @@ def band_keys(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     return signed.select("block", "id", F.inline(parts))
 
 
-def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(block, a, b) of documents that share a band, a < b. For small tables; clusters use ``bucket_links``."""
-    keys = band_keys(signed, bands, rows)
-    left, right = keys.select("block", "band", "key", F.col("id").alias("a")), keys.select("block", "band", "key", F.col("id").alias("b"))
-    return left.join(right, ["block", "band", "key"]).where("a < b").select("block", "a", "b").distinct()
-
-
 def bucket_links(signed: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Links (a, b) of each bucket's members to its least one."""
     keys = band_keys(signed, bands, rows)
@@ -131,36 +137,72 @@ def cluster(docs: DataFrame, block: str = "docket", doc_id: str = "id", text: st
     shingles). Ids must be longs. The representative of a cluster has the longest cleaned text, the
     least id on ties.
     """
-    cleaned = cleaner(F.col(text)) if cleaner else F.lower(F.coalesce(F.col(text), F.lit("")))
-    own = docs.select(F.col(block).alias("block"), F.col(doc_id).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest"), cleaned.alias("clean"))
-    reps = cut(own.groupBy("block", "digest").agg(F.min(F.struct("id", "clean")).alias("first")).select("block", "digest", F.col("first.id").alias("id"), F.col("first.clean").alias("clean"), token_count(F.col("first.clean")).alias("n_tokens")), "reps")
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    own = docs.select(F.col(block).alias("block"), F.col(doc_id).alias("id"), digest.alias("digest"))
+    first = own.groupBy("block", "digest").agg(F.min("id").alias("id"))
+    texts = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("text"))
+    clean = cleaner(F.col("text")) if cleaner else F.lower(F.coalesce("text", F.lit("")))
+    reps = first.join(texts, F.col("id") == F.col("own_id")).select("block", "digest", "id", clean.alias("clean"))
+    reps = cut(reps.withColumn("n_tokens", token_count(F.col("clean"))), "reps")
     gated = reps.where(F.col("n_tokens") >= min_tokens)
-    sizes = gated.groupBy("block").agg(F.count("*").alias("n"))
-    signed = cut(signatures(drop_common(shingle_rows(gated, "block", "id", "clean"), sizes, most_common)), "signatures")
-    roots = components(bucket_links(signed, bands, rows)).select(F.col("node").alias("id"), "root")
-    member = signed.join(roots, "id").join(gated.select("id", F.length("clean").alias("len")), "id")
-    best = member.groupBy("root").agg(F.max_by("signature", F.struct("len", -F.col("id"))).alias("best"))
+    arrays = cut(shingle_arrays(gated, "block", "id", "clean"), "shingles")
+    signed = cut(signatures(drop_common(arrays, most_common)), "signatures")
+    roots = cut(components(bucket_links(signed, bands, rows)).select(F.col("node").alias("id"), "root"), "roots")
+    member = cut(roots.join(signed.select("id", "signature"), "id").join(gated.select("id", F.length("clean").alias("len")), "id"), "members")
+    best = cut(member.groupBy("root").agg(F.max_by("signature", F.struct("len", -F.col("id"))).alias("best")), "best")
     judged = member.join(best, "root").select("id", "root", (likeness(F.col("signature"), F.col("best")) >= least_like).alias("stays"))
-    state = reps.join(judged, "id", "left").join(signed.select("id", F.lit(True).alias("signed")), "id", "left")
+    state = reps.select("block", "digest", "id", "n_tokens").join(judged, "id", "left").join(signed.select("id", F.lit(True).alias("signed")), "id", "left")
     reason = F.when(F.col("stays"), "clustered").when(F.col("stays").isNotNull(), "ejected").when(F.col("n_tokens") < min_tokens, "short").when(F.col("signed").isNull(), "common").otherwise("alone")
     group = F.when(F.col("stays"), F.col("root")).otherwise(F.col("id"))
     placed = state.select("block", "digest", F.col("id").alias("rep"), group.alias("group"), reason.alias("reason"))
     # A cluster is named by its least member that stays.
-    placed = placed.withColumn("kept", F.col("reason") == "clustered")
-    names = placed.groupBy("group", "kept").agg(F.min("rep").alias("cluster"))
-    named = placed.join(names, ["group", "kept"]).select("block", "digest", "rep", "cluster", "reason")
-    return own.select("block", "id", "digest").join(named, ["block", "digest"]).select("block", "id", "rep", "cluster", "reason")
+    placed = cut(placed.withColumn("kept", F.col("reason") == "clustered"), "placed")
+    names = cut(placed.groupBy("group", "kept").agg(F.min("rep").alias("cluster")), "names")
+    named = cut(placed.join(names, ["group", "kept"]).select(F.col("block").alias("b"), F.col("digest").alias("d"), "rep", "cluster", "reason"), "named")
+    return own.join(named, (F.col("digest") == F.col("d")) & F.col("block").eqNullSafe(F.col("b"))).select("block", "id", "rep", "cluster", "reason")
+
 
+def mapper(clustered: DataFrame) -> DataFrame:
+    """(block, id, cluster_id, cluster_uid, reason): ids dense within a block, clusters before singletons.
 
-def mapper(clustered: DataFrame, agency: Column | None = None) -> DataFrame:
-    """(agency, block, id, cluster_id, cluster_uid): ids dense within a block, clusters before singletons."""
+    Clusters are numbered within ranges of the order, and the sizes of the ranges before are added, so
+    that no task sorts a whole block.
+    """
     sizes = clustered.groupBy("block", "cluster").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("block").orderBy(F.when(F.col("size") > 1, 0).otherwise(1), "cluster")
-    numbered = sizes.withColumn("cluster_id", (F.row_number().over(order) - 1).cast("int")).drop("size")
+    order = ["block", "single", "cluster"]
+    dealt = sizes.select("block", F.when(F.col("size") > 1, 0).otherwise(1).alias("single"), "cluster")
+    dealt = cut(dealt.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "numbered")
+    counts = dealt.groupBy("block", "range").agg(F.count("*").alias("n"))
+    before = counts.select("block", "range", (F.sum("n").over(Window.partitionBy("block").orderBy("range")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("block", "range").orderBy("single", "cluster"))
+    numbered = dealt.withColumn("no", within).join(before, ["block", "range"]).select("block", "cluster", (F.col("no") - 1 + F.col("before")).cast("int").alias("cluster_id"))
+    numbered = cut(numbered, "ids")
     uid = F.concat_ws("::", F.col("block").cast("string"), F.col("cluster_id").cast("string"))
     return clustered.join(numbered, ["block", "cluster"]).select("block", "id", "cluster_id", uid.alias("cluster_uid"), "reason")
 
 
+def sampled_members(clustered: DataFrame, n: int) -> DataFrame:
+    """Up to n documents of each cluster (block, id, rep, cluster): its representative first, and then others by a hash of their id."""
+    order = Window.partitionBy("block", "cluster").orderBy(F.when(F.col("id") == F.col("cluster"), 0).otherwise(1), F.md5(F.col("id").cast("string").cast("binary")), "id")
+    return clustered.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def representatives_and_singletons(clustered: DataFrame, n: int, seed: str = "0") -> DataFrame:
+    """The representative of each cluster of several documents, and n singletons by a hash."""
+    from civicflow.operators.matching import hash_sample
+
+    sizes = clustered.groupBy("block", "cluster").agg(F.count("*").alias("size"), F.min("id").alias("id"))
+    one = hash_sample(sizes.where("size = 1"), "id", n, seed)
+    return sizes.where("size > 1").unionByName(one).select("block", "id", "cluster", "size")
+
+
+def by_shared_id(rows: DataFrame, block: str, key: str, doc_id: str) -> DataFrame:
+    """(block, id, cluster): documents that share a key, clustered under the least of them; one without a key stands alone."""
+    least = rows.where(F.col(key).isNotNull()).groupBy(F.col(block).alias("b"), F.col(key).alias("k")).agg(F.min(doc_id).alias("least"))
+    met = rows.join(least, F.col(block).eqNullSafe(F.col("b")) & (F.col(key) == F.col("k")), "left")
+    return met.select(F.col(block).alias("block"), F.col(doc_id).alias("id"), F.coalesce("least", F.col(doc_id)).alias("cluster"))
+
+
 def representatives(docs: DataFrame, group: str, doc_id: str, text: str, strategy: str = "longest") -> DataFrame:
     """(group, id) by one of three rules: the longest text, the longest cleaned text (hand in that column), or the first id."""
     if strategy == "first_id":
@@ -170,8 +212,11 @@ def representatives(docs: DataFrame, group: str, doc_id: str, text: str, strateg
 
 
 def summary(clustered: DataFrame) -> DataFrame:
-    """Documents, clusters, those of several documents, the largest one's size, and the reduction."""
+    """Documents, clusters, those of several documents, the largest one's size, the upper median of sizes, and the reduction."""
     sizes = clustered.groupBy("block", "cluster").agg(F.count("*").alias("size"))
     hist = sizes.groupBy("size").agg(F.count("*").alias("n"))
     total = hist.agg(F.sum(F.col("size") * F.col("n")).alias("documents"), F.sum("n").alias("clusters"), F.sum(F.when(F.col("size") > 1, F.col("n")).otherwise(0)).alias("shared"), F.max("size").alias("largest"))
-    return total.select("documents", "clusters", "shared", "largest", F.round(1 - F.col("clusters") / F.col("documents"), 6).alias("reduction"))
+    # There are at most about the root of twice the documents' number of different sizes.
+    upto = hist.select("size", F.sum("n").over(Window.orderBy("size")).alias("upto"))
+    middle = upto.join(total.select("clusters"), how="cross").where(F.col("upto") > F.floor(F.col("clusters") / 2)).agg(F.min("size").alias("upper_median"))
+    return total.join(middle, how="cross").select("documents", "clusters", "shared", "largest", "upper_median", F.round(1 - F.col("clusters") / F.col("documents"), 6).alias("reduction"))
