@@ -1,13 +1,15 @@
 """Sparse and dense retrieval: BM25, TF-IDF, exact vector search, fusion, recall.
 
-Every ranking breaks ties by id. BM25 and TF-IDF meet on terms. Vector search takes a query set, cut
-into blocks of bounded size, against all rows; each task keeps the best of each query, so that what
-is shuffled grows with tasks and queries, not with their products with rows.
+Every ranking breaks ties by id. BM25, word overlap and vector search take a query set, cut into
+parts of bounded size, against all rows; each task keeps the best of each query, so that what is
+shuffled grows with tasks and queries, not with rows. TF-IDF links meet on terms.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,28 +21,69 @@ from pyspark.sql import types as T
 
 from civicflow.functions.numbers import ratio
 from civicflow.functions.text import tokens
+from civicflow.storage import cut
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, term, tf, dl) over lower-case white-space tokens."""
-    own = docs.select(F.col(doc_id).alias("id"), tokens(F.lower(F.col(text))).alias("own"))
-    return own.select("id", F.size("own").alias("dl"), F.explode("own").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+#: What ``tokens`` splits at, for use in Python.
+split_words = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+").findall
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank): the k best documents of each query with a positive score.
+def token_count_only(c: Column) -> Column:
+    """As many as ``tokens`` gives, without making them."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"(?U)\S+"))
 
-    Queries are a small set (their distinct terms are broadcast if the planner finds them small), and
-    only postings of query terms move.
+
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75, query_bytes: int = 16 << 20) -> DataFrame:
+    """(query_id, id, score, rank): the k best documents of each query with a positive score, over lower-case white-space tokens.
+
+    Queries are a stated set, read in parts of at most ``query_bytes`` of text. One pass counts
+    documents and the frequencies of query terms; then each task scores its documents against all
+    queries of a part and keeps the best of each, so postings never move. Ids are longs.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.lower(F.col(query_text))))).alias("term"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.lower(F.col(doc_text))))).alias("avgdl"))
-    posted = term_counts(docs, doc_id, doc_text).join(asked.select("term").distinct(), "term", "left_semi")
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    weight = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = posted.join(weight, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    return top(scored.where("score > 0"), ["query_id"], "score", "id", k)
+    text = F.lower(F.coalesce(F.col(doc_text), F.lit("")))
+    asked = cut(queries.select(F.col(query_id).cast("long").alias("query_id"), F.array_distinct(tokens(F.lower(F.col(query_text)))).alias("terms")).where("query_id is not null and size(terms) > 0"), "asked")
+    stats = docs.agg(F.count("*").alias("n"), F.avg(token_count_only(F.col(doc_text))).alias("avgdl")).first()
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    terms = docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    size = asked.agg(F.sum(F.aggregate("terms", F.lit(64), lambda t, x: t + F.length(x) + 60)).alias("n")).first()["n"] or 0
+    parts, found = max(1, -(-size // query_bytes)), None
+    if parts > 1:
+        terms = cut(terms, "frequencies")
+    given = docs.select(F.col(doc_id).cast("long").alias("id"), text.alias("text")).where("id is not null")
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        df = terms if parts == 1 else terms.join(own.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+        idf = {r["term"]: float(np.log((stats["n"] - r["df"] + 0.5) / (r["df"] + 0.5) + 1)) for r in df.collect()}  # terms of this part's queries
+        one = given.mapInArrow(_bm25(own.orderBy("query_id").toArrow(), idf, stats["avgdl"], k, k1, b), "query_id long, id long, score double")
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top(best, ["query_id"], "score", "id", k)
+
+
+def _bm25(asked: pa.Table, idf: dict[str, float], avgdl: float, k: int, k1: float, b: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = asked["terms"].to_pylist()
+        posted: dict[str, list[int]] = {}
+        for i, own in enumerate(lists):
+            for t in own:
+                if t in idf:
+                    posted.setdefault(t, []).append(i)
+        posts, best = {t: np.array(x) for t, x in posted.items()}, _Best(len(lists), k)
+        for batch in batches:
+            ids, scores = batch["id"].to_numpy(), np.zeros((batch.num_rows, len(lists)))
+            for j, text in enumerate(batch["text"].to_pylist()):
+                own = split_words(text)
+                norm, hits, weights = k1 * (1 - b + b * len(own) / avgdl) if avgdl else k1, [], []
+                for t, tf in Counter(filter(posts.__contains__, own)).items():
+                    hits.append(posts[t])
+                    weights.append(np.full(len(posts[t]), idf[t] * tf * (k1 + 1) / (tf + norm)))
+                if hits:
+                    scores[j] = np.bincount(np.concatenate(hits), np.concatenate(weights), len(lists))
+            for i in range(len(lists)):
+                best.offer(i, scores[:, i], ids, scores[:, i] > 0)
+        yield from best.rows(asked, [])
+
+    return run
 
 
 def top(rows: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:

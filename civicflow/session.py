@@ -1,6 +1,16 @@
 """Session defaults for tests, the benchmark and interactive use."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt to all of them; any other as it is.
+
+    A small file is one split, and all work on its texts would be one task's. Column pruning and
+    filters still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:

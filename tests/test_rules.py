@@ -1,10 +1,13 @@
 """Rules of clustering, ranking and merging that a whole-table comparison may not reach."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from civicflow.functions import text as X
 from civicflow.operators import crosswalk as C
 from civicflow.operators import dedup as D
 from civicflow.operators import matching as M
@@ -56,9 +59,25 @@ def test_unlike_member_is_ejected(spark):
     assert got[50]["cluster"] != got[51]["cluster"]
 
 
-def test_short_texts_give_token_suffixes(spark):
-    df = spark.createDataFrame([(["a", "b", "c"],), ([],)], "own array<string>")
-    assert [sorted(r["s"]) for r in df.select(D.shingles(F.col("own")).alias("s")).collect()] == [["a b c", "b c", "c"], []]
+def md5_60(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def test_shingles_and_short_texts():
+    assert set(D.shingle_hashes("a  b\tc")) == {md5_60("a b c"), md5_60("b c"), md5_60("c")} and D.shingle_hashes("").size == 0
+    assert set(D.shingle_hashes("a b c d e f a b c d e f")) == {md5_60(" ".join(("abcdef" * 2)[i : i + 5])) for i in range(6)}
+
+
+def test_shingles_split_where_tokens_do(spark):
+    text = "".join(f"w{chr(c)}" for c in [*range(1, 0x180), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF])
+    assert retrieval.split_words(text) == spark.createDataFrame([(text,)], "t string").select(X.tokens(F.col("t")).alias("r")).first()["r"]
+
+
+def test_least_values_against_big_numbers():
+    rng = random.Random(3)
+    hashes = [rng.randrange(1 << 60) for _ in range(3000)]
+    want = [min((a * (h >> 30) + b * (h & (1 << 30) - 1) + c) % D.PRIME for h in hashes) for a, b, c in D.family()]
+    assert D.least_values(np.array(hashes)).tolist() == want
 
 
 def test_components_on_a_star_and_a_ring(spark):
