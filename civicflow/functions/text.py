@@ -237,3 +237,14 @@ def display_name(c: Column) -> Column:
     org = F.when(F.locate(",", rest) > 0, F.trim(F.regexp_extract(rest, r"^(.*),[^,]*$", 1))).otherwise("")
     name = F.trim(F.regexp_extract(rest, r"([^,]*)$", 1))
     return F.struct(org.alias("org"), name.alias("name"), kind.alias("format"))
+
+
+def records(c: Column, pattern: str, groups: int) -> Column:
+    """The groups of each match of a pattern, in order, as arrays: records that repeat in a page."""
+    found = [F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), i + 1) for i in range(groups)]
+    return F.transform(found[0], lambda _, i: F.transform(F.array(*found), lambda g: F.get(g, i)))
+
+
+def without_surrogates(c: Column) -> Column:
+    """Escaped halves of surrogate pairs that stand alone are dropped; a text of Spark's holds no real ones."""
+    return F.regexp_replace(c, r"(?i)(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2}|\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})", "")

@@ -52,3 +52,31 @@ def best_links(*links: DataFrame) -> DataFrame:
         every = every.unionByName(x)
     order = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("method"))
     return by_priority(every, ["orphan_docket", "comment_docket"], order, ["evidence"])
+
+
+def proposals_of(*links: DataFrame, comment_dockets: DataFrame) -> DataFrame:
+    """One proposal docket for each rule docket, of links (rule_docket, proposal_docket, method, evidence), by the most trusted method, and whether it has comments.
+
+    Shared register numbers come first, then shared rule identifiers, then a scorer's matches.
+    """
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    order = F.array_position(F.array(*map(F.lit, ["fr_number", "rin", "ce"])), F.col("method"))
+    best = by_priority(every.where("rule_docket <> proposal_docket"), ["rule_docket"], order, ["proposal_docket", "evidence"])
+    has = comment_dockets.select(F.col("docket_id").alias("commented")).where("commented is not null").distinct()
+    met = best.join(has, F.col("proposal_docket") == F.col("commented"), "left")
+    return met.select("rule_docket", "proposal_docket", "method", "evidence", F.col("commented").isNotNull().alias("proposal_has_comments"))
+
+
+def training_pairs(rules: DataFrame, proposals: DataFrame, most: int = 3, seed: str = "0") -> DataFrame:
+    """(rule_id, proposal_id, docket_id): rules and proposals (id, docket_id) of one docket, up to ``most`` pairs of each, by a hash.
+
+    Both sides are cut to ``most`` rows of a docket before they meet, so a docket makes ``most`` squared pairs at most.
+    """
+    from civicflow.operators.selection import sample_each
+
+    left = sample_each(rules, ["docket_id"], "id", most, seed).select("docket_id", F.col("id").alias("rule_id"))
+    right = sample_each(proposals, ["docket_id"], "id", most, seed).select("docket_id", F.col("id").alias("proposal_id"))
+    met = left.join(right, "docket_id").withColumn("pair", F.concat_ws(":", "rule_id", "proposal_id"))
+    return sample_each(met, ["docket_id"], "pair", most, seed).select("rule_id", "proposal_id", "docket_id")

@@ -59,6 +59,16 @@ class PatternExtractor:
         return [json.dumps([s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if re.search(self.pattern, s)]) for t in texts]
 
 
+class Always:
+    """The same answer to everything."""
+
+    def __init__(self, answer: str):
+        self.answer = answer
+
+    def extract(self, texts: list[str]) -> list[str]:
+        return [self.answer] * len(texts)
+
+
 class TemplateGenerator:
     """One tagged claim for each numbered provision of a prompt."""
 

@@ -45,9 +45,9 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.add("""
 WITH q AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS q, count(*) AS n FROM events GROUP BY 1), h AS (SELECT date_trunc('hour', q) AS h, sum(n) AS n FROM q GROUP BY 1), d AS (SELECT date_trunc('day', h) AS d, sum(n) AS n FROM h GROUP BY 1),
 cap AS (SELECT max(n) * 0.9 AS day_cap, (SELECT max(n) FROM h) AS hour_most FROM d), c AS (SELECT 20 AS cap)
-SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS start, 'day' AS width, n::BIGINT AS n FROM d, c WHERE n <= cap UNION ALL
-SELECT strftime(h, '%Y-%m-%d %H:%M:%S'), 'hour', n::BIGINT FROM h, c WHERE n <= cap AND date_trunc('day', h) IN (SELECT d FROM d, c WHERE n > cap) UNION ALL
-SELECT strftime(q, '%Y-%m-%d %H:%M:%S'), 'quarter', n::BIGINT FROM q, c WHERE date_trunc('hour', q) IN (SELECT h FROM h, c WHERE n > cap)""")
+SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS start, 'day' AS width, n::BIGINT AS n, false AS over FROM d, c WHERE n <= cap UNION ALL
+SELECT strftime(h, '%Y-%m-%d %H:%M:%S'), 'hour', n::BIGINT, false FROM h, c WHERE n <= cap AND date_trunc('day', h) IN (SELECT d FROM d, c WHERE n > cap) UNION ALL
+SELECT strftime(q, '%Y-%m-%d %H:%M:%S'), 'quarter', n::BIGINT, n > cap FROM q, c WHERE date_trunc('hour', q) IN (SELECT h FROM h, c WHERE n > cap)""")
 def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(E.shard_plan(_events(spark, sf_dir), "ts", 20), "start")
 
@@ -65,3 +65,14 @@ def lookup_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("c_acctbal").alias("balance"))
     met = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(per, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return met.select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.coalesce("customers", F.lit(0)).cast("long").alias("customers"), F.round("balance", 2).alias("balance"))
+
+
+@plans.add("""
+WITH RECURSIVE q AS (SELECT epoch(time_bucket(INTERVAL 15 MINUTE, ts))::BIGINT // 900 AS u, count(*) AS n FROM events GROUP BY 1),
+e AS (SELECT min(u) AS lo, 2 ** ceil(log2(max(u) - min(u) + 1)) AS len FROM q),
+cut(a, len, n) AS (SELECT lo, len::BIGINT, (SELECT sum(n) FROM q) FROM e UNION ALL
+  SELECT h.a, h.len, (SELECT coalesce(sum(q.n), 0) FROM q WHERE q.u >= h.a AND q.u < h.a + h.len) FROM (SELECT unnest([cut.a, cut.a + cut.len // 2]) AS a, cut.len // 2 AS len FROM cut WHERE cut.n > 30 AND cut.len > 1) h)
+SELECT strftime(to_timestamp(a * 900) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS start, (len * 900)::BIGINT AS seconds, n::BIGINT AS n, n > 30 AS over FROM cut WHERE n > 0 AND (n <= 30 OR len = 1)""")
+def halved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole time halved until no part has more than 30 events."""
+    return _text(E.halved_plan(_events(spark, sf_dir), "ts", 30), "start")

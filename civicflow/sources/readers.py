@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow.functions.text import copy_unescaped, html_text
+from civicflow.storage import cut
 
 RAW_COLUMNS = ["document_id", "docket_id", "agency_id", "document_type", "posted_date", "title", "comment", "content_files", "attachment_files", "fr_number", "related_rins", "comment_on_document_id"]
 
@@ -73,38 +74,55 @@ _COPY = re.compile(r"^COPY (?:\w+\.)?\"?(\w+)\"? \(([^)]*)\) FROM stdin;$")
 
 
 def copy_blocks(spark: SparkSession, path: str, tables: dict[str, list[str]], unescape: bool = True) -> dict[str, DataFrame]:
-    """The ``COPY … FROM stdin`` blocks of a database dump as one frame of strings a table.
+    """The ``COPY … FROM stdin`` blocks of database dumps as one frame of strings a table.
 
-    A row belongs to the block whose header is the last before it. Headers and ends are few, so their
-    byte offsets are known after one pass; each file is read by one task, in order, as a dump is one
-    stream. Rows with a wrong number of fields are left out.
+    A dump is read in splits, by as many tasks. Lines that look like a block's header or end are
+    found first, with the file and the split that they are in; in order, they say which block is open
+    where each split begins. These lines are few, and all that the driver gets. Then each split is
+    parsed from there on, once for all tables, into shared storage. A line within a block that looks like a
+    header is a row, as only ``\\.`` ends a block. Rows with a wrong number of fields are left out.
     """
     wanted = {t: list(cols) for t, cols in tables.items()}
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, cols = None, []
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    numbered = lines.withColumn("no", F.monotonically_increasing_id())
+    marks = numbered.where((F.col("value") == "\\.") | F.col("value").rlike(_COPY.pattern)).orderBy("file", "split", "no").collect()
+    opened: dict[str, list[tuple[int, tuple | None]]] = {}  # for each file, the state behind each split with a mark
+    last, state = None, None
+    for m in marks:
+        if m["file"] != last:
+            last, state = m["file"], None
+        state = _next_state(state, m["value"])
+        opened.setdefault(m["file"], []).append((m["split"], state))
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
         for pdf in batches:
             out = []
-            for line in pdf["value"]:
-                if table is None:
-                    if (m := _COPY.match(line)) and m[1] in wanted:
-                        table, cols = m[1], [c.strip().strip('"') for c in m[2].split(",")]
-                elif line == "\\.":
-                    table = None
-                else:
+            for file, split, line in zip(pdf["file"], pdf["split"], pdf["value"], strict=True):
+                if (file, split) != at:
+                    at = (file, split)
+                    state = next((s for k, s in reversed(opened.get(file, [])) if k < split), None)
+                before, state = state, _next_state(state, line)
+                if before is not None and state is before and before[0] in wanted:
                     fields = line.split("\t")
-                    if len(fields) == len(cols):
-                        own = dict(zip(cols, fields, strict=True))
-                        out.append((table, [own.get(c) for c in wanted[table]]))
+                    if len(fields) == len(before[1]):
+                        own = dict(zip(before[1], fields, strict=True))
+                        out.append((before[0], [own.get(c) for c in wanted[before[0]]]))
             yield pd.DataFrame(out, columns=["table", "fields"])
 
-    # wholetext keeps one file's lines in one task whatever the split size.
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n")).alias("value"))
-    rows = lines.mapInPandas(split, "table string, fields array<string>")
+    rows = cut(lines.mapInPandas(parsed, "table string, fields array<string>"), "dump")
     value = copy_unescaped if unescape else (lambda c: F.when(c != "\\N", c))
     return {t: rows.where(F.col("table") == t).select(*[value(F.get("fields", i)).alias(c) for i, c in enumerate(cols)]) for t, cols in wanted.items()}
 
 
+def _next_state(state: tuple | None, line: str) -> tuple | None:
+    """The open block (table, columns) behind a line."""
+    if state is not None:
+        return None if line == "\\." else state
+    m = _COPY.match(line)
+    return (m[1], [c.strip().strip('"') for c in m[2].split(",")]) if m else None
+
+
 def html_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), html_text(F.col("value")).alias("text"))
     return files

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from civicflow.operators.matching import by_priority
 from civicflow.sources.sinks import append_distinct
+from civicflow.storage import cut, exists
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -43,7 +46,7 @@ def sessions(rows: DataFrame, ts: str, gap: str, by: list[str], delay: str | Non
 
 
 def shard_plan(rows: DataFrame, ts: str, cap: int) -> DataFrame:
-    """(start, width, n): days; hours for days of more than ``cap`` rows; quarters for such hours. What a capped interface can give whole.
+    """(start, width, n, over): days; hours for days of more than ``cap`` rows; quarters for such hours. Quarters of more than ``cap`` rows are marked as over. What a capped interface can give whole.
 
     Quarters are counted once, and hours and days are sums of quarters.
     """
@@ -54,7 +57,7 @@ def shard_plan(rows: DataFrame, ts: str, cap: int) -> DataFrame:
     days = day.where(F.col("n") <= cap).select(F.col("d").alias("start"), F.lit("day").alias("width"), "n")
     hours = hour.where(F.col("n") <= cap).join(full_days, F.date_trunc("day", "h") == F.col("d"), "left_semi").select(F.col("h").alias("start"), F.lit("hour").alias("width"), "n")
     quarters = quarter.join(full_hours, F.date_trunc("hour", "q") == F.col("h"), "left_semi").select(F.col("q").alias("start"), F.lit("quarter").alias("width"), "n")
-    return days.unionByName(hours).unionByName(quarters)
+    return days.unionByName(hours).unionByName(quarters).withColumn("over", F.col("n") > cap)
 
 
 def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -62,14 +65,59 @@ def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return by_priority(rows, keys, -order, [])
 
 
-def upsert(spark: SparkSession, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]):
-    """A foreachBatch function that rewrites a table as ``merge(old, batch)`` beside the old one and then switches the pointer file's target."""
+POINTERS = "no long, query string, batch long, folder string"
+
+
+def _pointers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(POINTERS).parquet(f"{path}/pointers") if exists(spark, f"{path}/pointers") else spark.createDataFrame([], POINTERS)
+
+
+def current(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that ``upsert`` keeps in a folder, as the last pointer says; empty if there is none yet."""
+    last = _pointers(spark, path).orderBy(F.desc("no")).first()
+    return spark.read.schema(schema).parquet(f"{path}/{last['folder']}") if last else spark.createDataFrame([], schema)
+
+
+def upsert(spark: SparkSession, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes ``merge(old, batch)`` as a new version and then a pointer to it.
+
+    The pointer's row is appended when the version is complete, so that readers see the old or the new
+    table whole. A batch of a query that has its pointer isn't merged again, and numbers go on under a new checkpoint.
+    """
 
     def run(batch: DataFrame, no: int) -> None:
-        current = f"{path}/v{no - 1}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(current)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        old = spark.read.schema(batch.schema).parquet(current) if there else spark.createDataFrame([], batch.schema)
-        merge(old, batch).write.mode("overwrite").parquet(f"{path}/v{no}")
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        known = _pointers(spark, path)
+        if not known.where((F.col("query") == query) & (F.col("batch") == no)).isEmpty():
+            return
+        folder = f"v-{uuid.uuid4().hex}"
+        merge(current(spark, path, batch.schema), batch).write.parquet(f"{path}/{folder}")
+        last = known.agg(F.max("no")).first()[0]
+        spark.createDataFrame([((last or 0) + 1, query, no, folder)], POINTERS).coalesce(1).write.mode("append").parquet(f"{path}/pointers")
 
     return run
+
+
+def halved_plan(rows: DataFrame, ts: str, cap: int, unit: int = 900) -> DataFrame:
+    """(start, seconds, n, over): the whole time in halves, and halves of halves, until each has at most ``cap`` rows.
+
+    The range from the first row's unit (a quarter of an hour) on is filled up to a power of two of
+    units, so that halves are runs of units whose numbers agree in their upper bits, and one
+    aggregation for each length counts them all. An interval of one unit that still has more is marked
+    as over. Empty intervals are left out.
+    """
+    counted = rows.where(F.col(ts).isNotNull()).groupBy(F.floor(F.unix_timestamp(ts) / unit).cast("long").alias("u")).agg(F.count("*").alias("n"))
+    units = cut(counted, "units")
+    ends = units.agg(F.min("u").alias("first"), F.max("u").alias("last")).first()
+    if ends["first"] is None:
+        return units.select(F.lit("").cast("timestamp").alias("start"), F.lit(0).cast("long").alias("seconds"), "n", F.lit(False).alias("over"))
+    levels = (ends["last"] - ends["first"]).bit_length()
+    at = (F.col("u") - ends["first"]).alias("i")
+    by_level = [units.select(at, "n").groupBy(F.shiftright("i", d).alias("i")).agg(F.sum("n").alias("n")).select(F.lit(d).alias("d"), "i", "n") for d in range(levels + 1)]
+    every = reduce(DataFrame.unionByName, by_level)
+    parent = every.select((F.col("d") - 1).alias("pd"), F.col("i").alias("pi"), F.col("n").alias("pn"))
+    met = every.join(parent, (F.col("d") == F.col("pd")) & (F.shiftright("i", 1) == F.col("pi")), "left")
+    split = F.col("pn").isNull() | (F.col("pn") > cap)
+    kept = met.where(split & ((F.col("n") <= cap) | (F.col("d") == 0)))
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d"))
+    return kept.select(F.timestamp_seconds((ends["first"] + F.col("i") * width) * unit).alias("start"), (width * unit).alias("seconds"), "n", (F.col("n") > cap).alias("over"))
