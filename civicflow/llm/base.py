@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicflow.session import spread
 from civicflow.storage import cut, shared_dir
 
 __all__ = ["cut", "shared_dir"]  # the operators take these from here
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, dealt to all cores if it has fewer splits than that."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
