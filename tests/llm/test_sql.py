@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 def test_query(spark, name):
     got = registry.queries()[name](spark, SF)
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings", "labels"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.sql(registry.oracle_sql()[name])
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
