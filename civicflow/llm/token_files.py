@@ -3,12 +3,12 @@
 A file is in Arrow's IPC file format, the stream format with a footer of batch positions. Its columns:
 
 * ``ids``: fixed-size list of ``LENGTH`` unsigned ids, 16 bits wide if the vocabulary fits, else 32;
-* ``mask``: fixed-size list of as many bytes: 1 for an id, 2 for the last id of a document, 0 for what
-  fills up the file's last sequence;
+* ``mask``: fixed-size list of as many bits: set for an id, not for what fills up the file's last sequence;
+* ``last``: fixed-size list of as many bits: set for the last id of a document;
 * ``ended``: the ids of the documents that end in the sequence, in order.
 
 Every batch but the last has ``BATCH`` sequences, so sequence i is row i % BATCH of batch i // BATCH,
-and where the file is mapped into memory its ids and mask are views of the mapping. Documents follow
+and where the file is mapped into memory its arrays are views of the mapping. Documents follow
 one another in ascending order and cross sequences freely; none crosses files.
 
 Documents are dealt to tasks by ranges of their ids, so texts are shuffled once; a task encodes its
@@ -36,7 +36,6 @@ from civicflow.llm.packing import END_ID, default_tokenizer, encoder
 LENGTH = 1024
 BATCH = 256
 FILE_SEQUENCES = 1 << 16
-FILLED, INSIDE, LAST = 0, 1, 2
 FILES = "task int, roll int, path string, n_docs long, n_ids long, n_sequences long"
 
 
@@ -54,22 +53,23 @@ class SequenceWriter:
         self.length, self.batch, self.kind = length, batch, np.dtype("<u4" if wide else "<u2")
         self.schema = pa.schema([
             ("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)),
-            ("mask", pa.list_(pa.uint8(), length)),
+            ("mask", pa.list_(pa.bool_(), length)),
+            ("last", pa.list_(pa.bool_(), length)),
             ("ended", pa.list_(pa.int64())),
         ], {"batch": str(batch)})
         system, path = located(uri)
         self._out = system.open_output_stream(path)
         self._file = pa.ipc.new_file(self._out, self.schema)
-        self._ids, self._mask = np.empty(0, self.kind), np.empty(0, np.uint8)
+        self._ids, self._last = np.empty(0, self.kind), np.empty(0, bool)
         self._ended: list[int | None] = []  # of the documents that end in what waits
         self.n_docs = self.n_ids = self.n_sequences = 0
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Appends documents: their ids end to end, and how many each has (at least one)."""
-        mask = np.full(len(ids), INSIDE, np.uint8)
-        mask[np.cumsum(sizes) - 1] = LAST
+        last = np.zeros(len(ids), bool)
+        last[np.cumsum(sizes) - 1] = True
         self._ids = np.concatenate([self._ids, ids.astype(self.kind)])
-        self._mask = np.concatenate([self._mask, mask])
+        self._last = np.concatenate([self._last, last])
         self._ended += doc_ids
         self.n_docs += len(doc_ids)
         self.n_ids += len(ids)
@@ -78,27 +78,26 @@ class SequenceWriter:
             self._write(self.batch)
 
     def _write(self, rows: int) -> None:
-        n = rows * self.length
-        ids, mask = self._ids[:n], self._mask[:n]
-        self._ids, self._mask = self._ids[n:], self._mask[n:]
-        ends = np.concatenate([[0], np.cumsum((mask.reshape(rows, self.length) == LAST).sum(1))]).astype(np.int32)
+        size = rows * self.length
+        n = min(size, len(self._ids))  # the file's last sequence is filled up
+        ids, mask, last = np.zeros(size, self.kind), np.arange(size) < n, np.zeros(size, bool)
+        ids[:n], last[:n] = self._ids[:n], self._last[:n]
+        self._ids, self._last = self._ids[n:], self._last[n:]
+        ends = np.concatenate([[0], np.cumsum(last.reshape(rows, self.length).sum(1))]).astype(np.int32)
         ended, self._ended = self._ended[: ends[-1]], self._ended[ends[-1] :]
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask, last)]
         self._file.write_batch(pa.record_batch([*lists, pa.ListArray.from_arrays(pa.array(ends), pa.array(ended, pa.int64()))], schema=self.schema))
         self.n_sequences += rows
 
     def close(self) -> None:
         if len(self._ids):
-            rows = -(-len(self._ids) // self.length)
-            empty = rows * self.length - len(self._ids)
-            self._ids, self._mask = np.pad(self._ids, (0, empty)), np.pad(self._mask, (0, empty), constant_values=FILLED)
-            self._write(rows)
+            self._write(-(-len(self._ids) // self.length))
         self._file.close()
         self._out.close()
 
 
 class SequenceFile:
-    """A file's sequences by number. On a local file system ids and masks are views of the mapped file."""
+    """A file's sequences by number. On a local file system batches are views of the mapped file, and so are arrays of ids."""
 
     def __init__(self, uri: str):
         system, path = located(uri)
@@ -111,23 +110,28 @@ class SequenceFile:
     def __len__(self) -> int:
         return (self.batches - 1) * self._batch + self._file.get_batch(self.batches - 1).num_rows if self.batches else 0
 
-    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
-        """ids and masks of a batch, a row for each sequence, and the documents that end in each."""
-        found = self._file.get_batch(i)
-        ids, mask = (found[c].values.to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in ("ids", "mask"))
-        return ids, mask, found["ended"]
+    def batch(self, i: int) -> pa.RecordBatch:
+        return self._file.get_batch(i)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, mask, _ = self.batch(i // self._batch)
-        return ids[i % self._batch], mask[i % self._batch]
+    def ids(self, i: int) -> np.ndarray:
+        """The ids of a batch, a row for each sequence."""
+        return self.batch(i)["ids"].values.to_numpy(zero_copy_only=True).reshape(-1, self.length)
+
+    def bits(self, i: int, column: str = "mask") -> np.ndarray:
+        """The bits of a batch's mask or last ids as booleans, a row for each sequence."""
+        return self.batch(i)[column].values.to_numpy(zero_copy_only=False).reshape(-1, self.length)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """A sequence's ids and its mask."""
+        b, row = divmod(i, self._batch)
+        return self.ids(b)[row], self.batch(b)["mask"].values.slice(row * self.length, self.length)
 
     def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
         """For each batch: starts in the file, sizes and checksums of the documents that end in it, and their ids."""
         at, carried, crc = 0, 0, 0  # ids before the batch; of the document that is open, how many and their checksum
         for i in range(self.batches):
-            ids, mask, ended = self.batch(i)
-            flat = ids.reshape(-1).astype("<u4", copy=False)
-            stops = np.flatnonzero(mask.reshape(-1) == LAST) + 1
+            flat = self.ids(i).reshape(-1).astype("<u4", copy=False)
+            stops = np.flatnonzero(self.bits(i, "last")) + 1
             begins = np.concatenate([[0], stops])
             crcs = np.empty(len(stops), np.int64)
             for n, (a, b) in enumerate(zip(begins, stops)):
@@ -138,8 +142,8 @@ class SequenceFile:
                 sizes[0] += carried
                 starts[0] -= carried
                 carried = crc = 0
-            yield starts, sizes, crcs, ended.values
-            rest = flat[begins[-1] : np.count_nonzero(mask)]
+            yield starts, sizes, crcs, self.batch(i)["ended"].values
+            rest = flat[begins[-1] : np.count_nonzero(self.bits(i))]
             carried += len(rest)
             crc = zlib.crc32(memoryview(rest).cast("B"), crc)
             at += len(flat)
@@ -228,14 +232,13 @@ def sequences_in(files: DataFrame) -> DataFrame:
             for path in rows["path"].to_pylist():
                 file, at = SequenceFile(path), 0
                 for i in range(file.batches):
-                    ids, mask, _ = file.batch(i)
-                    n = len(ids)
+                    ids, n = file.ids(i), file.batch(i).num_rows
                     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * file.length)
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1).astype(k))) for x, k in ((ids, np.int32), (mask, np.int8))]
+                    lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(ids.reshape(-1).astype(np.int32)), file.batch(i)["mask"].values)]
                     yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(at, at + n)), *lists], ["path", "sequence", "ids", "mask"])
                     at += n
 
-    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, "path string, sequence long, ids array<int>, mask array<byte>")
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, "path string, sequence long, ids array<int>, mask array<boolean>")
 
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
