@@ -2,12 +2,13 @@
 
 Every ranking breaks ties by id. BM25, word overlap and vector search take a query set, cut into
 parts of bounded size, against all rows; each task keeps the best of each query, so that what is
-shuffled grows with tasks and queries, not with rows. TF-IDF links meet on terms.
+shuffled grows with tasks and queries, not with rows. A task scores as many rows at a time as make
+``BLOCK`` scores with the queries of a part, so its memory is a part's queries, their best, and a block.
+TF-IDF links meet on rare terms.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from civicflow.functions.text import tokens
 from civicflow.storage import cut
 
 
+BLOCK = 1 << 20  # scores that a task holds at a time
+
 #: What ``tokens`` splits at, for use in Python.
 split_words = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+").findall
 
@@ -68,19 +71,18 @@ def _bm25(asked: pa.Table, idf: dict[str, float], avgdl: float, k: int, k1: floa
             for t in own:
                 if t in idf:
                     posted.setdefault(t, []).append(i)
-        posts, best = {t: np.array(x) for t, x in posted.items()}, _Best(len(lists), k)
+        posts, best = {t: np.array(x) for t, x in posted.items()}, Best(len(lists), k)
         for batch in batches:
-            ids, scores = batch["id"].to_numpy(), np.zeros((batch.num_rows, len(lists)))
-            for j, text in enumerate(batch["text"].to_pylist()):
-                own = split_words(text)
+            for i, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
+                own = split_words(text.as_py())
                 norm, hits, weights = k1 * (1 - b + b * len(own) / avgdl) if avgdl else k1, [], []
                 for t, tf in Counter(filter(posts.__contains__, own)).items():
                     hits.append(posts[t])
                     weights.append(np.full(len(posts[t]), idf[t] * tf * (k1 + 1) / (tf + norm)))
                 if hits:
-                    scores[j] = np.bincount(np.concatenate(hits), np.concatenate(weights), len(lists))
-            for i in range(len(lists)):
-                best.offer(i, scores[:, i], ids, scores[:, i] > 0)
+                    who, at = np.unique(np.concatenate(hits), return_inverse=True)
+                    sums = np.bincount(at, np.concatenate(weights))
+                    best.offer(who[sums > 0], i, sums[sums > 0])
         yield from best.rows(asked, [])
 
     return run
@@ -155,60 +157,112 @@ def search(queries: DataFrame, items: DataFrame, vector: str, k: int, block: lis
 def _nearest(asked: pa.Table, block: list[str], k: int, above: float | None, skip_own: bool):
     """A function of a task's items that gives the best of each query of a part."""
 
-    def unit(rows: list) -> np.ndarray:
-        v = np.array(rows, float)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return v / np.sqrt((v * v).sum(1))[:, None]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple, dict[tuple, list[int]]] = {}  # rows of the queries of a block and length
         vectors, ids = asked["v"].to_pylist(), asked["query_id"].to_pylist()
         for i, at in enumerate(zip(*[asked[c].to_pylist() for c in block]) if block else [()] * len(ids)):
             groups.setdefault((at, len(vectors[i])), []).append(i)
-        units = {key: unit([vectors[i] for i in rows]) for key, rows in groups.items()}
-        best = _Best(len(ids), k)
+        units = {key: unit_rows(np.array([vectors[i] for i in rows], float)) for key, rows in groups.items()}
+        best, numbers = Best(len(ids), k), np.array(ids, np.int64)
         for batch in batches:
-            every, own = batch["v"].to_pylist(), batch["id"].to_numpy()
-            at = list(zip(*[batch[c].to_pylist() for c in block])) if block else [()] * len(every)
+            lengths = batch["v"].value_lengths().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            flat, own = batch["v"].flatten().to_numpy(zero_copy_only=False), batch["id"].to_numpy()
+            at = list(zip(*[batch[c].to_pylist() for c in block])) if block else [()] * len(own)
             by: dict[tuple, list[int]] = {}
-            for j, v in enumerate(every):
-                if (at[j], len(v)) in groups:
-                    by.setdefault((at[j], len(v)), []).append(j)
+            for j, n in enumerate(lengths.tolist()):
+                if (at[j], n) in groups:
+                    by.setdefault((at[j], n), []).append(j)
             for key, rows in by.items():
-                scores = units[key] @ unit([every[j] for j in rows]).T
-                numbers = own[rows]
-                for i, line in zip(groups[key], scores, strict=True):
-                    ok = np.isfinite(line) & ((numbers != ids[i]) | (not skip_own))
-                    best.offer(i, line, numbers, ok if above is None else ok & (line > above))
+                asking, items = np.array(groups[key]), np.array(rows)
+                for some in pieces(items, len(asking)):
+                    x = unit_rows(flat[starts[some][:, None] + np.arange(key[1])])
+                    best.offer_all(asking, units[key] @ x.T, own[some], numbers[asking] if skip_own else None, above)
         yield from best.rows(asked, block)
 
     return run
 
 
-class _Best:
-    """The best items of each query that a task has seen."""
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows divided by their lengths; a row of zeros, or with a missing number, becomes NaN."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+def pieces(rows: np.ndarray, queries: int) -> Iterator[np.ndarray]:
+    """Rows in parts that make at most ``BLOCK`` scores with so many queries, one row at least."""
+    step = max(1, BLOCK // max(1, queries))
+    return (rows[a : a + step] for a in range(0, len(rows), step))
+
+
+class Best:
+    """The k best items of each of n queries that a task has seen, by scores to nine places and then by the least id.
+
+    An item that comes again counts once, by its best score.
+    """
 
     def __init__(self, n: int, k: int):
-        self.k, self.heaps = k, [[] for _ in range(n)]  # the worst of the best first
-
-    def offer(self, i: int, scores: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> None:
-        near, heap = np.flatnonzero(ok), self.heaps[i]
-        if len(near) > 2 * self.k:  # those that can be among the best, ties included
-            near = near[scores[near] >= np.partition(scores[near], len(near) - self.k)[len(near) - self.k] - 1e-9]
-        for s, j in zip(scores[near].tolist(), ids[near].tolist(), strict=True):
-            entry = (round(s, 9), -j, s)
-            if len(heap) < 2 * self.k:  # an id that comes twice must not push others out
-                heapq.heappush(heap, entry)
-            elif entry > heap[0]:
-                heapq.heapreplace(heap, entry)
-
-    def rows(self, asked: pa.Table, block: list[str]) -> Iterator[pa.RecordBatch]:
-        found = [(i, -j, s) for i, heap in enumerate(self.heaps) for _, j, s in heap]
-        if found:
-            who = pa.array([i for i, _, _ in found])
-            cols = [asked[c].combine_chunks().take(who) for c in (*block, "query_id")]
+        self.k = k
+        self.scores, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self._waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._n = 0
+
+    def offer(self, who: np.ndarray, item: int, scores: np.ndarray) -> None:
+        """One item and its scores for some queries."""
+        some = np.round(scores, 9) >= np.round(self.scores[who, -1], 9)
+        if some.any():
+            self._waiting.append((who[some], np.full(np.count_nonzero(some), item), scores[some]))
+            self._n += np.count_nonzero(some)
+            if self._n >= BLOCK:
+                self._merge()
+
+    def offer_all(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray | None = None, above: float | None = None) -> None:
+        """A block of scores, a row for each query; NaN doesn't count, nor does an item with the query's own id if these are given."""
+        scores = np.where(np.isnan(scores), -np.inf, scores)
+        if own is not None:
+            scores[own[:, None] == ids[None, :]] = -np.inf
+        if above is not None:
+            scores[scores <= above] = -np.inf
+        order = np.argsort(ids, kind="stable")
+        different, begins = np.unique(ids[order], return_index=True)
+        if len(different) < len(ids):
+            ids, scores = different, np.maximum.reduceat(scores[:, order], begins, axis=1)
+        rounded = np.round(scores, 9)
+        least = np.round(self.scores[who, -1], 9)
+        if len(ids) > self.k:  # an item below the block's own k-th can't be among the best
+            least = np.maximum(least, -np.partition(-rounded, self.k - 1, axis=1)[:, self.k - 1])
+        row, item = np.nonzero((rounded >= least[:, None]) & (scores > -np.inf))
+        if len(row):
+            self._waiting.append((who[row], ids[item], scores[row, item]))
+            self._merge()
+
+    def _merge(self) -> None:
+        who, ids, scores = (np.concatenate(x) for x in zip(*self._waiting))
+        self._waiting, self._n = [], 0
+        rows, at = np.unique(who, return_inverse=True)
+        at = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+        ids, scores = np.concatenate([self.ids[rows].ravel(), ids]), np.concatenate([self.scores[rows].ravel(), scores])
+        rounded = np.round(scores, 9)
+        order = np.lexsort((-rounded, ids, at))
+        at, ids, scores, rounded = at[order], ids[order], scores[order], rounded[order]
+        first = np.concatenate([[True], (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])])
+        at, ids, scores, rounded = at[first], ids[first], scores[first], rounded[first]
+        order = np.lexsort((ids, -rounded, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = rank < self.k
+        self.scores[rows], self.ids[rows] = -np.inf, np.iinfo(np.int64).max
+        self.scores[rows[at[kept]], rank[kept]], self.ids[rows[at[kept]], rank[kept]] = scores[kept], ids[kept]
+
+    def rows(self, asked: pa.Table, keys: list[str]) -> Iterator[pa.RecordBatch]:
+        """The columns ``keys`` and query_id of the queries, each with id and score of its best items."""
+        if self._waiting:
+            self._merge()
+        who, rank = np.nonzero(self.scores > -np.inf)
+        if len(who):
+            cols = [asked[c].combine_chunks().take(pa.array(who)) for c in (*keys, "query_id")]
             cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([j for _, j, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())], [*block, "query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(self.ids[who, rank], pa.int64()), pa.array(self.scores[who, rank], pa.float64())], [*keys, "query_id", "id", "score"])
 
 
 def overlap_search(queries: DataFrame, items: DataFrame, words: str, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -237,22 +291,19 @@ def _overlapping(asked: pa.Table, k: int):
             for w in own:
                 posted.setdefault(w, []).append(i)
         posts = {w: np.array(x) for w, x in posted.items()}
-        sizes, best = np.array([len(x) for x in lists]), _Best(len(lists), k)
+        sizes, best = np.array([len(x) for x in lists]), Best(len(lists), k)
         for batch in batches:
-            ids, scores = batch["id"].to_numpy(), np.zeros((batch.num_rows, len(lists)))
-            for j, own in enumerate(batch["w"].to_pylist()):
+            for i, words in zip(batch["id"].to_pylist(), batch["w"], strict=True):
+                own = words.as_py()
                 hits = [posts[w] for w in own if w in posts]
                 if hits:
-                    scores[j] = np.bincount(np.concatenate(hits), minlength=len(lists)) / np.minimum(sizes, len(own))
-            for i in range(len(lists)):
-                best.offer(i, scores[:, i], ids, scores[:, i] > 0)
+                    who, shared = np.unique(np.concatenate(hits), return_counts=True)
+                    best.offer(who, i, shared / np.minimum(sizes[who], len(own)))
         yield from best.rows(asked, [])
 
     return run
 
 
-
-
 def hashed_words(text: Column, dims: int = 256) -> Column:
     """Counts of a text's lower-case white-space words by the first byte of their md5: a dense vector that any SQL engine can compute."""
     buckets = F.transform(tokens(F.lower(text)), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int"))

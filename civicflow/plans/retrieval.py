@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.operators import metrics, retrieval as R
+from civicflow.operators.index import VectorIndex
 from civicflow.plans import Plans, table
+from civicflow.storage import shared_dir
 
 plans = Plans()
 
@@ -85,6 +89,31 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.recall_at(R.search(*_vectors(spark, sf_dir), "embedding", 200), relevant, [10, 25, 50, 100, 200]).withColumn("recall", F.round("recall", 6))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """Built from the vectors of even ids; the others are added."""
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = VectorIndex.build(items.where("id % 2 = 0"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.add(items)
+    return index
+
+
+@plans.add(f"WITH {_COS} SELECT query_id, id, round(score, 6)::DOUBLE AS score, {_RANK} FROM met QUALIFY rank <= 10")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest from an index that is built, added to and loaded."""
+    index = VectorIndex.load(spark, _index(spark, sf_dir).path)
+    queries = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return index.search(queries, 10, skip_own=True).withColumn("score", F.round("score", 6))
+
+
+@plans.add(f"WITH {_COS} SELECT query_id, id, round(score, 6)::DOUBLE AS score, {_RANK} FROM met WHERE other % 2 = 1 QUALIFY rank <= 10")
+def vector_index_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest among the vectors that a filter of ids allows."""
+    e = table(spark, sf_dir, "embeddings")
+    allowed = e.where("label % 2 = 1").select(F.col("vec_id").alias("id"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return _index(spark, sf_dir).search(queries, 10, allowed=allowed, skip_own=True).withColumn("score", F.round("score", 6))
+
+
 # A dense ranking of documents: counts of their words by the first byte of the word's md5.
 _DENSE = f"""{_BM25},
 hashed AS (SELECT 'd' AS kind, doc_id AS id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> ''), lambda w: ('0x' || substr(md5(w), 1, 2))::INTEGER) AS hs FROM documents
