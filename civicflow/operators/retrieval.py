@@ -100,30 +100,66 @@ def bm25_in_block(ranked: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     return top(kept, ["query_id"], "score", "id", k)
 
 
+def _tfidf_vectors(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts (side, block, id, k1, k2) and the unit vectors (side, block, k1, k2, term, w, from_here, after) of the different ones.
+
+    k1 and k2 are hashes of a text's words. Terms are in ascending order of their frequency; from_here
+    and after are the lengths of what a vector is from a term on, and behind it.
+    """
+    given = left.select(F.lit("l").alias("side"), "block", "id", "text").unionByName(right.select(F.lit("r").alias("side"), "block", "id", "text"))
+    own = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9]+"), lambda w: F.length(w) >= 2)
+    texts = given.where("block is not null and id is not null").select("side", "block", "id", own.alias("own"))
+    texts = cut(texts.select("*", F.xxhash64("own").alias("k1"), F.xxhash64(F.lit("again"), "own").alias("k2")), "texts")
+    key = ["side", "block", "k1", "k2"]
+    different = texts.groupBy(*key).agg(F.count("*").alias("copies"), F.min("own").alias("own"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("own") - 1), lambda i: F.array_join(F.slice("own", i, 2), " "))
+    every = F.when(F.size("own") > 1, F.concat("own", pairs)).otherwise(F.col("own"))
+    terms = different.select(*key, "copies", F.explode(every).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"), F.min("copies").alias("copies"))
+    df = terms.groupBy("block", "term").agg(F.sum("copies").alias("df"))
+    n = texts.groupBy("block").agg(F.count("*").alias("n"))
+    weighed = terms.join(df, ["block", "term"]).join(n, "block").withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    whole = Window.partitionBy(*key)
+    rest = whole.orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    of_all, of_rest = F.sum(F.col("raw") * F.col("raw")).over(whole), F.sum(F.col("raw") * F.col("raw")).over(rest)
+    square = F.col("raw") * F.col("raw") / F.col("all")
+    unit = weighed.withColumns({"all": of_all, "rest": of_rest}).select(*key, "term", (F.col("raw") / F.sqrt("all")).alias("w"), F.sqrt(F.col("rest") / F.col("all")).alias("from_here"), F.sqrt(F.greatest(F.col("rest") / F.col("all") - square, F.lit(0.0))).alias("after"))
+    return texts.drop("own"), cut(unit, "unit")
+
+
+def _tfidf_candidates(unit: DataFrame, least: float) -> DataFrame:
+    """(block, l1, l2, r1, r2): pairs of texts of both sides that can be as alike as ``least``.
+
+    What a vector is behind its first terms may be shorter than ``least``; two vectors that have only
+    such terms in common are less alike than that. So a pair meets in the rare terms before, if at all.
+    Of a pair that meets, the products of what it shares there, and the lengths of what follows, bound
+    its likeness.
+    """
+    rare = unit.where(F.col("from_here") >= least - 1e-9)
+    a = rare.where("side = 'l'").select("block", "term", F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("w").alias("wl"), F.col("after").alias("al"))
+    b = rare.where("side = 'r'").select("block", "term", F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("w").alias("wr"), F.col("after").alias("ar"))
+    met = a.join(b, ["block", "term"]).groupBy("block", "l1", "l2", "r1", "r2").agg(F.sum(F.col("wl") * F.col("wr")).alias("shared"), F.min(F.col("al") * F.col("ar")).alias("rest"))
+    return met.where(F.col("shared") + F.col("rest") >= least - 1e-9).drop("shared", "rest")
+
+
 def tfidf_links(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
-    """(left_id, right_id, score): the best match of each left row among right rows of its block.
+    """(block, left_id, right_id, score): the best match of each left row among right rows of its block, of those as alike as ``least``, which is positive.
 
     left and right have (block, id, text). Terms are words and pairs of neighbouring words; weights
-    are tf x (ln((1 + n) / (1 + df)) + 1), vectors are normalised.
+    are tf x (ln((1 + n) / (1 + df)) + 1), vectors are normalised. Ties go to the least right id.
+    Copies of a text count for frequencies and are compared once. Rows of one id with different texts
+    are texts of their own. Rows without a block, id or word of two letters find nothing.
     """
-
-    def terms(t: DataFrame, side: str) -> DataFrame:
-        own = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9]+"), lambda w: F.length(w) >= 2)
-        pairs = F.transform(F.sequence(F.lit(1), F.size("own") - 1), lambda i: F.array_join(F.slice("own", i, 2), " "))
-        every = F.when(F.size("own") > 1, F.concat("own", pairs)).otherwise(F.col("own"))
-        rows = t.select("block", "id", own.alias("own")).select("block", "id", F.explode(every).alias("term"))
-        return rows.groupBy("block", "id", "term").agg(F.count("*").alias("tf")).withColumn("side", F.lit(side))
-
-    both = terms(left, "l").unionByName(terms(right, "r"))
-    df = both.groupBy("block", "term").agg(F.count("*").alias("df"))
-    n = left.select("block", F.lit("l").alias("side"), "id").unionByName(right.select("block", F.lit("r").alias("side"), "id")).groupBy("block").agg(F.count("*").alias("n"))
-    weighed = both.join(df, ["block", "term"]).join(n, "block").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = weighed.groupBy("side", "block", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighed.join(norm, ["side", "block", "id"]).select("side", "block", "id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    a = unit.where("side = 'l'").select("block", "term", F.col("id").alias("left_id"), F.col("w").alias("wl"))
-    b = unit.where("side = 'r'").select("block", "term", F.col("id").alias("right_id"), F.col("w").alias("wr"))
-    scored = a.join(b, ["block", "term"]).groupBy("block", "left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("score"))
-    return top(scored.where(F.col("score") >= least), ["block", "left_id"], "score", "right_id", 1).drop("rank")
+    texts, unit = _tfidf_vectors(left, right)
+    pairs = cut(_tfidf_candidates(unit, least), "candidates")
+    a = unit.where("side = 'l'").select("block", F.col("k1").alias("l1"), F.col("k2").alias("l2"), "term", F.col("w").alias("wl"))
+    b = unit.where("side = 'r'").select("block", F.col("k1").alias("r1"), F.col("k2").alias("r2"), "term", F.col("w").alias("wr"))
+    scored = pairs.join(a, ["block", "l1", "l2"]).join(b, ["block", "r1", "r2", "term"]).groupBy("block", "l1", "l2", "r1", "r2").agg(F.sum(F.col("wl") * F.col("wr")).alias("score"))
+    first = texts.where("side = 'r'").groupBy("block", F.col("k1").alias("r1"), F.col("k2").alias("r2")).agg(F.min("id").alias("right_id"))
+    named = scored.where(F.col("score") >= least).join(first, ["block", "r1", "r2"])
+    best = top(named, ["block", "l1", "l2"], "score", "right_id", 1).drop("rank", "r1", "r2")
+    asking = texts.where("side = 'l'").select("block", F.col("id").alias("left_id"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
+    found = asking.join(best, ["block", "l1", "l2"]).select("block", "left_id", "right_id", "score")
+    return top(found, ["block", "left_id"], "score", "right_id", 1).drop("rank")
 
 
 QUERY_BYTES = 64 << 20
