@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import exp
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions.numbers import f1, ratio
+from civicflow.operators.ordering import kendall, spearman
+
+__all__ = ["kendall", "spearman"]  # with the other metrics
 
 
 def confusion(rows: DataFrame, predicted: Column, actual: Column, by: list[str] | None = None) -> DataFrame:
@@ -83,34 +89,6 @@ def pearson(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> Dat
     return rows.groupBy(*(by or [])).agg(correlation(x, y).alias("pearson"))
 
 
-def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Pearson of average ranks, ranked within each group."""
-
-    def ranked(c: str) -> Column:
-        ties = F.count("*").over(Window.partitionBy(*by, c))
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (ties - 1) / 2
-
-    return rows.select(*by, ranked(x).alias("rx"), ranked(y).alias("ry")).groupBy(*by).agg(correlation("rx", "ry").alias("spearman"))
-
-
-def kendall(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Tau-b in each group from counts of distinct value pairs: work grows with the values that occur, not with the rows."""
-    cells = rows.groupBy(*by, x, y).agg(F.count("*").alias("n"))
-    a = cells.select(*by, F.col(x).alias("x1"), F.col(y).alias("y1"), F.col("n").alias("n1"))
-    b = cells.select(*by, F.col(x).alias("x2"), F.col(y).alias("y2"), F.col("n").alias("n2"))
-    met = a.join(b, by).where("x1 > x2")
-    side = F.signum((F.col("x1") - F.col("x2")).cast("double")) * F.signum((F.col("y1") - F.col("y2")).cast("double"))
-    agree = met.groupBy(*by).agg(F.sum(side * F.col("n1") * F.col("n2")).alias("s"))
-
-    def pairs(c: str, name: str) -> DataFrame:
-        return cells.groupBy(*by, c).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name))
-
-    size = cells.groupBy(*by).agg(F.sum("n").alias("n"))
-    every = size.join(pairs(x, "tx"), by).join(pairs(y, "ty"), by).join(agree, by, "left")
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    return every.select(*by, F.try_divide(F.coalesce("s", F.lit(0.0)), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("kendall"))
-
-
 def _divergence(p: Column, q: Column, eps: float) -> Column:
     m = (p + q) / 2
     part = lambda a: F.when(a > 0, a * F.log((a + eps) / (m + eps))).otherwise(0.0)
@@ -161,27 +139,81 @@ def within_budget(rows: DataFrame, asked: str, given: str, slack: float = 0.2) -
     return known.agg(F.count("*").alias("n"), F.avg(F.col(given).between(F.col(asked) * (1 - slack), F.col(asked) * (1 + slack)).cast("int")).alias("compliance"))
 
 
-def bootstrap(rows: DataFrame, by: list[str], value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+def poisson_steps() -> list[int]:
+    """For a uniform number of 53 bits, the least ones at which a Poisson weight of mean 1 reaches 1, 2 and so on."""
+    term, total, steps = exp(-1), 0.0, []
+    for k in range(1, 19):
+        total += term
+        term /= k
+        steps.append(int(total * (1 << 53)))
+    return [s for s in steps if s < 1 << 53]
+
+
+def mixed(row: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
+    """A uniform number of 53 bits for each row and draw: a linear step and the splitmix64 finaliser, all modulo 2**64."""
+    z = row.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (draw.astype(np.uint64)[None, :] + np.uint64(seed)) * np.uint64(0xD1B54A32D192ED03)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return (z ^ (z >> np.uint64(31))) >> np.uint64(11)
+
+
+def bootstrap(rows: DataFrame, by: list[str], value: str, draws: int = 1000, seed: int = 42, row: str | None = None) -> DataFrame:
     """by, n, mean, low and high: 2.5 and 97.5 percentiles of resampled means.
 
-    Each partial count of a value takes part in every resample with a Poisson weight of mean 1, so a
-    resample is a sum over rows and partitions need not meet. Values are counted first; a group's
-    work and memory are its distinct values x draws.
+    A resample gives each row a Poisson weight of mean 1, so it is a sum over rows: a task adds up what it
+    has of each group, a vector of sums for all resamples, and the vectors add up. With ``row``, a column
+    of whole numbers that tells rows apart, weights come from a hash of (row, draw), and rows of one number
+    are drawn together. Without it each value takes part with its count, by a generator that the
+    value seeds. Null values don't count.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(value)
-        rng = np.random.default_rng(seed)
-        v, n = pdf[value].to_numpy(float), pdf["_n"].to_numpy()
-        weight, total = np.zeros(draws), np.zeros(draws)
-        for x, times in zip(v, n, strict=True):
-            w = rng.poisson(times, draws)
-            weight += w
-            total += w * x
-        means = total[weight > 0] / weight[weight > 0]
-        low, high = np.percentile(means, [2.5, 97.5]) if len(means) else (np.nan, np.nan)
-        return pd.DataFrame([[*key, int(n.sum()), float((v * n).sum() / n.sum()), low, high]], columns=[*by, "n", "mean", "low", "high"])
-
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    return counted.groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double")
+    v, keys = F.col(value).cast("double"), [f"k{i}" for i in range(len(by))]
+    given = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], v.alias("v"), F.lit(1).cast("long").alias("n") if row is None else F.col(row).cast("long").alias("h")).where("v is not null")
+    if row is None:
+        given = given.groupBy(*keys, "v").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(*keys, "v"))
+    else:
+        given = given.where("h is not null").withColumn("n", F.lit(1).cast("long"))
+    steps, drawn = np.array(poisson_steps(), np.uint64), np.arange(draws)
+
+    def weights(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if row is None:
+            return np.stack([np.random.default_rng([seed, int(x) & (1 << 64) - 1]).poisson(k, draws) for x, k in zip(h, n)]).astype(float)
+        return np.searchsorted(steps, mixed(h, drawn, seed), side="right").astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}  # of each group: weights and weighted values of the rows as they are and of each resample
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if sums:
+                columns = [pa.array([g[i] for g in sums], batch[k].type) for i, k in enumerate(keys)]
+                lists = [pa.array([s[i].tolist() for s in sums.values()], pa.list_(pa.float64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, *lists], [*keys, "weights", "totals"])
+            sums.clear()
+
+        for batch in batches:
+            groups: dict[tuple, list[int]] = {}
+            for j, g in enumerate(zip(*[batch[k].to_pylist() for k in keys]) if keys else [()] * batch.num_rows):
+                groups.setdefault(g, []).append(j)
+            v, h, n = (batch[c].to_numpy() for c in ("v", "h", "n"))
+            for g, at in groups.items():
+                own = sums.setdefault(g, np.zeros((2, draws + 1)))
+                for a in range(0, len(at), 512):
+                    some = np.array(at[a : a + 512])
+                    w = weights(h[some], n[some])
+                    own[:, 0] += n[some].sum(), (n[some] * v[some]).sum()
+                    own[0, 1:] += w.sum(0)
+                    own[1, 1:] += v[some] @ w
+            if len(sums) > 256:
+                yield from flushed()
+        yield from flushed()
+
+    kinds = "".join(f"{k} {given.schema[k].dataType.simpleString()}, " for k in keys)
+    parts = given.mapInArrow(run, f"{kinds}weights array<double>, totals array<double>")
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("weights", "totals")).alias("draw", "p"))
+    added = each.groupBy(*keys, "draw").agg(F.sum("p.weights").alias("w"), F.sum("p.totals").alias("t"))
+    mean = F.when(F.col("w") > 0, F.col("t") / F.col("w"))
+    resampled = F.when(F.col("draw") > 0, mean)
+    out = added.groupBy(*keys).agg(
+        F.max(F.when(F.col("draw") == 0, F.col("w"))).cast("long").alias("n"), F.max(F.when(F.col("draw") == 0, mean)).alias("mean"),
+        F.percentile(resampled, 0.025).alias("low"), F.percentile(resampled, 0.975).alias("high"),  # of as many values as there are draws
+    )
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", "mean", "low", "high")

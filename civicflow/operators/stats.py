@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.functions.numbers import ratio
+from civicflow.operators.ordering import keyed, met, quantiles, unkeyed
 
 
 def volume(rows: DataFrame, by: str, top: int | None = None) -> DataFrame:
@@ -58,9 +59,16 @@ def histogram(rows: DataFrame, value: str, edges: list[float], labels: list[str]
 
 
 def percentiles(rows: DataFrame, value: str, at: list[float], by: list[str] | None = None) -> DataFrame:
-    """mean, sample deviation, exact percentiles (p50 and so on) and maximum."""
-    own = [F.percentile(value, p).alias(f"p{round(100 * p)}") for p in at]
-    return rows.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), *own, F.max(value).alias("largest"))
+    """n, mean, sample deviation (std), exact percentiles (p50 and so on) and maximum (largest); groups without values have nulls.
+
+    Percentiles come from counts of values over ranges, so a group may be of any size.
+    """
+    by = by or []
+    named = {f"p{round(100 * p)}": p for p in at}
+    own, keys = keyed(rows, by, v=value)
+    basic = own.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.max("v").alias("largest"))
+    found = met(basic, quantiles(own, keys, "v", named), keys, "left")
+    return unkeyed(found.select(*keys, "n", "mean", "std", *named, "largest"), by)
 
 
 def sweep(rows: DataFrame, score: str, item: str, grid: list[float]) -> DataFrame:

@@ -129,10 +129,23 @@ def confusion_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@plans.add()
+# Each (row, draw) has the Poisson weight that its hash gives; arithmetic is modulo 2 ** 64.
+_MOD = "18446744073709551616"
+_STEP = lambda z, shift, factor: f"((xor({z}, {z} >> {shift})::UHUGEINT * {factor}) % {_MOD})::UBIGINT"
+
+
+@plans.add(f"""
+WITH met AS (SELECT lang, doc_id, toxic::DOUBLE AS v FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL),
+z0 AS (SELECT lang, v, draw, (((doc_id::UHUGEINT * {0x9E3779B97F4A7C15}) % {_MOD} + ((draw + 42)::UHUGEINT * {0xD1B54A32D192ED03}) % {_MOD}) % {_MOD})::UBIGINT AS z FROM met, (SELECT unnest(range(1000)) AS draw)),
+z1 AS (SELECT lang, v, draw, {_STEP('z', 30, 0xBF58476D1CE4E5B9)} AS z FROM z0), z2 AS (SELECT lang, v, draw, {_STEP('z', 27, 0x94D049BB133111EB)} AS z FROM z1),
+w AS (SELECT lang, v, draw, len(list_filter({M.poisson_steps()}::UBIGINT[], lambda s: s <= xor(z, z >> 31) >> 11)) AS w FROM z2),
+means AS (SELECT lang, draw, sum(w * v) / sum(w) AS m FROM w GROUP BY lang, draw HAVING sum(w) > 0)
+SELECT lang, any_value(n)::BIGINT AS n, round(any_value(mean), 6)::DOUBLE AS mean, round(quantile_cont(m, 0.025), 6)::DOUBLE AS low, round(quantile_cont(m, 0.975), 6)::DOUBLE AS high
+FROM means JOIN (SELECT lang, count(*) AS n, avg(v) AS mean FROM met GROUP BY lang) USING (lang) GROUP BY lang""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return M.bootstrap(met, ["lang"], "toxic")
+    found = M.bootstrap(met, ["lang"], "toxic", row="doc_id")
+    return found.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @plans.add("""
