@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civicflow.functions import spans, text as X
+from civicflow.functions import text as X
 from civicflow.operators import matching as M, retrieval as R, scoring as S, stats
+from civicflow.operators.passages import find_passages
 from civicflow.plans import Plans, table
 from civicflow.plans.retrieval import BM25_SQL as _BM25, bm25_ranked
 from civicflow.sources import connectors, sinks
@@ -114,19 +115,8 @@ def few_shot_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Benchmark passages are a stated query set; they meet all documents.
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, text, passage) of documents and passages that share eight words in a row."""
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, 8), " "))))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    left = docs.select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", F.explode(runs(F.col("t"))).alias("run"))
-    right = items.select("item_id", X.tokens(F.col("passage")).alias("t")).select("item_id", F.explode(runs(F.col("t"))).alias("run"))
-    return left.join(right, "run").select("doc_id", "item_id").distinct().join(docs, "doc_id").join(items, "item_id")
-
-
-def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _passages(spark, sf_dir).select("doc_id", "item_id", spans.located(F.col("text"), F.col("passage"), F.lit(None).cast("string")).alias("at"))
-    return found.select("doc_id", "item_id", "at.*").where("how is not null")
+def _located(spark: SparkSession, sf_dir: str, least: float | None) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least)
 
 
 @plans.add("""
@@ -134,13 +124,22 @@ WITH m AS (SELECT doc_id, item_id, position(b.text IN d.text) AS p, CASE WHEN le
 SELECT doc_id, item_id, (CASE WHEN p > 0 THEN p ELSE q END - 1)::INTEGER AS start, least(n, CASE WHEN p > 0 THEN p ELSE q END - 1 + k)::INTEGER AS "end", CASE WHEN p > 0 THEN 'exact' ELSE 'prefix' END AS how FROM m WHERE p > 0 OR q > 0""")
 def span_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where benchmark passages stand in documents, whole or from their first sixty characters on."""
-    return _located(spark, sf_dir).where("how <> 'similar'")
+    return _located(spark, sf_dir, None).drop("similarity")
+
+
+@plans.add()
+def span_reworded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where benchmark passages stand in documents, asked for without every sixth of their words."""
+    words = F.split("text", " ")
+    fewer = F.array_join(F.filter(words, lambda _, i: i % 6 != 5), " ")
+    items = table(spark, sf_dir, "benchmark").select("item_id", fewer.alias("text"))
+    return find_passages(table(spark, sf_dir, "documents"), items, 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
 @plans.add()
 def span_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where benchmark passages stand in documents in changed wording."""
-    return _located(spark, sf_dir).where("how = 'similar'")
+    """Where benchmark passages stand in documents in changed wording, with at most three of ten words edited."""
+    return _located(spark, sf_dir, 0.7).where("how = 'similar'").withColumn("similarity", F.round("similarity", 6))
 
 
 @plans.add("""
