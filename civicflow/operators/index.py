@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicflow.operators.retrieval import Best, bm25, pieces, top, unit_rows, unseen
+from civicflow.operators.postings import TextIndex
+from civicflow.operators.retrieval import Best, pieces, top, unit_rows, unseen
 from civicflow.storage import cut, exists
 
 VECTORS = "id long, v array<double>, distance double, cell int"
@@ -242,17 +243,17 @@ class IndexBundle:
     @classmethod
     def build(cls, texts: DataFrame, primary: DataFrame, distribution: DataFrame, path: str, cells: int | None = None) -> IndexBundle:
         """texts (id, text), primary and distribution (id, v). Missing ids and blank texts are skipped."""
-        texts.where("id is not null and trim(text) <> ''").select(F.col("id").cast("long").alias("id"), "text").write.parquet(f"{path}/texts")
+        TextIndex.build(texts.where("trim(text) <> ''"), f"{path}/texts")
         VectorIndex.build(primary, f"{path}/primary", cells=cells)
         VectorIndex.build(distribution, f"{path}/distribution", cells=cells)
         return cls(texts.sparkSession, path)
 
-    def texts(self) -> DataFrame:
-        return self.spark.read.schema("id long, text string").parquet(f"{self.path}/texts")
+    def texts(self) -> TextIndex:
+        return TextIndex.load(self.spark, f"{self.path}/texts")
 
     def bm25(self, queries: DataFrame, k: int) -> DataFrame:
         """queries (query_id, text)."""
-        return bm25(self.texts(), queries, "id", "text", "query_id", "text", k)
+        return self.texts().search(queries, k)
 
     def primary(self) -> VectorIndex:
         return VectorIndex.load(self.spark, f"{self.path}/primary")

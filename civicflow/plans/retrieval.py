@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicflow.operators import metrics, retrieval as R
 from civicflow.operators.index import VectorIndex
+from civicflow.operators.postings import TextIndex
 from civicflow.plans import Plans, table
 from civicflow.storage import shared_dir
 
@@ -33,6 +34,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_ranked(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
+@plans.add(f"WITH {_BM25} SELECT query_id, id, round(score, 6)::DOUBLE AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents from a stored index: built from even ids, the others added."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = TextIndex.build(docs.where("id % 2 = 0"), f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}")
+    index.add(docs)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return TextIndex.load(spark, index.path).search(queries, 10).withColumn("score", F.round("score", 6))
+
+
 @plans.add(f"""WITH {_BM25}, cut AS (SELECT query_id, r.id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r.id) AS rn FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE rank <= 30 AND d.lang = 'en')
 SELECT query_id, id, round(score, 6)::DOUBLE AS score, rn::INTEGER AS rank FROM cut WHERE rn <= 10""")
 def bm25_block(spark: SparkSession, sf_dir: str) -> DataFrame:
