@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.plans import Plans, table
+from civicflow.storage import shared_dir
 from civicflow.streaming import events as E
+from civicflow.streaming.versioned import VersionedTable
 
 plans = Plans()
 
@@ -76,3 +80,15 @@ SELECT strftime(to_timestamp(a * 900) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') A
 def halved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole time halved until no part has more than 30 events."""
     return _text(E.halved_plan(_events(spark, sf_dir), "ts", 30), "start")
+
+
+@plans.add("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) = 1")
+def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, from a table that takes all events in three batches and is compacted after the second."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    kept = VersionedTable(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", ["user_id"], "event_id")
+    for batch in range(3):
+        kept.upsert(rows.where(F.col("event_id") % 3 == batch), f"batch {batch}")
+        if batch == 1:
+            kept.compact()
+    return kept.read()

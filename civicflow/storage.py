@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from functools import cache
 from weakref import WeakKeyDictionary
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -41,6 +43,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def put_if_absent(spark: SparkSession, path: str, content: str) -> bool:
+    """Creates a file with all of its content, unless there is one of that name; of several writers one succeeds.
+
+    On a local file system the complete file gets its name by a link, elsewhere by a rename that
+    overwrites nothing, which HDFS does as one step. Object stores without such a rename aren't fit for it.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, name = path.rsplit("/", 1)
+    target, temporary = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}.{uuid.uuid4().hex}")
+    system = target.getFileSystem(conf)
+    out = system.create(temporary, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    try:
+        if system.getScheme() == "file":
+            os.link(temporary.toUri().getPath(), target.toUri().getPath())
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(temporary, target, none)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        system.delete(temporary, False)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back."""
     spark = df.sparkSession
@@ -55,6 +92,4 @@ def dropped(*frames: DataFrame) -> None:
     """Removes the tables behind frames that ``cut`` returned and that nothing will read again."""
     for df in frames:
         if path := _paths.pop(df, None):
-            spark = df.sparkSession
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            removed(df.sparkSession, path)
