@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from heapq import nsmallest
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+words_of = re.compile(r"\w+").findall
+
 
 def chunk_text(text: str, budget: int, overlap: int) -> list[str]:
     """Consecutive paragraphs up to a budget of white-space tokens.
@@ -53,17 +58,41 @@ def chunk_rows(docs: DataFrame, doc_id: str, text: str, budget: int = 4000, over
 
 
 def kept_responses(texts: list[str], least: float = 0.85) -> list[str]:
-    """Texts without those whose words overlap an earlier kept one; of the two the longer stays, in the earlier's place."""
+    """Texts without those whose words overlap an earlier kept one; of the two the longer stays, in the earlier's place.
+
+    If at least ``least`` of the smaller set's n words are common, one of its n - ceil(least x n) + 1 rarest
+    words is. So a text looks for its rare words among all words of kept texts, and for all its words
+    among the rare ones of kept texts; rare words have few texts, and only those found are compared.
+    """
+    sets = [set(words_of(t.lower())) for t in texts]
+    often = Counter(w for own in sets for w in own)
+
+    def rare(own: set[str]) -> list[str]:
+        n = len(own) - ceil(least * len(own) - 1e-9) + 1
+        return nsmallest(n, own, key=lambda w: (often[w], w)) if own else []
+
     kept: list[tuple[str, set[str]]] = []
-    for t in texts:
-        own = set(re.findall(r"\w+", t.lower()))
-        for i, (old, words) in enumerate(kept):
+    with_word: dict[str, list[int]] = {}
+    with_rare: dict[str, list[int]] = {}
+
+    def index(i: int, own: set[str], rarest: list[str]) -> None:
+        for found, mine in ((with_word, own), (with_rare, rarest)):
+            for w in mine:
+                found.setdefault(w, []).append(i)
+
+    for t, own in zip(texts, sets, strict=True):
+        rarest = rare(own)
+        near = {i for w in rarest for i in with_word.get(w, ())} | {i for w in own for i in with_rare.get(w, ())}
+        for i in sorted(near):
+            old, words = kept[i]
             small = min(len(own), len(words))
             if small and len(own & words) / small >= least:
                 if len(t) > len(old):
                     kept[i] = (t, own)
+                    index(i, own - words, rarest)
                 break
         else:
+            index(len(kept), own, rarest)
             kept.append((t, own))
     return [t for t, _ in kept]
 

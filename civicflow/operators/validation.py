@@ -17,6 +17,34 @@ def expand_one_hop(cited: DataFrame, near: DataFrame) -> DataFrame:
     return own.select(F.col("id").alias("via"), "id").unionByName(forward).unionByName(back).unionByName(siblings).distinct()
 
 
+def duplicate_classes(near: DataFrame) -> DataFrame:
+    """(id, class): the members of each original's class, itself and its duplicates, from near (target, duplicate).
+
+    What ``expand_one_hop`` pairs with an id is the members of all classes that hold the id. A class of n
+    members is n rows here, and n squared pairs there.
+    """
+    own = near.where("target is not null and duplicate is not null")
+    return own.select(F.col("target").alias("id"), F.col("target").alias("class")).unionByName(own.select(F.col("duplicate").alias("id"), F.col("target").alias("class"))).distinct()
+
+
+def cited_classes(cited: DataFrame, near: DataFrame) -> DataFrame:
+    """(class, members, cited): the sizes of the classes with a cited member, and how many of them are cited."""
+    marked = cited.select("id").where("id is not null").distinct().withColumn("is_cited", F.lit(1))
+    sizes = duplicate_classes(near).join(marked, "id", "left").groupBy("class").agg(F.count("*").alias("members"), F.count("is_cited").alias("cited"))
+    return sizes.where("cited > 0")
+
+
+def found_by_class(cited: DataFrame, near: DataFrame, matched: DataFrame) -> DataFrame:
+    """(id, direct, expanded): is a cited id matched, or any id that ``expand_one_hop`` pairs with it? Matches are told to classes, and classes to their members."""
+    members = duplicate_classes(near)
+    hit = matched.select("id").where("id is not null").distinct().withColumn("direct", F.lit(True))
+    classes = members.join(hit, "id", "left_semi").select("class").distinct()
+    through = members.join(classes, "class", "left_semi").select("id").distinct().withColumn("through", F.lit(True))
+    own = cited.select("id").where("id is not null").distinct().join(hit, "id", "left").join(through, "id", "left")
+    direct = F.coalesce("direct", F.lit(False))
+    return own.select("id", direct.alias("direct"), (direct | F.coalesce("through", F.lit(False))).alias("expanded"))
+
+
 def recovered_by_cluster(cited: DataFrame, members: DataFrame, matched: DataFrame) -> DataFrame:
     """id, direct and by_cluster: is the cited document matched, or some member of its cluster?"""
     hit = matched.select("id").distinct().withColumn("direct", F.lit(True))

@@ -192,6 +192,25 @@ def neardup_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.expand_one_hop(*_near(spark, sf_dir))
 
 
+_CLASSES = f"{_NEAR}, classes AS (SELECT target AS id, target AS class FROM near UNION SELECT duplicate, target FROM near)"
+
+
+@plans.add(f"WITH {_CLASSES} SELECT class, count(*)::BIGINT AS members, count(c.id)::BIGINT AS cited FROM classes m LEFT JOIN cited c USING (id) GROUP BY class HAVING count(c.id) > 0")
+def neardup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates with cited members, in place of pairs."""
+    return V.cited_classes(*_near(spark, sf_dir))
+
+
+# The SQL goes through the pairs.
+@plans.add(f"""WITH {_NEAR}, matched AS (SELECT doc_id AS id FROM labels WHERE toxic = 1), back AS (SELECT c.id AS via, n.target AS id FROM cited c JOIN near n ON n.duplicate = c.id),
+pairs AS (SELECT id AS via, id FROM cited UNION SELECT c.id, n.duplicate FROM cited c JOIN near n ON n.target = c.id UNION SELECT via, id FROM back UNION SELECT b.via, n.duplicate FROM back b JOIN near n ON n.target = b.id)
+SELECT via AS id, bool_or(id = via AND id IN (FROM matched)) AS direct, bool_or(id IN (FROM matched)) AS expanded FROM pairs GROUP BY via""")
+def neardup_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which cited ids are matched themselves or through near-duplicates."""
+    matched = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return V.found_by_class(*_near(spark, sf_dir), matched)
+
+
 _STATE = f"""{_NEAR}, members AS (SELECT doc_id AS id, lang || n_chars % 20 AS cluster FROM documents), matched AS (SELECT doc_id AS id FROM labels WHERE toxic = 1),
 st AS (SELECT m.id, cluster, t.id IS NOT NULL AS direct FROM members m LEFT JOIN matched t USING (id)), per AS (SELECT cluster, bool_or(direct) AS by_cluster FROM st GROUP BY cluster),
 rec AS (SELECT c.id, coalesce(direct, false) AS direct, coalesce(by_cluster, false) AS by_cluster, cluster IS NOT NULL AS staged FROM cited c LEFT JOIN st USING (id) LEFT JOIN per USING (cluster))"""
