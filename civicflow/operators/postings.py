@@ -1,9 +1,10 @@
 """A stored BM25 index: postings in blocks that know their best, searched without reading all of them.
 
-A term's postings are sorted by how much a document can gain from the term, and cut into blocks; a
-block keeps its highest frequency and its shortest document, which bound every score in it under any
-mean length. Postings are dealt by ranges of (hash bucket of the term, term, gain), so a term that all
-documents have is many tasks' work, and a search reads the buckets of its terms only.
+A task indexes its documents in segments: for each term, the segment's postings are sorted by how much a
+document gains from the term and cut into blocks. A block keeps its highest frequency and its shortest
+document, which bound every score in it under any mean length. Nothing is shuffled, so a term that all
+documents have is spread like the documents. Blocks lie in buckets by a hash of their term, and a search
+reads the buckets of its terms only.
 
 A search first scores the terms from which a query can gain most. The k-th of these scores is a floor.
 Terms that all together can't reach the floor bring no new documents; of the others' blocks only those
@@ -14,6 +15,8 @@ scoring every document.
 
 from __future__ import annotations
 
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,56 +31,78 @@ from civicflow.operators.retrieval import split_words, top, unseen
 from civicflow.storage import cut, exists
 
 BLOCK = 256
-BUCKETS = 64
+SEGMENT = 2_000_000  # postings that a task holds
+BUCKETS = 16
+DOCUMENTS = -1  # the bucket of the blocks that tell a segment's documents and their lengths
 POSTINGS = "term string, n int, ids array<long>, tfs array<int>, lengths array<int>, most_tf int, least_length int, bucket int"
-DOCUMENTS = "id long, length long"
 FIRST = 1000  # postings of a query's best terms that set the floor, about
 K1, B = 1.5, 0.75
 
 
-def gain(tf: Column, length: Column, mean: Column | float) -> Column:
+def gain(tf, length, mean: float):
     """What a term of idf 1 adds; it grows with the frequency and falls with the length."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, id, tf, length) of rows (id, text)."""
-    for batch in batches:
-        ids, terms, tfs, lengths = [], [], [], []
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32())], ["term", "id", "tf", "length"])
-
-        for i, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-            own = split_words(text.as_py())
-            counts = Counter(own)
-            terms += counts.keys()
-            tfs += counts.values()
-            ids += [i] * len(counts)
-            lengths += [len(own)] * len(counts)
-            if len(ids) > 100_000:
-                yield made()
-                ids, terms, tfs, lengths = [], [], [], []
-        if ids:
-            yield made()
+def _bucket(term: Column) -> Column:
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+
+
+class Segment:
+    """Postings of some documents, and their blocks."""
+
+    def __init__(self) -> None:
+        self.terms: dict[str, int] = {}
+        self.term, self.id, self.tf, self.length = array("q"), array("q"), array("i"), array("i")
+        self.documents, self.lengths = array("q"), array("i")
+
+    def add(self, doc_id: int, words: list[str]) -> None:
+        counts = Counter(words)
+        self.term.extend([self.terms.setdefault(w, len(self.terms)) for w in counts])
+        self.id.extend([doc_id] * len(counts))
+        self.tf.extend(counts.values())
+        self.length.extend([len(words)] * len(counts))
+        self.documents.append(doc_id)
+        self.lengths.append(len(words))
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        names = np.array([*self.terms], object)
+        term, ids, tfs, lengths = (np.array(x) for x in (self.term, self.id, self.tf, self.length))
+        mean = max(1.0, float(np.mean(self.lengths))) if len(self.lengths) else 1.0
+        order = np.lexsort((ids, -gain(tfs, lengths, mean), term))
+        places = np.arange(len(order)) - np.searchsorted(term[order], term[order])
+        own = np.flatnonzero(places % BLOCK == 0)
+        yield from self._made(own, names[term[order][own]], [zlib.crc32(w.encode()) % BUCKETS for w in names[term[order][own]]], ids[order], tfs[order], lengths[order])
+        n = len(self.documents)
+        every = np.arange(0, n, 65_536)
+        yield from self._made(every, [None] * len(every), [DOCUMENTS] * len(every), np.array(self.documents), np.ones(n, np.int32), np.array(self.lengths))
+
+    @staticmethod
+    def _made(begins: np.ndarray, names: list, buckets: list[int], ids: np.ndarray, tfs: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.append(begins[1:], len(ids))
+        for a in range(0, len(begins), 20_000):
+            b = min(a + 20_000, len(begins))
+            first, last = begins[a], ends[b - 1]
+            at = begins[a:b] - first
+            offsets = pa.array(np.append(at, last - first).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[first:last], k)) for x, k in ((ids, pa.int64()), (tfs, pa.int32()), (lengths, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(names[a:b], pa.string()), pa.array((ends - begins)[a:b], pa.int32()), *lists, pa.array(np.maximum.reduceat(tfs[first:last], at), pa.int32()),
+                pa.array(np.minimum.reduceat(lengths[first:last], at), pa.int32()), pa.array(buckets[a:b], pa.int32()),
+            ], ["term", "n", "ids", "tfs", "lengths", "most_tf", "least_length", "bucket"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of neighbouring rows (bucket, term, id, tf, length) of one term."""
+    """The blocks of rows (id, text)."""
+    segment = Segment()
     for batch in batches:
-        bucket, term = batch["bucket"].to_pylist(), batch["term"].to_pylist()
-        ids, tfs, lengths = (batch[c].to_numpy() for c in ("id", "tf", "length"))
-        begins = [0] if term else []
-        for i in range(1, len(term)):
-            if term[i] != term[i - 1] or i - begins[-1] == BLOCK:
-                begins.append(i)
-        if begins:
-            offsets = np.array([*begins, len(term)], np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), batch[c]) for c in ("id", "tf", "length")]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([term[i] for i in begins]), pa.array(np.diff(offsets)), *lists, pa.array(np.maximum.reduceat(tfs, begins)),
-                pa.array(np.minimum.reduceat(lengths, begins)), pa.array([bucket[i] for i in begins], pa.int32()),
-            ], ["term", "n", "ids", "tfs", "lengths", "most_tf", "least_length", "bucket"])
+        for i, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
+            segment.add(i, split_words(text.as_py()))
+            if len(segment.term) >= SEGMENT:
+                yield from segment.blocks()
+                segment = Segment()
+    if segment.documents:
+        yield from segment.blocks()
 
 
 def _opened() -> Column:
@@ -92,7 +117,7 @@ def _scored(rows: DataFrame, mean: float) -> DataFrame:
 
 @dataclass
 class TextIndex:
-    """The folder of an index: ``postings`` partitioned by bucket, and ``documents`` with their lengths."""
+    """The folder of an index: blocks partitioned by bucket, those of the documents' lengths among them, so that an addition is one write."""
 
     spark: SparkSession
     path: str
@@ -101,40 +126,36 @@ class TextIndex:
     def build(cls, rows: DataFrame, path: str) -> TextIndex:
         """An index of rows (id, text), over lower-case white-space tokens; of repeated ids the least text, and null texts are empty."""
         own = cls(rows.sparkSession, path)
-        own.spark.createDataFrame([], DOCUMENTS).write.parquet(f"{path}/documents")
+        own.spark.createDataFrame([], POSTINGS).write.partitionBy("bucket").parquet(f"{path}/postings")
         own.add(rows)
         return own
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextIndex:
-        if not exists(spark, f"{path}/documents"):
+        if not exists(spark, f"{path}/postings"):
             raise FileNotFoundError(f"no index in {path}")
         return cls(spark, path)
 
-    def documents(self) -> DataFrame:
-        return self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/documents")
-
     def postings(self) -> DataFrame:
-        there = exists(self.spark, f"{self.path}/postings")
-        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings") if there else self.spark.createDataFrame([], POSTINGS)
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+
+    def documents(self) -> DataFrame:
+        """(id, length) of every document."""
+        return self.postings().where(F.col("bucket") == DOCUMENTS).select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("lengths").alias("length"))))
 
     def add(self, rows: DataFrame) -> None:
-        """Adds the rows whose id isn't in the index."""
-        text = F.lower(F.coalesce("text", F.lit("")))
-        first = rows.where("id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-        new = cut(unseen(first, self.documents(), ["id"]).select("id", text.alias("text")), "new")
-        found = cut(new.mapInArrow(_frequencies, "term string, id long, tf int, length int").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")), "frequencies")
-        lengths = new.select("id", F.size(tokens(F.col("text"))).cast("long").alias("length"))
-        mean = lengths.agg(F.avg("length").alias("mean")).first()["mean"] or 1.0
-        order = ["bucket", "term", "order", "id"]
-        dealt = found.withColumn("order", -gain(F.col("tf"), F.col("length"), mean)).repartitionByRange(*order).sortWithinPartitions(*order)
-        dealt.select("bucket", "term", "id", "tf", "length").mapInArrow(_blocks, POSTINGS).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        lengths.write.mode("append").parquet(f"{self.path}/documents")
+        """Adds the rows whose id isn't in the index. Texts are shuffled only if ids repeat."""
+        given = rows.where("id is not null").select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        repeated = cut(given.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+        if not repeated.isEmpty():
+            given = given.join(repeated, "id", "left_anti").unionByName(given.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        new = unseen(given, self.documents(), ["id"]).select("id", F.lower("text").alias("text"))
+        new.mapInArrow(_blocks, POSTINGS).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def _narrowed(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
         """The postings of the queries' terms; (query_id, term, idf, with_less, floor, ...) of each query's terms; the blocks to read, each with its query; the mean length."""
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(tokens(F.lower("text"))).alias("term")).where("query_id is not null").distinct()
-        asked = cut(asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")), "asked")
+        asked = cut(asked.withColumn("bucket", _bucket(F.col("term"))), "asked")
         stats = self.documents().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
         n, mean = stats["n"], stats["mean"] or 1.0
         buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
