@@ -7,10 +7,10 @@ documents have is spread like the documents. Blocks lie in buckets by a hash of
 reads the buckets of its terms only.
 
 A search first scores the terms from which a query can gain most. The k-th of these scores is a floor.
-Terms that all together can't reach the floor bring no new documents; of the others' blocks only those
-are read whose bound, with what all other terms can add, reaches it; and of the documents in them only
-those go on that can still reach it. These are then scored over all terms. The result is that of
-scoring every document.
+Terms that all together can add a part of it only bring no new documents; of the others' blocks only
+those are read whose bound, with what all other terms can add, reaches the floor; and of the documents in
+them only those go on that can still reach the k-th best of them. These are then scored over all terms.
+The result is that of scoring every document.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ SEGMENT = 2_000_000  # postings that a task holds
 BUCKETS = 16
 DOCUMENTS = -1  # the bucket of the blocks that tell a segment's documents and their lengths
 POSTINGS = "term string, n int, ids array<long>, tfs array<int>, lengths array<int>, most_tf int, least_length int, bucket int"
+SHARE = 0.25  # of the floor: what the terms that are left to the last step may add together; more would leave it more documents
+SMALL = 1_000_000  # rows (query, document, term) that every task may hold; more are joined by a shuffle
 FIRST = 1000  # postings of a query's best terms that set the floor, about
 K1, B = 1.5, 0.75
 
@@ -150,7 +152,7 @@ class TextIndex:
         if not repeated.isEmpty():
             given = given.join(repeated, "id", "left_anti").unionByName(given.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
         new = unseen(given, self.documents(), ["id"]).select("id", F.lower("text").alias("text"))
-        new.mapInArrow(_blocks, POSTINGS).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        new.mapInArrow(_blocks, POSTINGS).write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def _narrowed(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
         """The postings of the queries' terms; (query_id, term, idf, with_less, floor, ...) of each query's terms; the blocks to read, each with its query; the mean length."""
@@ -175,18 +177,23 @@ class TextIndex:
         first = _scored(own.join(terms.where(F.col("read_before") < max(FIRST, 10 * k)), "term").select("query_id", "idf", _opened()), mean)
         floor = top(first, ["query_id"], "score", "id", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
         rated = cut(terms.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - 2e-9), "rated")
-        needed = rated.where(F.col("with_less") >= F.col("floor"))
+        needed = rated.where(F.col("with_less") >= SHARE * F.col("floor"))
         block = F.col("idf") * gain(F.col("most_tf"), F.col("least_length"), mean)
         return own, rated, own.join(needed, "term").where(block + F.col("all") - F.col("most") >= F.col("floor")), mean
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, score, rank): the k best documents with a positive score for each query of queries (query_id, text), ties by the least id."""
         own, rated, blocks, mean = self._narrowed(queries, k)
-        others = rated.groupBy("query_id").agg(F.max(F.when(F.col("with_less") < F.col("floor"), F.col("with_less")).otherwise(0.0)).alias("of_others"), F.max("floor").alias("floor"))
+        others = rated.groupBy("query_id").agg(F.max(F.when(F.col("with_less") < SHARE * F.col("floor"), F.col("with_less")).otherwise(0.0)).alias("of_others"), F.max("floor").alias("floor"))
         # What a document has in blocks left out isn't counted here: such a document can't reach the floor.
         partial = _scored(blocks.select("query_id", "idf", _opened()), mean).join(others, "query_id")
-        reaching = cut(partial.where(F.col("score") + F.col("of_others") >= F.col("floor")).select("query_id", "id"), "reaching")
+        partial = cut(partial.where(F.col("score") + F.col("of_others") >= F.col("floor")).select("query_id", "id", "score", "of_others"), "partial")
+        # The k-th of these scores is a higher floor.
+        higher = top(partial, ["query_id"], "score", "id", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score") - 2e-9).alias("higher"))
+        reaching = partial.join(higher, "query_id").where(F.col("higher").isNull() | (F.col("score") + F.col("of_others") >= F.col("higher"))).select("query_id", "id")
         # Postings are opened once, and meet the terms of the documents that go on.
-        asking = reaching.join(rated.select("query_id", "term", "idf"), "query_id")
+        asking = cut(reaching.join(rated.select("query_id", "term", "idf"), "query_id"), "asking")
+        if asking.count() <= SMALL:
+            asking = F.broadcast(asking)
         whole = _scored(own.select("term", _opened()).join(asking, ["term", "id"]), mean)
         return top(whole.where("score > 0"), ["query_id"], "score", "id", k)
