@@ -77,8 +77,11 @@ def test_toxicity_against_a_plain_version(spark):
     for r in toxicity.scored(docs, model).collect():
         words = toxicity.words_of(texts[r["doc_id"]] or "")
         own = [float(np.mean(model.worth[toxicity.subwords(w)])) for w in words]
-        windows = [own[a : a + toxicity.WINDOW] for a in range(0, max(1, len(own) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)]
-        z = max(sum(w) / max(len(w), toxicity.PADDED) for w in windows) + model.bias
+        s, windows = model.settings, []
+        for a in range(0, max(1, len(own) - s.window + s.stride), s.stride):
+            part = words[a : a + s.window]
+            windows.append([own[a + i] for i, w in enumerate(part) if part[:i].count(w) < s.repeats])
+        z = max(sum(w) / max(len(w), s.padded) for w in windows) + model.bias
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.scale * z + model.shift))), abs=1e-6)
 
 
@@ -107,6 +110,16 @@ def test_unseen_misspellings_share_vectors():
     assert score("zorgled") > max(0.7, score("abcdee"))
 
 
+def test_words_said_over_and_over():
+    rng = np.random.default_rng(8)
+    for repeats in (1, 2, 5):
+        rows = rng.integers(-1, 4, (50, 16), np.int32)
+        want = [[w if list(r[:i]).count(w) < repeats else -1 for i, w in enumerate(r)] for r in rows]
+        assert toxicity.counted(rows, repeats).tolist() == want
+    assert toxicity.words_of("no no No") == ["no"] * 3
+    assert toxicity.windows_of(np.arange(20, dtype=np.int32), 16, 8)[1].tolist() == [*range(8, 20), -1, -1, -1, -1]
+
+
 def test_toxicity_of_odd_rows(spark):
     marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (99, None)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(i, "you zorgle of a man" if i % 2 else "a fine day by the sea") for i in range(60)], "doc_id long, text string")
