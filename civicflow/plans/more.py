@@ -10,7 +10,7 @@ from civicflow.operators import matching as M, retrieval as R, scoring as S, sta
 from civicflow.operators.passages import find_passages
 from civicflow.plans import Plans, table
 from civicflow.plans.retrieval import BM25_SQL as _BM25, bm25_ranked
-from civicflow.sources import connectors, sinks
+from civicflow.sources import connectors, geometry, sinks
 
 plans = Plans()
 
@@ -227,3 +227,38 @@ def generate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.add("SELECT bin, no::INTEGER AS no, (SELECT count(*) FROM lineitem WHERE l_quantity > lo AND l_quantity <= hi)::BIGINT AS n FROM (VALUES (0, '1-10', 0, 10), (1, '11-25', 10, 25), (2, '26-50', 25, 50), (3, 'more', 50, 1e9)) t(no, bin, lo, hi)")
 def length_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", [0, 10, 25, 50, 1e9], ["1-10", "11-25", "26-50", "more"])
+
+
+def _geojson(kind: str, *polygons: list[list[tuple]]):
+    """A collection of one feature, written from columns; a point is given as a ring of its own."""
+    ring = lambda points: F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]")) for x, y in points]), F.lit("]"))
+    whole = [F.concat(F.lit("["), F.concat_ws(",", *map(ring, rings)), F.lit("]")) for rings in polygons]
+    text = {"Point": lambda: F.regexp_replace(whole[0], r"^\[\[|\]\]$", ""), "Polygon": lambda: whole[0], "MultiPolygon": lambda: F.concat(F.lit("["), F.concat_ws(",", *whole), F.lit("]"))}[kind]()
+    key = F.concat(F.lit('{"features":[{"properties":{"key":"'), F.col("p_partkey").cast("string"), F.lit(f'"}},"geometry":{{"type":"{kind}","coordinates":'))
+    return F.concat(key, text, F.lit("}}]}"))
+
+
+@plans.add("""
+WITH s AS (SELECT p_partkey, p_partkey % 3 AS k, (p_partkey * 7 % 340 - 170)::DOUBLE AS x, (p_partkey * 11 % 140 - 70)::DOUBLE AS y, (2 + p_partkey % 5)::DOUBLE AS w, (2 + p_partkey % 7)::DOUBLE AS h FROM part),
+c AS (SELECT c_custkey * 37 % 360 - 180 + 0.237::DOUBLE AS px, c_custkey * 13 % 150 - 75 + 0.419::DOUBLE AS py, count(*) AS n FROM customer GROUP BY 1, 2),
+m AS (SELECT p_partkey, sum(n)::BIGINT AS n FROM s JOIN c ON px > x AND py > y AND py < y + h AND CASE k
+  WHEN 0 THEN px < x + w AND NOT (px > x + w / 4 AND px < x + w * 3 / 4 AND py > y + h / 4 AND py < y + h * 3 / 4)
+  WHEN 1 THEN px < x + w * (1 - (py - y) / h) OR (px > x + w + 1 AND px < x + w + 1 + w * (1 - (py - y) / h))
+  ELSE false END GROUP BY p_partkey)
+SELECT p_partkey, CASE k WHEN 0 THEN 'Polygon' WHEN 1 THEN 'MultiPolygon' ELSE 'Point' END AS kind, round(CASE k WHEN 0 THEN w * h * 0.75 WHEN 1 THEN w * h ELSE 0 END, 6) AS area,
+  round(CASE k WHEN 0 THEN x + w / 2 WHEN 1 THEN x + w / 3 + (w + 1) / 2 ELSE x END, 6) AS cx, round(CASE k WHEN 0 THEN y + h / 2 WHEN 1 THEN y + h / 3 ELSE y END, 6) AS cy,
+  coalesce(n, 0)::BIGINT AS n_points FROM s LEFT JOIN m USING (p_partkey)""")
+def shape_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes made from parts, as GeoJSON: a box with a hole, two triangles, or a point; their area, centroid and the customers within."""
+    key = F.col("p_partkey")
+    x, y = (key * 7 % 340 - 170).cast("double"), (key * 11 % 140 - 70).cast("double")
+    w, h = (key % 5 + 2).cast("double"), (key % 7 + 2).cast("double")
+    box = lambda a, b: [(x + w * a, y + h * a), (x + w * b, y + h * a), (x + w * b, y + h * b), (x + w * a, y + h * b), (x + w * a, y + h * a)]
+    triangle = lambda d: [(x + d, y), (x + w + d, y), (x + d, y + h), (x + d, y)]
+    json = F.when(key % 3 == 0, _geojson("Polygon", [box(0, 1), box(0.25, 0.75)])).when(key % 3 == 1, _geojson("MultiPolygon", [triangle(F.lit(0))], [triangle(w + 1)])).otherwise(_geojson("Point", [[(x, y)]]))
+    shapes = geometry.measured(geometry.shape_features(table(spark, sf_dir, "part").select(json.alias("json"))).withColumn("p_partkey", F.col("properties")["key"].cast("long")))
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 37 % 360 - 180 + F.lit(0.237)).alias("x"), (F.col("c_custkey") * 13 % 150 - 75 + F.lit(0.419)).alias("y"))
+    inside = geometry.points_in_shapes(shapes.select("p_partkey", "polygons", "vertices"), customers.groupBy("x", "y").agg(F.count("*").alias("n")))
+    counts = inside.groupBy(F.col("shape.p_partkey").alias("p_partkey")).agg(F.sum("point.n").alias("n"))
+    rounded = [F.round(c, 6).alias(c) for c in ("area", "cx", "cy")]
+    return shapes.join(counts, "p_partkey", "left").select("p_partkey", "kind", *rounded, F.coalesce("n", F.lit(0)).cast("long").alias("n_points"))
