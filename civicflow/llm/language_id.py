@@ -136,17 +136,21 @@ def fit(
     share: float = 0.25,
     exclude_remainder: tuple[int, int] | None = (4, 2),
     seed: int = 9,
+    most_languages: int = 10_000,
 ) -> LanguageModel | None:
     """Learns the filters from (doc_id, text, lang).
 
     Rows with a null id, text or lang are not learned from, nor those whose id hash has the excluded
     remainder. All languages are learned. None if there is nothing to learn from. What reaches the
-    driver is bounded by the filters' size, which grows with the number of languages by 64.
+    driver is bounded by the filters' size, which grows with the number of languages by 64. A column
+    of more than ``most_languages`` values holds something else than languages and is an error.
     """
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
     if exclude_remainder:
         known = known.where(id_remainder(F.col("doc_id"), exclude_remainder[0]) != exclude_remainder[1])
-    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
+    if len(counted) > most_languages:
+        raise ValueError(f"the column lang has more than {most_languages} values")
     if not counted:
         return None
     languages = sorted(r["lang"] for r in counted)

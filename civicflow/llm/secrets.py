@@ -6,7 +6,8 @@ however many paths or versions hold it, and joins findings back to all of them.
 version, under which old blobs count as unseen.
 
 A lasting ledger is a Parquet folder that the session names in ``LEDGER``; runs append what they
-scanned to it. Without the setting a run begins with an empty ledger, which takes the same path.
+scanned to it. It has a folder for each rules version and beginning of a blob's name, and a run reads
+only those that its own blobs have. Without the setting a run begins with an empty ledger.
 
 Copies are dropped twice: within a task before texts move, so that a text that stands in a third of
 all rows moves as one row a task, and again where all copies of a blob meet, next to the ledger's
@@ -31,6 +32,7 @@ from civicflow.storage import exists
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge", "chat")
 BASE = KINDS[:3]
 RULES = "1"
+PREFIX = 2  # hexadecimal digits of a blob that name its folder in a ledger
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 ENTRIES = f"blob string, rules string, spans {SPANS}"
 LEDGER = "civicflow.secrets.ledger"
@@ -124,11 +126,29 @@ def _scanned(rules: str):
     return run
 
 
-def read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
-    """The entries of a ledger, none where there is no folder yet. A pair that two runs have scanned at the same time has one entry."""
-    if path is None or not exists(spark, path):
+def read_ledger(spark: SparkSession, path: str, rules: str = RULES, blobs: DataFrame | None = None) -> DataFrame:
+    """A ledger's entries under these rules, none where there is no folder yet; with blobs (blob, each once) given, only theirs.
+
+    For given blobs only the folders of their prefixes are read, and Catalyst broadcasts them where
+    their size allows, so that the history isn't shuffled. A pair that two runs have scanned at the
+    same time has one entry.
+    """
+    if not exists(spark, path):
         return spark.createDataFrame([], ENTRIES)
-    return spark.read.schema(ENTRIES).parquet(path).dropDuplicates(["blob", "rules"])
+    found = spark.read.schema(f"{ENTRIES}, prefix string").parquet(path).where(F.col("rules") == rules)
+    if blobs is not None:
+        prefixes = [r["prefix"] for r in blobs.select(_prefix().alias("prefix")).distinct().collect()]  # 16 ** PREFIX at most
+        found = found.where(F.col("prefix").isin(prefixes)).join(blobs.select("blob"), "blob", "left_semi")
+    return found.select("blob", "rules", "spans").dropDuplicates(["blob", "rules"])
+
+
+def append_ledger(entries: DataFrame, path: str) -> None:
+    """Adds entries to a ledger, one file for each rules version and prefix that occurs."""
+    entries.withColumn("prefix", _prefix()).repartition("rules", "prefix").write.mode("append").partitionBy("rules", "prefix").parquet(path)
+
+
+def _prefix() -> Column:
+    return F.substring("blob", 1, PREFIX)
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULES) -> DataFrame:
@@ -154,19 +174,19 @@ def findings(versions: DataFrame, keys: list[str], ledger: DataFrame, rules: str
     return met.select(*[F.col(quoted(k)) for k in keys], F.coalesce(spans, F.array().cast(SPANS)).alias("spans"))
 
 
-def scan(versions: DataFrame, keys: list[str] | None = None, ledger: str | None = None, rules: str = RULES) -> DataFrame:
-    """The keys (doc_id, say, or path and version) and spans of every row of versions (keys, text).
-
-    ledger is the folder of a lasting ledger. What it lacks is scanned and appended to it; without
-    one, everything is scanned.
-    """
+def entries_for(versions: DataFrame, ledger: str | None = None, rules: str = RULES) -> DataFrame:
+    """Ledger entries for every blob of versions (text). What the ledger lacks is scanned and appended to it; without one, everything is scanned."""
+    if ledger is None:
+        return cut(scan_unseen(versions, None, rules), "ledger")
     spark = versions.sparkSession
-    old = read_ledger(spark, ledger)
-    new = cut(scan_unseen(versions, old, rules), "ledger")
-    if ledger is not None:
-        new.write.mode("append").parquet(ledger)
-        old = read_ledger(spark, ledger)
-    return findings(versions, keys or ["doc_id"], old if ledger is not None else new, rules)
+    blobs = cut(versions.select(blob_of(F.col("text")).alias("blob")).distinct(), "blobs")
+    append_ledger(cut(scan_unseen(versions, read_ledger(spark, ledger, rules, blobs), rules), "ledger"), ledger)
+    return read_ledger(spark, ledger, rules, blobs)
+
+
+def scan(versions: DataFrame, keys: list[str] | None = None, ledger: str | None = None, rules: str = RULES) -> DataFrame:
+    """The keys (doc_id, say, or path and version) and spans of every row of versions (keys, text); ledger is the folder of a lasting ledger."""
+    return findings(versions, keys or ["doc_id"], entries_for(versions, ledger, rules), rules)
 
 
 def redacted(text: str, spans: list[tuple[int, int]], mark: str = MARK) -> str:
@@ -179,11 +199,14 @@ def redacted(text: str, spans: list[tuple[int, int]], mark: str = MARK) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, mark: str = MARK, rules: str = RULES) -> DataFrame:
-    """docs with every secret in the column text replaced by a mark; overlapping spans become one mark. All rows and columns stay."""
+def redact(docs: DataFrame, mark: str = MARK, rules: str = RULES, ledger: str | None = None) -> DataFrame:
+    """docs with every secret in the column text replaced by a mark; overlapping spans become one mark. All rows and columns stay.
+
+    ledger is the folder of a lasting ledger, whose blobs aren't scanned again.
+    """
     own = docs.columns
     blob, known, spans = (fresh(own, c) for c in ("blob", "known", "found"))
-    entries = cut(scan_unseen(docs, None, rules), "ledger").where(F.size("spans") > 0).select(F.col("blob").alias(known), written(F.col("spans")).alias(spans))
+    entries = entries_for(docs, ledger, rules).where(F.size("spans") > 0).select(F.col("blob").alias(known), written(F.col("spans")).alias(spans))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, found: pd.Series) -> pd.Series:

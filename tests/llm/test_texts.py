@@ -169,11 +169,26 @@ def test_a_lasting_ledger(spark, tmp_path, monkeypatch):
     again = secrets.scan(more, ["path", "version"], ledger).collect()
     assert read[-1].count() == 1 and len(again) == 6  # only the new version was scanned
     secrets.scan(more, ["path", "version"], ledger, rules="other")
-    assert read[-1].count() == 4 and secrets.read_ledger(spark, ledger).count() == 8
-    entries.unionByName(entries).write.mode("append").parquet(ledger)  # two runs at a time
+    assert read[-1].count() == 4 and [secrets.read_ledger(spark, ledger, r).count() for r in ("1", "other")] == [4, 4]
+    secrets.append_ledger(entries.unionByName(entries), ledger)  # two runs at a time
     assert len(secrets.scan(more, ["path", "version"], ledger).collect()) == 6 and read[-1].count() == 0
 
 
+def test_a_run_reads_only_its_own_folders_of_a_ledger(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(i, f"token=abcdef{i}") for i in range(300)], "doc_id long, text string")
+    assert {len(r["spans"]) for r in secrets.scan(docs, ledger=ledger).collect()} == {1}
+    one = spark.createDataFrame([(hashlib.sha256(b"token=abcdef7").hexdigest(),)], "blob string")
+    entry = secrets.read_ledger(spark, ledger, blobs=one)
+    assert [r["blob"] for r in entry.collect()] == [one.first()["blob"]] and secrets.read_ledger(spark, ledger).count() == 300
+    assert "prefix" in entry._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    rows = [(1, "a token=abcdef7"), (2, "token=abcdef7"), (3, "00"), (4, None)]
+    again = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string"), ledger=ledger)
+    assert sorted(r["text"] or "" for r in again.collect()) == ["", "00", "[SECRET]", "a [SECRET]"]
+    assert secrets.read_ledger(spark, ledger).count() == 303
+    assert secrets.redact(spark.createDataFrame(rows, "doc_id long, text string"), ledger=ledger).count() == 4 and secrets.read_ledger(spark, ledger).count() == 303
+
+
 def test_the_query_uses_the_session_s_ledger(spark, tmp_path, monkeypatch):
     key = lambda r: r["doc_id"]
     want = sorted(secrets.op5_secret_scan(spark, SMALL).collect(), key=key)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from civicflow.llm import language_id, toxicity
 
@@ -41,3 +42,5 @@ def test_more_languages_than_a_word_has_bits(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
     assert language_id.keep_identified(docs, model).count() == len(rows)
+    with pytest.raises(ValueError, match="69"):
+        language_id.fit(docs, exclude_remainder=None, most_languages=69)
