@@ -17,7 +17,11 @@ Neither step loses a link.
 
 Equal fingerprints are one row before pairs are sought. A bucket never becomes a list of its pairs:
 its links come out as a spanning forest. A bucket beyond ``CHUNK`` fingerprints is cut into chunks
-that meet two by two, as tasks of their own.
+that meet two by two, as tasks of their own. Beyond ``MOST_CHUNKS`` chunks a fingerprint would be
+copied more often than it has centres, so such a bucket is linked through these: all values within
+half the radius of a fingerprint, by flips of bits that the bucket doesn't fix. Two fingerprints have
+a centre in common if and only if they are within the radius, so every link is found, work grows with
+the bucket and not with its square, and no centre has more fingerprints than a fingerprint centres.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ RADIUS = 4
 SEED = 42
 PIVOTS = 24
 CHUNK = 2048
+MOST_CHUNKS = 512
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -216,8 +221,49 @@ def _linked(rows: DataFrame, keys: list[str], chunk: int, radius: int, reference
     return rows.mapInArrow(run, f"a long, b long, {', '.join(f'{k} long' for k in kept)}, chunk_no long")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp), enough of them to connect all that are within the radius of one another."""
+def flips(mask: int, radius: int) -> np.ndarray:
+    """All words of at most half the radius of bits, none of them in the mask; the radius is even."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    return np.array([sum(bits) for n in range(radius // 2 + 1) for bits in combinations(free, n)], np.uint64).view(np.int64)
+
+
+def linked_by_centres(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """Links (a, b) of rows (k0, fp) that have a centre in common; k0 is the number of the mask that their buckets come from.
+
+    Flips leave the mask's bits as they are, so fingerprints of different buckets share no centre.
+    """
+
+    def centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, fp = batch["k0"].to_numpy(), batch["fp"].to_numpy()
+            for k in np.unique(table).tolist():
+                own, by = fp[table == k], flips(masks[k], radius)
+                for at in range(0, len(own), 256):
+                    part = own[at : at + 256]
+                    n = len(part) * len(by)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array((part[:, None] ^ by[None, :]).ravel()), pa.array(np.repeat(part, len(by)))], ["k0", "centre", "fp"])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # mask, centre and first fingerprint of the run that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table, centre, fp = (batch[c].to_numpy() for c in ("k0", "centre", "fp"))
+            new = np.concatenate([[last is None or last[:2] != (table[0], centre[0])], (table[1:] != table[:-1]) | (centre[1:] != centre[:-1])])
+            firsts = np.concatenate([[last[2] if last else 0], fp[new]])[np.cumsum(new)]
+            last = (table[-1], centre[-1], firsts[-1])
+            linked = fp != firsts
+            yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(firsts[linked])], ["a", "b"])
+
+    met = rows.select("k0", "fp").mapInArrow(centres, "k0 long, centre long, fp long")
+    return met.repartition("k0", "centre").sortWithinPartitions("k0", "centre", "fp").mapInArrow(stars, "a long, b long").distinct()
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, most_chunks: int = MOST_CHUNKS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (fp), enough of them to connect all that are within the radius of one another.
+
+    Buckets of over ``most_chunks`` chunks are linked by centres; with an odd radius, by chunks like others.
+    """
     masks, references = blocks_for(distinct.count(), radius), corpus_pivots(distinct)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select("fp", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])))
@@ -227,12 +273,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     if long.isEmpty():
         return first.select("a", "b")
     most = long.groupBy("k0", "k1").agg(F.max("chunk_no").alias("most"))
+    sized = long.join(most, ["k0", "k1"]).select("k0", "k1", "chunk_no", "fp", "most")
+    wide = (F.col("most") >= most_chunks) if radius % 2 == 0 else F.lit(False)
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("most", F.lit(1))))
-    pairs = long.join(most, ["k0", "k1"]).select("k0", "k1", "chunk_no", "fp", others.alias("other")).where("chunk_no <> other")
+    pairs = sized.where(~wide).select("k0", "k1", "chunk_no", "fp", others.alias("other")).where("chunk_no <> other")
     pairs = pairs.select("k0", "k1", F.least("chunk_no", "other").alias("k2"), F.greatest("chunk_no", "other").alias("k3"), "fp")
     keys = ["k0", "k1", "k2", "k3"]
     second = _linked(pairs.repartition(*keys).sortWithinPartitions(*keys, "fp"), keys, 0, radius, references)
-    return first.where("chunk_no is null").select("a", "b").unionByName(second.select("a", "b"))
+    found = first.where("chunk_no is null").select("a", "b").unionByName(second.select("a", "b"))
+    if not most.where(wide).isEmpty():
+        found = found.unionByName(linked_by_centres(sized.where(wide), masks, radius))
+    return found
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

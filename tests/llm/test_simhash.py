@@ -67,8 +67,8 @@ def test_nulls_ties_and_odd_texts(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [4, 16, 2048])
-def test_dense_groups_in_chunks(spark, chunk):
+@pytest.mark.parametrize("chunk, most_chunks", [(4, 512), (16, 512), (2048, 512), (4, 2), (4, 6)])
+def test_dense_groups_in_chunks_and_by_centres(spark, chunk, most_chunks):
     rng = np.random.default_rng(3)
     fps = set()
     for base in rng.integers(0, 1 << 63, 5, np.uint64):
@@ -77,12 +77,26 @@ def test_dense_groups_in_chunks(spark, chunk):
             fps.add(int(base) ^ sum(1 << int(b) for b in flips))
     fps = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    root = {r["node"]: r["root"] for r in components(simhash.links(df, chunk=chunk)).collect()}
+    root = {r["node"]: r["root"] for r in components(simhash.links(df, chunk=chunk, most_chunks=most_chunks)).collect()}
     order = sorted(fps)
     want = plain_groups(order, np.array(order, np.int64).view(np.uint64).tolist())
     assert [root.get(f, f) for f in order] == want
 
 
+def test_centres_link_what_is_near_and_nothing_else(spark):
+    """Every pair within the radius shares a centre, no other pair does, and rows grow with the bucket."""
+    rng = np.random.default_rng(4)
+    mask = (1 << 30) - 1
+    fps = np.unique(np.array([7 | sum(1 << int(b) for b in rng.choice(np.arange(30, 64), rng.integers(0, 6), replace=False)) for _ in range(300)], np.uint64))
+    assert len(simhash.flips(mask, 4)) == 1 + 34 + 34 * 33 // 2
+    rows = spark.createDataFrame([(0, int(f)) for f in fps.view(np.int64)], "k0 long, fp long").repartition(3)
+    got = [(r["a"], r["b"]) for r in simhash.linked_by_centres(rows, [mask], 4).collect()]
+    assert got and all(0 < (np.uint64(a % 2**64) ^ np.uint64(b % 2**64)).bit_count() <= 4 for a, b in got)
+    root = {r["node"]: r["root"] for r in components(spark.createDataFrame(got, "a long, b long")).collect()}
+    order = sorted(fps.view(np.int64).tolist())
+    assert [root.get(f, f) for f in order] == plain_groups(order, np.array(order, np.int64).view(np.uint64).tolist())
+
+
 def test_masks_meet_every_near_pair():
     rng = np.random.default_rng(1)
     for n in (10, 10**6, 10**9, 10**12):
