@@ -102,3 +102,31 @@ def answer_object(c: Column, schema: str) -> Column:
 def first_object(c: Column, schema: str) -> Column:
     """An object, or the first of a list of objects."""
     return F.coalesce(F.get(F.from_json(c, f"array<{schema}>"), 0), F.from_json(c, schema))
+
+
+def flattened(c: Column, paths: dict[str, tuple[str, ...]]) -> list[Column]:
+    """A text column for each path into an answer's object, or into the first object of its list; null where the path leads nowhere.
+
+    All paths are read in one pass. A path that ends where another goes on is an error.
+    """
+    tree: dict = {}
+    for path in paths.values():
+        at = tree
+        for name in path[:-1]:
+            at = at.setdefault(name, {})
+            if not isinstance(at, dict):
+                raise ValueError(f"{name} in {path} is the end of another path")
+        if at.setdefault(path[-1], "string") != "string":
+            raise ValueError(f"{path} goes on in another path")
+
+    def typed(node: dict | str) -> str:
+        return node if isinstance(node, str) else "struct<" + ", ".join(f"`{k}`: {typed(v)}" for k, v in node.items()) + ">"
+
+    found = first_object(c, typed(tree))
+    out = []
+    for alias, path in paths.items():
+        value = found
+        for name in path:
+            value = value.getField(name)
+        out.append(value.alias(alias))
+    return out

@@ -52,11 +52,23 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
 def similarity(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)])
+        pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
+        known = {p: jaro_winkler(*p) for p in set(pairs)}
+        return pd.Series([known[p] for p in pairs])
 
     return run(a, b)
 
 
+def first_similarity(a: Column, b: Column) -> Column:
+    """The larger of the likenesses of first names as written and with nicknames written out."""
+    return F.greatest(similarity(a, b), similarity(full_first(a), full_first(b)))
+
+
+def state_match(a: Column, b: Column) -> Column:
+    """1 if both states are there and equal, else 0."""
+    return F.coalesce((a == b) & (a != ""), F.lit(False)).cast("double")
+
+
 def normalised(x: str | None) -> str:
     """Accents stripped, lower case, letters, hyphens and single spaces only."""
     kept = "".join(c for c in unicodedata.normalize("NFKD", x or "").lower() if "a" <= c <= "z" or c.isspace() or c == "-")

@@ -136,6 +136,13 @@ def last_page(c: Column) -> Column:
     return F.coalesce(F.array_max(pages), F.when(nonempty(c), 1).otherwise(0))
 
 
+def reverified(text: Column, partial: Column, least: int = 0, enabled: bool = True) -> Column:
+    """Is a stored text to be fetched again? Always if there is none or only a part of it, else if its last page marker reaches the least; 0 means any."""
+    if not enabled:
+        return F.lit(False)
+    return F.coalesce(partial, F.lit(False)) | ~nonempty(text) | (F.lit(least <= 0) | (last_page(text) >= least))
+
+
 def yes_no(c: Column) -> Column:
     """``yes`` or ``no`` if the answer's first word begins so, else empty."""
     word = F.regexp_extract(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"^[^a-z]*([a-z]+)", 1)

@@ -205,3 +205,9 @@ def fitted(text: Column, fixed_tokens: Column, budget: int) -> Column:
 def inclusive(ts: Column, first: str, last: str) -> Column:
     """Whether a time is within whole days, the last one included."""
     return (ts >= F.lit(first).cast("date")) & (ts < F.date_add(F.lit(last).cast("date"), 1))
+
+
+def bucketed(rows: DataFrame, key: str, buckets: dict[str, str], into: str) -> DataFrame:
+    """rows with the bucket of their key in a new column; rows whose key is in no bucket, or null, are left out."""
+    table = F.create_map(*[F.lit(x) for pair in buckets.items() for x in pair]) if buckets else F.lit(None).cast("map<string,string>")
+    return rows.withColumn(into, table[F.col(key)]).where(F.col(into).isNotNull())

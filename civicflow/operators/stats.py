@@ -106,3 +106,32 @@ def extremes(rows: DataFrame, value: str, tie: str, k: int) -> DataFrame:
     """The k largest and the k smallest rows, marked."""
     high = rows.orderBy(F.desc(value), tie).limit(k).withColumn("side", F.lit("high"))
     return high.unionByName(rows.orderBy(F.asc(value), tie).limit(k).withColumn("side", F.lit("low")))
+
+
+def flag_rates(rows: DataFrame, by: str, flag: str) -> DataFrame:
+    """(key, n, n_flag, rate) of a boolean column by the values of another; rows with a null flag don't count, a null key is a key."""
+    per = rows.where(F.col(flag).isNotNull()).groupBy(F.col(by).alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias("n_flag"))
+    return per.withColumn("rate", ratio(F.col("n_flag"), F.col("n")))
+
+
+def ordered_rates(rows: DataFrame, by: str, flag: str, order: list[str]) -> DataFrame:
+    """``flag_rates`` of the listed keys in their order (no), each with its share of all their rows in per cent; keys without rows have zeros."""
+    keys = rows.sparkSession.createDataFrame([(i, x) for i, x in enumerate(order)], "no int, key string")
+    per = keys.join(flag_rates(rows.where(F.col(by).isin(order)), by, flag), "key", "left").fillna(0)
+    grand = per.agg(F.sum("n").alias("grand"))
+    return per.join(F.broadcast(grand), how="cross").select("no", "key", "n", "n_flag", "rate", (100 * ratio(F.col("n"), F.col("grand"))).alias("pct"))
+
+
+def status_totals(rows: DataFrame, status: str, statuses: list[str]) -> DataFrame:
+    """One row: how many rows there should be (total), how many have one of the statuses (actual), and each status's number."""
+    each = [F.count_if(F.col(status) == s).alias(s) for s in statuses]
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col(status).isin(statuses)).alias("actual"), *each)
+
+
+def group_sizes(rows: DataFrame, by: str) -> DataFrame:
+    """One row: the number of groups, and the exact median of their sizes, cut to a whole number; null keys form no group, 0 for none.
+
+    Sizes are counted first, so the median is taken over as many values as there are different sizes.
+    """
+    sizes = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("times"))
+    return sizes.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("groups"), F.coalesce(F.floor(F.expr("percentile(size, 0.5D, times)")), F.lit(0)).alias("median"))

@@ -67,3 +67,57 @@ def miss_reason(in_mapper: Column, is_rep: Column, rep_matched: Column, retrieve
         F.when(~in_mapper, "not_in_mapper").when(~is_rep & rep_matched, "recoverable").when(~is_rep, "rep_unmatched")
         .when(~retrieved, "retrieval_gap").when(~scored, "not_scored").otherwise("threshold")
     )
+
+
+def relevant_ids(cited: DataFrame, near: DataFrame) -> DataFrame:
+    """id: the cited ones and all members of their near-duplicate classes, which is what ``expand_one_hop`` finds, without its pairs."""
+    own = cited.select("id").where("id is not null").distinct()
+    members = duplicate_classes(near)
+    classes = members.join(own, "id", "left_semi").select("class").distinct()
+    return own.unionByName(members.join(classes, "class", "left_semi").select("id")).distinct()
+
+
+def validation_metrics(cited: DataFrame, near: DataFrame, staged: DataFrame, retrieved: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row of counts and percentages for tables of ids, which may repeat; null ids don't count.
+
+    Of the cited ids that are staged, and of the relevant ones (with near-duplicates): how many were
+    retrieved (reach) and matched (recall). The floor is the number of matches against all staged.
+    A percentage of nothing is 0. One shuffle by id beside those of the classes.
+    """
+    sets = {"cited": cited, "relevant": relevant_ids(cited, near), "staged": staged, "retrieved": retrieved, "matched": matched}
+    rows = None
+    for name, ids in sets.items():
+        part = ids.where("id is not null").select("id", *[F.lit(name == other).alias(other) for other in sets])
+        rows = part if rows is None else rows.unionByName(part)
+    per = rows.groupBy("id").agg(*[F.max(name).alias(name) for name in sets])
+    count = lambda *names: F.count_if(F.expr(" and ".join(names)))
+    n = per.agg(
+        count("staged").alias("staged"), count("cited").alias("cited"), count("relevant").alias("relevant"), count("retrieved").alias("retrieved"), count("matched").alias("matched"),
+        *[count(kind, "staged", *more).alias(f"{kind}_{name}") for kind in ("cited", "relevant") for name, more in (("staged", ()), ("reached", ("retrieved",)), ("found", ("matched",)))],
+    )
+    pct = lambda a, b: (100 * ratio(F.col(a), F.col(b)))
+    return n.select(
+        *n.columns, *[pct(f"{kind}_{name}", f"{kind}_staged").alias(f"{kind}_{name}_pct") for kind in ("cited", "relevant") for name in ("reached", "found")],
+        pct("matched", "staged").alias("match_rate_floor"),
+    )
+
+
+#: What can have become of a cited document, in the order in which it is asked.
+OUTCOMES = ["directly_matched", "not_in_mapper", "merged_recoverable", "merged_rep_unmatched", "staged_recoverable", "staged_not_retrieved", "staged_below_threshold"]
+
+
+def outcome(matched: Column, in_mapper: Column, staged: Column, by_cluster: Column, retrieved: Column) -> Column:
+    """One of ``OUTCOMES``; an unknown state counts as false. Those of staged documents differ by whether a cluster mate matched."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    matched, in_mapper, staged, by_cluster, retrieved = map(known, (matched, in_mapper, staged, by_cluster, retrieved))
+    tests = [matched, ~in_mapper, ~staged & by_cluster, ~staged, by_cluster, ~retrieved]
+    out = F.when(tests[0], OUTCOMES[0])
+    for test, name in zip(tests[1:], OUTCOMES[1:]):
+        out = out.when(test, name)
+    return out.otherwise(OUTCOMES[-1])
+
+
+def outcome_counts(rows: DataFrame, column: str) -> DataFrame:
+    """(reason, n, pct) of all outcomes, those without rows among them; n adds up to the rows with an outcome."""
+    one = rows.where(F.col(column).isin(OUTCOMES)).agg(F.count("*").alias("total"), *[F.count_if(F.col(column) == name).alias(name) for name in OUTCOMES])
+    return one.select("total", F.inline(F.array(*[F.struct(F.lit(name).alias("reason"), F.col(name).alias("n")) for name in OUTCOMES]))).select("reason", "n", (100 * ratio(F.col("n"), F.col("total"))).alias("pct"))

@@ -252,7 +252,7 @@ _LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"  # noqa: E7
 _NAMES = f"""nick AS (SELECT unnest({_LIST(N.NICKNAMES)}) AS short, unnest({_LIST(N.NICKNAMES.values())}) AS long),
 c AS (SELECT c_custkey AS a, ({_LIST(_SHORT)})[c_custkey // 100 % {len(_SHORT)} + 1] AS fa, 'mac' || ({_LIST(_LONG)})[c_custkey // 100 % {len(_LONG)} + 1] AS la, c_nationkey AS na, c_nationkey % 5 AS sa FROM customer WHERE c_custkey % 100 = 0),
 s AS (SELECT s_suppkey AS b, ({_LIST(_LONG)})[s_suppkey % {len(_LONG)} + 1] AS fb, 'mac' || ({_LIST(_LONG)})[s_suppkey * 7 % {len(_LONG)} + 1] AS lb, s_nationkey AS nb, s_nationkey % 3 AS sb FROM supplier),
-n AS (SELECT a, b, coalesce(x.long, fa) AS fa, la, sa, coalesce(y.long, fb) AS fb, lb, sb FROM c JOIN s ON na = nb LEFT JOIN nick x ON x.short = fa LEFT JOIN nick y ON y.short = fb)"""
+n AS (SELECT a, b, fa AS ra, fb AS rb, coalesce(x.long, fa) AS fa, la, sa, coalesce(y.long, fb) AS fb, lb, sb FROM c JOIN s ON na = nb LEFT JOIN nick x ON x.short = fa LEFT JOIN nick y ON y.short = fb)"""
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,12 +265,13 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(s, "nation").drop("nation")
 
 
-@plans.add(f"""WITH {_NAMES} SELECT a, b, round(jaro_winkler_similarity(fa, fb), 6)::DOUBLE AS first, round(jaro_winkler_similarity(la, lb), 6)::DOUBLE AS last,
-round(0.35 * jaro_winkler_similarity(fa, fb) + 0.40 * jaro_winkler_similarity(la, lb) + 0.25 * (sa = sb)::INT, 6)::DOUBLE AS score FROM n""")
+@plans.add(f"""WITH {_NAMES}, j AS (SELECT a, b, greatest(jaro_winkler_similarity(ra, rb), jaro_winkler_similarity(fa, fb)) AS first, jaro_winkler_similarity(la, lb) AS last, (sa = sb AND sa <> 0)::INT AS state FROM n)
+SELECT a, b, round(first, 6)::DOUBLE AS first, round(last, 6)::DOUBLE AS last, round(0.35 * first + 0.40 * last + 0.25 * state, 6)::DOUBLE AS score FROM j""")
 def jw_field_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First names with nicknames written out, last names and states of a query set of people, against all others of the nation."""
+    """First names as written or with nicknames written out, last names and states (0: none) of a query set of people, against all others of the nation."""
     met = _people(spark, sf_dir)
-    rated = met.select("a", "b", N.similarity(N.full_first(F.col("fa")), N.full_first(F.col("fb"))).alias("first"), N.similarity(F.col("la"), F.col("lb")).alias("last"), (F.col("sa") == F.col("sb")).cast("double").alias("state"))
+    state = lambda c: F.when(F.col(c) != "0", F.col(c)).otherwise("")
+    rated = met.select("a", "b", N.first_similarity(F.col("fa"), F.col("fb")).alias("first"), N.similarity(F.col("la"), F.col("lb")).alias("last"), N.state_match(state("sa"), state("sb")).alias("state"))
     return rated.select("a", "b", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.round(N.field_score(F.col("first"), F.col("last"), F.col("state")), 6).alias("score"))
 
 

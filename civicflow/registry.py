@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicflow.plans import dedup, events, matching, metrics, more, retrieval, selection, text
+from civicflow.plans import checks, dedup, events, matching, metrics, more, retrieval, selection, text
 
-_AREAS = (dedup, text, retrieval, metrics, matching, events, more, selection)
+_AREAS = (dedup, text, retrieval, metrics, matching, events, more, selection, checks)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
