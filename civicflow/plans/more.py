@@ -10,7 +10,9 @@ from civicflow.operators import matching as M, retrieval as R, scoring as S, sta
 from civicflow.operators.passages import find_passages
 from civicflow.plans import Plans, table
 from civicflow.plans.retrieval import BM25_SQL as _BM25, bm25_ranked
+from civicflow.session import spread
 from civicflow.sources import connectors, geometry, sinks
+from civicflow.storage import cut
 
 plans = Plans()
 
@@ -256,9 +258,10 @@ def shape_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda a, b: [(x + w * a, y + h * a), (x + w * b, y + h * a), (x + w * b, y + h * b), (x + w * a, y + h * b), (x + w * a, y + h * a)]
     triangle = lambda d: [(x + d, y), (x + w + d, y), (x + d, y + h), (x + d, y)]
     json = F.when(key % 3 == 0, _geojson("Polygon", [box(0, 1), box(0.25, 0.75)])).when(key % 3 == 1, _geojson("MultiPolygon", [triangle(F.lit(0))], [triangle(w + 1)])).otherwise(_geojson("Point", [[(x, y)]]))
-    shapes = geometry.measured(geometry.shape_features(table(spark, sf_dir, "part").select(json.alias("json"))).withColumn("p_partkey", F.col("properties")["key"].cast("long")))
+    features = geometry.shape_features(spread(table(spark, sf_dir, "part")).select(json.alias("json")))
+    shapes = cut(features.select(F.col("properties")["key"].cast("long").alias("p_partkey"), "kind", "polygons", "vertices"), "shapes")
     customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 37 % 360 - 180 + F.lit(0.237)).alias("x"), (F.col("c_custkey") * 13 % 150 - 75 + F.lit(0.419)).alias("y"))
-    inside = geometry.points_in_shapes(shapes.select("p_partkey", "polygons", "vertices"), customers.groupBy("x", "y").agg(F.count("*").alias("n")))
+    inside = geometry.points_in_shapes(shapes.drop("kind"), customers.groupBy("x", "y").agg(F.count("*").alias("n")))
     counts = inside.groupBy(F.col("shape.p_partkey").alias("p_partkey")).agg(F.sum("point.n").alias("n"))
     rounded = [F.round(c, 6).alias(c) for c in ("area", "cx", "cy")]
-    return shapes.join(counts, "p_partkey", "left").select("p_partkey", "kind", *rounded, F.coalesce("n", F.lit(0)).cast("long").alias("n_points"))
+    return geometry.measured(shapes).join(counts.hint("merge"), "p_partkey", "left").select("p_partkey", "kind", *rounded, F.coalesce("n", F.lit(0)).cast("long").alias("n_points"))

@@ -97,7 +97,9 @@ def points_in_shapes(shapes: DataFrame, points: DataFrame, x: str = "x", y: str
     """(shape, point): a row for each shape (polygons, vertices) and point (x, y) within it, as structs of their columns.
 
     Shapes without area hold no point; a point with a null coordinate is in none. Points at one place
-    are best counted before, so that a place where very many stand is one row.
+    are best counted before, so that a place where very many stand is one row. Shapes are read twice:
+    hand in a table or the result of ``cut``. They meet points in a merge join, as no size that is
+    estimated before shapes are parsed says how large they are, and a broadcast could fill the driver.
     """
     v = lambda i: F.transform("vertices", lambda p: F.get(p, i))
     box = shapes.where("polygons is not null and size(vertices) > 0").select(F.struct("*").alias("shape"), F.array_min(v(0)).alias("x1"), F.array_max(v(0)).alias("x2"), F.array_min(v(1)).alias("y1"), F.array_max(v(1)).alias("y2"))
@@ -105,9 +107,12 @@ def points_in_shapes(shapes: DataFrame, points: DataFrame, x: str = "x", y: str
     levelled = box.where(width > 0).withColumn("level", F.ceil(F.log2(width)).cast("int"))
     cell = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level))
     across, up = (F.sequence(cell(F.col(a), F.col("level")), cell(F.col(b), F.col("level"))) for a, b in (("x1", "x2"), ("y1", "y2")))
-    in_cells = levelled.select("shape", "level", F.explode(across).alias("i"), up.alias("up")).select("shape", "level", "i", F.explode("up").alias("j"))
+    sides = ["x1", "x2", "y1", "y2"]
+    in_cells = levelled.select("shape", *sides, "level", F.explode(across).alias("i"), up.alias("up")).select("shape", *sides, "level", "i", F.explode("up").alias("j"))
     levels = [r["level"] for r in levelled.select("level").distinct().collect()]  # as many as a double has exponents, at most
     at = points.select(F.struct("*").alias("point"), F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>")).alias("level"))
     at = at.select("point", "level", cell(F.col("point")[x], F.col("level")).alias("i"), cell(F.col("point")[y], F.col("level")).alias("j"))
-    met = in_cells.join(at, ["level", "i", "j"])
-    return met.where(contains(F.col("shape.polygons"), F.col("point")[x], F.col("point")[y])).select("shape", "point")
+    met = in_cells.hint("merge").join(at, ["level", "i", "j"])
+    px, py = F.col("point")[x], F.col("point")[y]
+    near = met.where((px >= F.col("x1")) & (px <= F.col("x2")) & (py >= F.col("y1")) & (py <= F.col("y2")))
+    return near.where(contains(F.col("shape.polygons"), px, py)).select("shape", "point")

@@ -62,3 +62,10 @@ def test_points_in_shapes_of_all_sizes(spark):
     assert {(31, 901), (31, 903), (31, 904)} <= set(want) and not {(31, 900), (31, 905)} & set(want)
     assert geometry.points_in_shapes(frame(spark, *shapes), df.limit(0)).count() == 0
     assert geometry.points_in_shapes(frame(spark), df).count() == 0
+
+
+def test_no_shape_is_broadcast(spark):
+    """Estimates made before shapes are parsed are far too small, so that a million of them filled the driver."""
+    df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    plan = geometry.points_in_shapes(frame(spark, {"type": "Polygon", "coordinates": [SQUARE]}), df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
