@@ -147,3 +147,16 @@ def test_expensive_function_runs_once_a_text(spark):
     rows = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
     got = retrieval.once_per_text(rows, "t", lambda c: F.length(c), "n", "int")
     assert sorted((r["n"] or 0) for r in got.collect()) == [0, 1, 1]
+
+
+def test_pairs_of_one_group_are_dealt_to_many_tasks(spark):
+    """A group of very many pairs was one task's, as the smaller side was broadcast to one split of the other."""
+    from civicflow.operators.matching import query_pairs
+
+    a = spark.range(300).select(F.col("id").alias("a"), F.floor(F.col("id") / 1000).alias("g")).coalesce(1)
+    b = spark.range(40).select(F.col("id").alias("b"), F.floor(F.col("id") / 1000).alias("g")).coalesce(1)
+    met = query_pairs(a, b, "g", "a", most=10)
+    assert sorted(map(tuple, met.select("a", "b").collect())) == [(i, j) for i in range(300) for j in range(40)]
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 300 * 40 / 4
+    assert query_pairs(a.limit(0), b, "g", "a").count() == 0
