@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions import answers
+from civicflow.functions.batches import cuts
 from civicflow.functions.text import numbered, pair_key
 from civicflow.operators.retrieval import unseen
 from civicflow.storage import cut
@@ -106,12 +108,17 @@ def rescored(pairs: DataFrame, known: DataFrame, left: str, right: str, doc_id:
 
 
 def _asked(rows: DataFrame, text: str, backend: Extractor, name: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{name: pd.Series(backend.extract(pdf[text].fillna("").tolist()), index=pdf.index, dtype=object)})
+    """rows with the backend's answers. A batch is asked, and given on, in parts of bounded size; other columns stay in Arrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in cuts(batch[text]):
+                part = batch.slice(at, n)
+                answers = pa.array(list(backend.extract([x or "" for x in part[text].to_pylist()])), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, answers], [*part.schema.names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{kinds}, `{name}` string")
+    return rows.mapInArrow(run, f"{kinds}, `{name}` string")
 
 
 def asked_until(rows: DataFrame, text: str, backend: Extractor, name: str, good: Callable[[Column], Column], attempts: int = 1) -> DataFrame:
