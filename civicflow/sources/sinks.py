@@ -68,13 +68,21 @@ def covered_spans(spans: DataFrame, by: str) -> DataFrame:
     """(by, start, end, level) of the stretches of equal highest level under spans (by, start, end, level), ends exclusive.
 
     Each span is split at the bounds within it, and the highest level of each piece stays; neighbours
-    of one level are joined. All work is within one text.
+    of one level are joined. All work is within one text, so its spans are gathered in one shuffle and
+    the rest is done on arrays, row by row: no table of pieces is aggregated.
     """
-    bounds = spans.select(by, F.explode(F.array("start", "end")).alias("at")).groupBy(by).agg(F.array_sort(F.collect_set("at")).alias("at"))
-    pieces = spans.join(bounds, by).select(by, "level", F.filter("at", lambda x: (x >= F.col("start")) & (x < F.col("end"))).alias("own"), "at")
-    flat = pieces.select(by, "level", "at", F.explode("own").alias("start")).groupBy(by, "start").agg(F.max("level").alias("level"), F.first("at").alias("at"))
-    ended = flat.select(by, "start", "level", F.array_min(F.filter("at", lambda x: x > F.col("start"))).alias("end"))
-    items = ended.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start", "end", "level"))).alias("s"))
+    item = F.struct("start", "end", "level")
+    gathered = spans.where(f"{by} is not null").groupBy(by).agg(F.array_sort(F.collect_set(item)).alias("own"))
+    at = F.array_sort(F.array_distinct(F.concat(F.transform("own", lambda x: x["start"]), F.transform("own", lambda x: x["end"]))))
+    bounded = gathered.select(by, "own", at.alias("at"))
+
+    def piece(start: Column, end: Column) -> Column:
+        over = F.filter("own", lambda x: (x["start"] <= start) & (x["end"] > start))
+        return F.struct(start.alias("start"), end.alias("end"), F.array_max(F.transform(over, lambda x: x["level"])).alias("level"), (F.size(over) > 0).alias("covered"))
+
+    pieces = F.filter(F.zip_with(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), piece), lambda x: x["covered"])
+    kind = spans.select(F.array(item).alias("k")).schema["k"].dataType
+    items = bounded.select(by, F.transform(pieces, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["level"].alias("level"))).cast(kind).alias("s"))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
@@ -82,5 +90,4 @@ def covered_spans(spans: DataFrame, by: str) -> DataFrame:
         grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"), x["level"].alias("level"))))
         return F.when(same, grown).otherwise(F.concat(acc, F.array(x)))
 
-    kind = ended.select(F.array(F.struct("start", "end", "level")).alias("k")).schema["k"].dataType
     return items.select(by, F.inline(F.aggregate("s", F.array().cast(kind), step)))

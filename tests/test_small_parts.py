@@ -115,3 +115,14 @@ def test_more_portals(spark):
     kinds = "letter_id string, project_id string, author string, organization string, date_submitted string, download_url string, detail_url string, attachments array<string>"
     cara = connectors.cara(spark.createDataFrame([("4", "77", "Ann", None, "2024", "a", "", ["b", None]), ("5", "77", None, "Org", None, None, None, None)], kinds)).orderBy("comment_id").collect()
     assert [(r["comment_id"], r["docket_id"], r["attachment_urls"]) for r in cara] == [("cara_4", "cara_project_77", "a;b"), ("cara_5", "cara_project_77", "")]
+
+
+def test_covered_spans_take_one_shuffle(spark):
+    """Pieces were a table that was aggregated twice and joined, with all bounds of a text in each row."""
+    from civicflow.sources.sinks import covered_spans
+
+    rows = [(1, 0, 10, 1), (1, 4, 6, 2), (1, 6, 8, 1), (1, 20, 20, 5), (1, 12, 15, 1), (1, 15, 18, 1), (2, 3, 5, 0), (2, 3, 5, 0), (3, 9, 2, 1), (4, None, 3, 1), (None, 1, 2, 1)]
+    df = spark.createDataFrame(rows, "k int, start int, end int, level int")
+    got = covered_spans(df, "k")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 4, 1), (1, 4, 6, 2), (1, 6, 10, 1), (1, 12, 18, 1), (2, 3, 5, 0)]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Aggregate") <= 2 and "Join" not in got._jdf.queryExecution().sparkPlan().toString()
