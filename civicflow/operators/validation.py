@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicflow.functions.numbers import ratio
+from civicflow.storage import cut
+
+
+ITEMS = 1 << 21  # rows that a task makes distinct
+
+
+def distinct_rows(rows: DataFrame, items: int = ITEMS) -> DataFrame:
+    """rows without repeats, dealt by all their columns to tasks of about ``items``, so that a task's memory doesn't grow with the table."""
+    return rows.repartition(1 + rows.count() // items, *rows.columns).distinct()
 
 
 def expand_one_hop(cited: DataFrame, near: DataFrame) -> DataFrame:
@@ -14,7 +23,7 @@ def expand_one_hop(cited: DataFrame, near: DataFrame) -> DataFrame:
     forward = own.join(near, own["id"] == near["target"]).select(F.col("id").alias("via"), F.col("duplicate").alias("id"))
     back = own.join(near, own["id"] == near["duplicate"]).select(F.col("id").alias("via"), F.col("target").alias("id"))
     siblings = back.alias("b").join(near.alias("n"), F.col("b.id") == F.col("n.target")).select(F.col("b.via").alias("via"), F.col("n.duplicate").alias("id"))
-    return own.select(F.col("id").alias("via"), "id").unionByName(forward).unionByName(back).unionByName(siblings).distinct()
+    return distinct_rows(cut(own.select(F.col("id").alias("via"), "id").unionByName(forward).unionByName(back).unionByName(siblings), "pairs"))
 
 
 def duplicate_classes(near: DataFrame) -> DataFrame:
@@ -24,7 +33,7 @@ def duplicate_classes(near: DataFrame) -> DataFrame:
     members is n rows here, and n squared pairs there.
     """
     own = near.where("target is not null and duplicate is not null")
-    return own.select(F.col("target").alias("id"), F.col("target").alias("class")).unionByName(own.select(F.col("duplicate").alias("id"), F.col("target").alias("class"))).distinct()
+    return distinct_rows(own.select(F.explode(F.array("target", "duplicate")).alias("id"), F.col("target").alias("class")))
 
 
 def cited_classes(cited: DataFrame, near: DataFrame) -> DataFrame:

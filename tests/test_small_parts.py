@@ -126,3 +126,14 @@ def test_covered_spans_take_one_shuffle(spark):
     got = covered_spans(df, "k")
     assert sorted(map(tuple, got.collect())) == [(1, 0, 4, 1), (1, 4, 6, 2), (1, 6, 10, 1), (1, 12, 18, 1), (2, 3, 5, 0)]
     assert got._jdf.queryExecution().sparkPlan().toString().count("Aggregate") <= 2 and "Join" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_classes_are_made_distinct_in_bounded_tasks(spark, monkeypatch):
+    """Tasks took as many rows as a split or a fixed number of partitions gave them, so their memory grew with the table."""
+    from civicflow.operators import validation as V
+
+    rows = spark.range(3000).selectExpr("id % 1000 as a", "id % 500 as b")
+    got = V.distinct_rows(rows, items=10)
+    assert got.rdd.getNumPartitions() >= 300 and got.count() == 1000
+    assert max(map(len, got.rdd.glom().collect())) < 30
+    assert V.distinct_rows(rows.limit(0)).count() == 0
