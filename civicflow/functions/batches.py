@@ -39,10 +39,12 @@ def by_parts(fn: Callable[[pa.Array], pa.Array], kind: str):
     return run
 
 
-def lists(values: list[np.ndarray]) -> pa.ListArray:
-    """Arrays of longs as one list column, without an object for each number."""
-    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64()))
+def lists(values: list[np.ndarray | None]) -> pa.ListArray:
+    """Arrays of longs, or nulls, as one list column, without an object for each number."""
+    ends = np.cumsum([0, *[0 if v is None else len(v) for v in values]]).astype(np.int32)
+    none = pa.array([v is None for v in values], pa.bool_())
+    flat = [v for v in values if v is not None]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64), pa.int64()), mask=none)
 
 
 def rows_of(column: pa.ListArray) -> Iterator[np.ndarray]:

@@ -40,13 +40,10 @@ def _clean(c):
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = _docs(spark, sf_dir).groupBy("lang", "text").agg(F.min("doc_id").alias("id")).select(F.col("lang").alias("block"), "id", _clean(F.col("text")).alias("clean"))
-    return reps.where(X.token_count(F.col("clean")) >= D.MIN_TOKENS)
-
-
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(D.shingle_arrays(_gated(spark, sf_dir), "block", "id", "clean"), "shingles")
+    """Shingles of each block's different texts over the token gate. Cleaning changes white space and case only, and tokens don't depend on how much white space there is."""
+    reps = _docs(spark, sf_dir).groupBy("lang", "text").agg(F.min("doc_id").alias("id")).select("lang", "id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return cut(D.shingle_arrays(reps, "lang", "id", "text", least=D.MIN_TOKENS), "shingles", packed=False)
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:

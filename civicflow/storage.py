@@ -78,11 +78,11 @@ def removed(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back."""
+def cut(df: DataFrame, tag: str, packed: bool = True) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back. Hashes gain nothing from being packed, that is from dictionaries and compression."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd" if packed else "none", "parquet.enable.dictionary": str(packed).lower()}).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _paths[back] = path
     return back

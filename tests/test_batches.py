@@ -54,3 +54,25 @@ def test_frequencies_of_hot_and_other_shingles(spark):
     n = Counter(b for b, _, _ in sets)
     kept = {(b, i): {h for h in hs if b is None or want[b, h] <= max(1, int(n[b] * 0.2))} for b, i, hs in sets}
     assert {(r["block"], r["id"]): set(r["hashes"]) for r in D.drop_common(rows).collect()} == {k: v for k, v in kept.items() if v}
+
+
+def test_only_candidates_for_common_shingles_are_counted(spark):
+    """Every shingle was counted by its bucket, and once more in full buckets."""
+    rows = spark.createDataFrame([("a", i, [7, 8 + i % 2, *range(100 * i + 100, 100 * i + 150)]) for i in range(40)] + [("b", 90, [7, 5]), ("b", 91, [6, 5]), (None, 92, [7])], "block string, id long, hashes array<long>").coalesce(1)
+    often = {tuple(r) for r in D._often(rows, 0.2).collect()}
+    assert {s for b, s in often if b == "a"} == {7, 8, 9} and all(b for b, _ in often)
+    want = {("a", i): set(range(100 * i + 100, 100 * i + 150)) for i in range(40)} | {("b", 90): {7}, ("b", 91): {6}, (None, 92): {7}}
+    for dealt in (rows, rows.repartition(7)):
+        for candidates in (D.CANDIDATES, 2, 0):
+            assert {(r["block"], r["id"]): set(r["hashes"]) for r in D.drop_common(dealt, candidates=candidates).collect()} == want
+
+
+def test_texts_are_split_once(spark):
+    """The token gate and cleaning split texts in the engine, several times."""
+    text = "".join(f"w{chr(c)}" for c in [*range(1, 0x180), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF])
+    for t in (text, text[:256], "a \x1c b\x0bc", "é  ü", ""):
+        assert D._tokens(t) == [w.encode() for w in D.split_words(t)]
+    docs = spark.createDataFrame([(1, "a b c"), (2, "é b"), (3, None)], "id long, text string")
+    got = {r["id"]: (r["n_chars"], r["n_tokens"], r["hashes"] and set(r["hashes"])) for r in D.shingled(docs, "text", 2, 3).collect()}
+    assert got == {1: (5, 3, set(D.shingle_hashes("a b c", 2).tolist())), 2: (3, 2, None), 3: (0, 0, None)}
+    assert D.shingled(docs, "text", 2, 3).columns == ["id", "n_chars", "n_tokens", "hashes"]
