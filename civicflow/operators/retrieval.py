@@ -9,60 +9,77 @@ TF-IDF links meet on rare terms.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civicflow.functions.batches import by_parts
 from civicflow.functions.numbers import ratio
 from civicflow.functions.text import tokens
 from civicflow.storage import cut
 
 
 BLOCK = 1 << 20  # scores that a task holds at a time
+WAITING = 4096  # items whose scores it holds, as each item has arrays of its own
 
-#: What ``tokens`` splits at, for use in Python.
-split_words = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+").findall
+_words = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+").findall
+_separators = re.compile("[\\x1c-\\x1f]").search
 
 
-def token_count_only(c: Column) -> Column:
-    """As many as ``tokens`` gives, without making them."""
-    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"(?U)\S+"))
+def split_words(text: str) -> list[str]:
+    """What ``tokens`` splits at, for use in Python, which splits at four control characters more."""
+    return _words(text) if _separators(text) else text.split()
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75, query_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, id, score, rank): the k best documents of each query with a positive score, over lower-case white-space tokens.
 
-    Queries are a stated set, read in parts of at most ``query_bytes`` of text. One pass counts
-    documents and the frequencies of query terms; then each task scores its documents against all
-    queries of a part and keeps the best of each, so postings never move. Ids are longs.
+    Queries are a stated set, read in parts of at most ``query_bytes`` of text. For each part, one pass
+    counts documents and the frequencies of its terms; then each task scores its documents against all
+    queries of the part and keeps the best of each, so postings never move. Ids are longs.
     """
     text = F.lower(F.coalesce(F.col(doc_text), F.lit("")))
     asked = cut(queries.select(F.col(query_id).cast("long").alias("query_id"), F.array_distinct(tokens(F.lower(F.col(query_text)))).alias("terms")).where("query_id is not null and size(terms) > 0"), "asked")
-    stats = docs.agg(F.count("*").alias("n"), F.avg(token_count_only(F.col(doc_text))).alias("avgdl")).first()
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    terms = docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     size = asked.agg(F.sum(F.aggregate("terms", F.lit(64), lambda t, x: t + F.length(x) + 60)).alias("n")).first()["n"] or 0
     parts, found = max(1, -(-size // query_bytes)), None
-    if parts > 1:
-        terms = cut(terms, "frequencies")
-    given = docs.select(F.col(doc_id).cast("long").alias("id"), text.alias("text")).where("id is not null")
+    given = docs.select(F.col(doc_id).cast("long").alias("id"), text.alias("text"))
     for part in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        df = terms if parts == 1 else terms.join(own.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
-        idf = {r["term"]: float(np.log((stats["n"] - r["df"] + 0.5) / (r["df"] + 0.5) + 1)) for r in df.collect()}  # terms of this part's queries
-        one = given.mapInArrow(_bm25(own.orderBy("query_id").toArrow(), idf, stats["avgdl"], k, k1, b), "query_id long, id long, score double")
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).orderBy("query_id").toArrow()
+        counted = given.select("text").mapInArrow(_frequencies({t for x in own["terms"].to_pylist() for t in x}), "term string, df long, length long")
+        df = {r["term"]: r for r in counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).collect()}  # this part's terms
+        whole = df.pop(None, None)
+        n, avgdl = (whole["df"], whole["length"] / whole["df"]) if whole else (0, None)
+        idf = {t: float(np.log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1)) for t, r in df.items()}
+        one = given.where("id is not null").mapInArrow(_bm25(own, idf, avgdl, k, k1, b), "query_id long, id long, score double")
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return top(best, ["query_id"], "score", "id", k)
 
 
+def _frequencies(terms: set[str]):
+    """In how many of a task's texts each term is, and, with a null term, the numbers of texts and of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, length = Counter(), 0, 0
+        for batch in batches:
+            for text in batch["text"]:
+                own = split_words(text.as_py())
+                n, length = n + 1, length + len(own)
+                df.update(terms.intersection(own))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([*df, None], pa.string()), pa.array([*df.values(), n], pa.int64()), pa.array([0] * len(df) + [length], pa.int64())], ["term", "df", "length"])
+
+    return run
+
+
 def _bm25(asked: pa.Table, idf: dict[str, float], avgdl: float, k: int, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = asked["terms"].to_pylist()
@@ -249,7 +266,7 @@ class Best:
         if some.any():
             self._waiting.append((who[some], np.full(np.count_nonzero(some), item), scores[some]))
             self._n += np.count_nonzero(some)
-            if self._n >= BLOCK:
+            if self._n >= BLOCK or len(self._waiting) >= WAITING:
                 self._merge()
 
     def offer_all(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray | None = None, above: float | None = None) -> None:
@@ -342,16 +359,17 @@ def _overlapping(asked: pa.Table, k: int):
 
 def hashed_words(text: Column, dims: int = 256) -> Column:
     """Counts of a text's lower-case white-space words by the first byte of their md5: a dense vector that any SQL engine can compute."""
-    buckets = F.transform(tokens(F.lower(text)), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int"))
-    return _counted(buckets, dims)
+    def counted(texts: pa.Array) -> pa.Array:
+        rows = [np.bincount(np.fromiter(map(_first_byte, split_words(t or "")), np.int64), minlength=dims) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(float)))
 
+    return by_parts(counted, "array<double>")(F.lower(text))
 
-def _counted(buckets: Column, dims: int) -> Column:
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:  # a fold over an array in SQL would copy it for each word
-        return s.map(lambda b: np.bincount(np.asarray(b, np.int64), minlength=dims).astype(float))
 
-    return run(buckets)
+@lru_cache(1 << 17)
+def _first_byte(word: str) -> int:
+    return hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[0]
 
 
 def reciprocal_rank_fusion(*ranked: DataFrame, constant: int = 60) -> DataFrame:
@@ -365,7 +383,8 @@ def reciprocal_rank_fusion(*ranked: DataFrame, constant: int = 60) -> DataFrame:
 
 
 def dense_or_sparse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
-    """All dense hits, and sparse hits that dense retrieval missed with a dense score of 0."""
+    """All dense hits, and sparse hits that dense retrieval missed with a dense score of 0. Dense hits are read twice, so they are written first: k a query."""
+    dense = cut(dense.select("query_id", "id", "score"), "dense")
     only = sparse.select("query_id", "id").join(dense.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return dense.select("query_id", "id", F.col("score").alias("dense_score")).unionByName(only.withColumn("dense_score", F.lit(0.0)))
 

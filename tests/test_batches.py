@@ -1,5 +1,6 @@
 """Batches in parts, and the counts and least values of shingles, against plain versions."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicflow.functions.batches import cuts
 from civicflow.operators import dedup as D
+from civicflow.operators import retrieval as R
 from civicflow.operators import scoring as S
 
 
@@ -76,3 +78,25 @@ def test_texts_are_split_once(spark):
     got = {r["id"]: (r["n_chars"], r["n_tokens"], r["hashes"] and set(r["hashes"])) for r in D.shingled(docs, "text", 2, 3).collect()}
     assert got == {1: (5, 3, set(D.shingle_hashes("a b c", 2).tolist())), 2: (3, 2, None), 3: (0, 0, None)}
     assert D.shingled(docs, "text", 2, 3).columns == ["id", "n_chars", "n_tokens", "hashes"]
+
+
+def test_few_items_wait_for_a_merge():
+    """A million scores could wait, each item's in arrays of its own."""
+    best = R.Best(50, 3)
+    for i in range(10_000):
+        best.offer(np.array([i % 50]), i, np.array([float(i)]))
+        assert len(best._waiting) < 4097
+    got = next(iter(best.rows(pa.table({"query_id": list(range(50))}), []))).to_pydict()
+    assert got["id"][:3] == [9950, 9900, 9850] and len(got["id"]) == 150
+
+
+def test_words_are_hashed_once_a_worker(spark):
+    """Each word was hashed by the engine, with a conversion through text."""
+    docs = spark.createDataFrame([("A b\x1cc  b",), (None,), ("",), ("é　b" * 3,)], "t string")
+    for r in docs.select("t", R.hashed_words(F.col("t")).alias("v")).collect():
+        want = np.zeros(256)
+        for w in R._words((r["t"] or "").lower()):
+            want[int(hashlib.md5(w.encode()).hexdigest()[:2], 16)] += 1
+        assert r["v"] == want.tolist()
+    plan = docs.select(R.hashed_words(F.col("t")))._jdf.queryExecution().toString().lower()
+    assert "conv(" not in plan
